@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html_text, packing, secret_scan, simhash, token_fst
+from millrace.llm import html_text, packing, secret_scan, sharding, simhash, spotsigs, token_fst
 
 
 def tokenizer_path() -> str:
@@ -26,6 +26,12 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = sharding.shuffled(_table(spark, sf_dir, "documents"), 40, seed=20240229)
+    crc = F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long")
+    return cut.select("doc_id", sharding.record_size("text").alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "n_near", "component_id")
@@ -37,6 +43,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path())
 
@@ -53,8 +63,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op6_spotsigs": op6_spotsigs,
     "op7_packing": op7_packing,
     "op8_secret_scan": op8_secret_scan,
     "op10_html_text": op10_html_text,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html_text, packing, secret_scan, sharding, simhash, spotsigs, token_fst
+from millrace.llm import html_text, multi_index, packing, secret_scan, sharding, simhash, spotsigs, token_fst
 
 
 def tokenizer_path() -> str:
@@ -32,6 +32,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", sharding.record_size("text").alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "n_near", "component_id")
@@ -64,6 +68,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_multi_index": op3_multi_index,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
     "op6_spotsigs": op6_spotsigs,

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.graphs import components, link_counts, reduced
+from millrace.llm.graphs import labelled, reduced
 from millrace.session import written
 
 HOT = 4096
@@ -126,11 +126,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
     marked = written(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text), size).alias("fp")), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first")), "classes")
     rows = written(reduced(near_pairs(classes.select("fp", "n"), radius)), "pairs")
-    found = classes.join(link_counts(rows).withColumnRenamed("node", "fp"), "fp", "left").join(components(rows).withColumnRenamed("node", "fp"), "fp", "left")
-    found = found.select("fp", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_near"), F.coalesce("root", "fp").alias("root"))
-    least = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = written(found.join(least, "root").select("fp", "n_near", "component_id"), "found")
-    return marked.join(found, "fp").select(F.col("id").alias(id_col), "fp", "n_near", "component_id")
+    found = labelled(marked.withColumnRenamed("fp", "node"), classes.withColumnRenamed("fp", "node"), rows)
+    return found.select(F.col("id").alias(id_col), F.col("node").alias("fp"), F.col("n_links").alias("n_near"), "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

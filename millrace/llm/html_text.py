@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("script style noscript template head nav header footer aside form button select textarea option iframe object svg canvas dialog menu title datalist fieldset label audio video map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements too small to be a content region.
+LEAVES = HEADINGS | {"p", "li", "td", "blockquote", "pre"}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id (split at anything but letters and digits, and at changes of case) that mark what is no content.
 WORDS = frozenset(
@@ -36,6 +39,8 @@ WORDS = frozenset(
     " comment comments commentlist respond disqus reply replies discussion reviews share sharing social related recommended recommendations trending pagination pager widget widgets toolbar skip skiplink copyright disclaimer form search searchbox toc"
     .split()
 )
+#: Words before one of these that make it speak of a page's layout (with-sidebar, no-comments).
+LAYOUT = frozenset("with has have no not without".split())
 #: Elements that close an open one of the given names when they start.
 CLOSES = {
     **{t: frozenset({"p"}) for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()},
@@ -56,7 +61,8 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
                 return True
             continue
         if name in ("class", "id"):
-            if any(w.lower() in WORDS for w in _PARTS.findall(value)):
+            words = [w.lower() for w in _PARTS.findall(value)]
+            if any(w in WORDS and before not in LAYOUT for before, w in zip(["", *words], words, strict=False)):
                 return True
         elif name == "role" and value.strip().lower() in ROLES:
             return True
@@ -75,9 +81,11 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []  # element and its number
-        self.parent: dict[int, int] = {}
-        self.name: dict[int, str] = {0: "#root"}
+        self.open: Counter[str] = Counter()  # how often each element is on the stack
+        self.parent, self.name = [0], ["#root"]  # by number; parents have lower numbers
+        self.blocks: list[tuple[int, int]] = []  # height and number of the block elements on the stack
         self.dropped: list[int] = []  # heights of the stack at which dropping began
+        self.marked: set[int] = set()  # block elements that their attributes mark as no content
         self.lines: list[tuple[str, int, int]] = []  # text, tags, number of the innermost block element
         self.parts: list[str] = []
         self.tags = self.count = 0
@@ -90,21 +98,20 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.parts = []
 
-    def inner(self) -> int:
-        return next((n for t, n in reversed(self.stack) if t not in INLINE), 0)
-
     def pop_to(self, height: int) -> None:
-        popped = self.stack[height:]
-        if any(t not in INLINE for t, _ in popped):
+        if self.blocks and self.blocks[-1][0] >= height:
             self.end_line()
+        self.open.subtract(t for t, _ in self.stack[height:])
         del self.stack[height:]
         while self.dropped and self.dropped[-1] >= height:
             self.dropped.pop()
-        self.block = self.inner()
+        while self.blocks and self.blocks[-1][0] >= height:
+            self.blocks.pop()
+        self.block = self.blocks[-1][1] if self.blocks else 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag in CLOSES:
+        if tag in CLOSES and any(self.open[t] for t in CLOSES[tag]):
             walls = WALLS.get(tag, PLAIN_WALLS)
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] in CLOSES[tag]:
@@ -121,14 +128,21 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         self.count += 1
-        self.parent[self.count] = self.stack[-1][1] if self.stack else 0
-        self.name[self.count] = tag
+        self.parent.append(self.stack[-1][1] if self.stack else 0)
+        self.name.append(tag)
+        inside = self.open["article"] + self.open["main"] > 0
         self.stack.append((tag, self.count))
-        inside = any(t in ("article", "main") for t, _ in self.stack[:-1])
+        self.open[tag] += 1
         if tag not in ("html", "body", "article", "main") or tag == "article" and inside:
-            if (tag in DROPPED and not (tag == "header" and inside)) or _marked(attrs):
+            if tag in DROPPED and not (tag == "header" and inside):
                 self.dropped.append(len(self.stack) - 1)
+            elif attrs and _marked(attrs):
+                if tag in INLINE:
+                    self.dropped.append(len(self.stack) - 1)
+                else:
+                    self.marked.add(self.count)
         if tag not in INLINE:
+            self.blocks.append((len(self.stack) - 1, self.count))
             self.block = self.count
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -138,6 +152,8 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self.pop_to(k)
@@ -148,10 +164,15 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.dropped:
             return
-        if any(t == "header" for t, _ in self.stack) and not any(t in HEADINGS for t, _ in self.stack):
+        if self.open["header"] and not any(self.open[h] for h in HEADINGS):
             return
         self.parts.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections as <![if ...]> end at the next bracket, whatever they are."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     """Values after a Gaussian kernel of three sigmas on either side; weights are normalised at the ends."""
@@ -177,42 +198,49 @@ def clustered(lines: list[tuple[str, int, int]], sigma: float = 1.0, share: floa
     return [i for i, x in enumerate(smooth) if x >= limit]
 
 
+def _below(page: _Lines, roots: set[int]) -> list[bool]:
+    """Whether each element is one of the roots or inside one."""
+    out = [0 in roots]
+    for n in range(1, page.count + 1):
+        out.append(n in roots or out[page.parent[n]])
+    return out
+
+
+def _drop_marked(page: _Lines) -> None:
+    """Take out the lines of marked elements. If all articles and mains of a page are inside such, what is around these was marked in error."""
+    if not page.marked:
+        return
+    named = [n for n in range(1, page.count + 1) if page.name[n] in ("article", "main") and n not in page.marked]
+    off = _below(page, page.marked)
+    if named and all(off[n] for n in named):
+        for n in named:
+            while n:
+                n = page.parent[n]
+                page.marked.discard(n)
+        off = _below(page, page.marked)
+    page.lines = [x for x in page.lines if not off[x[2]]]
+
+
 def _region(page: _Lines, chosen: list[int], hold: float) -> set[int]:
     """Numbers of the elements that make up the content region."""
-    weight: dict[int, int] = {}
-    total = 0
-    chains: dict[int, list[int]] = {}
+    weight = [0] * (page.count + 1)
     for i in chosen:
-        text, _, block = page.lines[i]
-        total += len(text)
-        if block not in chains:
-            chain, n = [block], block
-            while n:
-                n = page.parent[n]
-                chain.append(n)
-            chains[block] = chain
-        for n in chains[block]:
-            weight[n] = weight.get(n, 0) + len(text)
-    for kind in ("article", "main"):
-        if named := {n for n in weight if page.name[n] == kind}:
-            if kind == "article" and (outer := {n for n in weight if page.name[n] == "main"}):
-                named = {n for n in named if any(m in outer for m in _above(page, n))} or named
-            return named
+        weight[page.lines[i][2]] += len(page.lines[i][0])
+    for n in range(page.count, 0, -1):
+        weight[page.parent[n]] += weight[n]
+    named = {kind: {n for n in range(1, page.count + 1) if weight[n] and page.name[n] == kind} for kind in ("article", "main")}
+    if named["article"]:
+        inside = _below(page, named["main"])
+        return {n for n in named["article"] if inside[n]} or named["article"]
+    if named["main"]:
+        return named["main"]
     best = 0
-    for n in sorted(weight):
-        if weight[n] >= hold * total and page.name[n] not in ("p", *HEADINGS, "li", "td", "blockquote", "pre"):
-            best = n  # numbers rise with depth along a chain
+    for n in range(1, page.count + 1):  # numbers rise with depth along a chain
+        if weight[n] >= hold * weight[0] and page.name[n] not in LEAVES:
+            best = n
     return {best}
 
 
-def _above(page: _Lines, n: int) -> list[int]:
-    out = []
-    while n:
-        n = page.parent[n]
-        out.append(n)
-    return out
-
-
 def extract_text(html: str | None, sigma: float = 1.0, share: float = 0.5, hold: float = 0.9) -> str:
     """The main text of one page; its blocks in page order, joined by one space."""
     if not html:
@@ -221,17 +249,12 @@ def extract_text(html: str | None, sigma: float = 1.0, share: float = 0.5, hold:
     page.feed(html)
     page.close()
     page.end_line()
+    _drop_marked(page)
     if not page.lines:
         return ""
     region = _region(page, clustered(page.lines, sigma, share) or list(range(len(page.lines))), hold)
-    inside: dict[int, bool] = {}
-    out = []
-    for text, _, block in page.lines:
-        if block not in inside:
-            inside[block] = block in region or any(n in region for n in _above(page, block))
-        if inside[block]:
-            out.append(text)
-    return " ".join(out)
+    inside = _below(page, region)
+    return " ".join(text for text, _, block in page.lines if inside[block])
 
 
 def main_text(html: Column, sigma: float = 1.0, share: float = 0.5, hold: float = 0.9) -> Column:

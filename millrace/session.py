@@ -55,3 +55,15 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         sc._millrace_shipped = True
     return spark
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores put before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

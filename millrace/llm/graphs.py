@@ -129,13 +129,12 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def labelled(members: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, node, n_links, component_id) for members (id, node), classes (node, n, first: least id) and the reduced() links of the classes.
+def labels_of(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, root, n_links, component_id) for classes (node, n, first: least id) and their reduced() links.
 
     n_links counts the other rows of the own class and all rows of linked classes; component_id is the least id reachable.
     """
     found = classes.join(link_counts(rows), "node", "left").join(components(rows), "node", "left")
     found = found.select("node", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     least = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = written(found.join(least, "root").select("node", "n_links", "component_id"), "found")
-    return members.join(found, "node").select("id", "node", "n_links", "component_id")
+    return written(found.join(least, "root").select("node", "root", "n_links", "component_id"), "found")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import written
+from millrace.session import fresh, written
 
 PER_RANGE = 20_000  # rows of a range of the hash, about
 Key = tuple[object, ...]
@@ -135,8 +135,8 @@ def select_mixed(df: DataFrame, levels: list[Column], weight: Mapping[Key, float
 
     The texts are shuffled once, by id; the selection joins them as counts of epochs.
     """
+    id_, hash_, times_, h_, time_ = fresh(df, "id", "hash", "times", "h", "time")
     chosen = mixed(df, levels, weight, id_col=id_col, text=text, **options)
-    chosen = chosen.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h"), "epoch").agg(F.count("*").alias("c")).groupBy("__id", "__h").agg(F.count("*").cast("int").alias("__times"))
-    h = F.coalesce(F.xxhash64(text), F.lit(0))
-    joined = df.withColumn("__hash", h).join(written(chosen, "chosen"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")))
-    return joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(F.col(f"`{c}`") for c in df.columns))
+    chosen = chosen.groupBy("id", "h", "epoch").agg(F.count("*").alias("rows")).groupBy(F.col("id").alias(id_), F.col("h").alias(hash_)).agg(F.count("*").cast("int").alias(times_))
+    joined = df.withColumn(h_, F.coalesce(F.xxhash64(text), F.lit(0))).join(written(chosen, "chosen"), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h_) == F.col(hash_)))
+    return joined.withColumn(time_, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*(F.col(f"`{c}`") for c in df.columns))

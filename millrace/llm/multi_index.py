@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.graphs import REDUCED, Reducer, labelled
+from millrace.llm.graphs import REDUCED, Reducer, labels_of
 from millrace.session import written
 
 SAMPLE = 65_536  # vectors that codebooks are fitted on, at most
@@ -78,6 +78,8 @@ class Grid:
         self.half = first.shape[1]
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if x.shape[1] == self.half:  # vectors of one component have no second half
+            return distances(x, self.first), np.zeros((len(x), len(self.second)))
         return distances(x[:, : self.half], self.first), distances(x[:, self.half :], self.second)
 
     def home(self, x: np.ndarray) -> np.ndarray:
@@ -103,7 +105,7 @@ class Grid:
         """How many cells one vector's traversal (a, b its distances) visits before each of `cells`."""
         sorted_b = np.sort(b)
         i, j = np.divmod(cells, len(self.second))
-        limits = (a[i] + b[j])[:, None] - a[None, :]
+        limits = (a[i] + b[j])[:, None] - a[None, :] - 1e-9  # of equal sums, none is before another
         return np.searchsorted(sorted_b, limits.ravel(), side="left").reshape(limits.shape).sum(axis=1)
 
 
@@ -294,6 +296,6 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     classes = written(good.groupBy("h", "v").agg(F.count("*").alias("n"), F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "classes")
     members = good.join(classes.select("h", "v", "node"), ["h", "v"]).select("id", "node")
     links = written(linked(classes.select("node", "n", "v"), threshold, target), "links")
-    found = labelled(members, classes.select("node", "n", "first"), links).select("id", "n_links", "component_id")
+    found = members.join(labels_of(classes.select("node", "n", "first"), links), "node").select("id", "n_links", "component_id")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return found.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

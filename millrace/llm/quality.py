@@ -20,23 +20,28 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import fresh
+
 SAMPLE = 20_000  # labelled rows to learn from, at most
 STATS = ("log_chars", "log_words", "word_length", "upper", "symbols", "bars", "digits", "stops", "repeats", "distinct", "line_length", "same_lines")
 
 
-def statistics(text: Column) -> tuple[dict[str, Column], Column, Column]:
-    """(statistics by name, their words, their lines): the expressions take columns `__w` and `__l` for words and lines."""
+def words_and_lines(text: Column) -> tuple[Column, Column]:
+    t = F.coalesce(text, F.lit(""))
+    return F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " "), F.split(t, "\n")
+
+
+def statistics(text: Column, w: Column, lines: Column) -> dict[str, Column]:
+    """Statistics by name, of a text and its words_and_lines()."""
     t = F.coalesce(text, F.lit(""))
-    words, lines = F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " "), F.split(t, "\n")
     left = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
     less = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    chars, n = F.greatest(F.length(t), F.lit(1)), F.greatest(F.size("__w"), F.lit(1))
-    w = F.col("__w")
+    chars, n = F.greatest(F.length(t), F.lit(1)), F.greatest(F.size(w), F.lit(1))
     again = F.size(F.filter(F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("a"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b")), lambda p: p["a"] == p["b"]))
     solid = left(r"\s+")
     stats = {
         "log_chars": F.log1p(F.length(t)),
-        "log_words": F.log1p(F.size("__w")),
+        "log_words": F.log1p(F.size(w)),
         "word_length": solid / n,
         "upper": left(r"[^\p{Lu}]+") / chars,
         "symbols": left(r"[\p{L}\p{N}\s]+") / chars,
@@ -44,17 +49,19 @@ def statistics(text: Column) -> tuple[dict[str, Column], Column, Column]:
         "digits": less("0123456789") / chars,
         "stops": less(".!?") / n,
         "repeats": again / n,
-        "distinct": F.size(F.array_distinct("__w")) / n,
-        "line_length": F.length(t) / F.greatest(F.size("__l"), F.lit(1)),
-        "same_lines": 1 - F.size(F.array_distinct("__l")) / F.greatest(F.size("__l"), F.lit(1)),
+        "distinct": F.size(F.array_distinct(w)) / n,
+        "line_length": F.length(t) / F.greatest(F.size(lines), F.lit(1)),
+        "same_lines": 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
     }
-    return {k: v.cast("double") for k, v in stats.items()}, words, lines
+    return {k: v.cast("double") for k, v in stats.items()}
 
 
-def with_statistics(df: DataFrame, text: str, prefix: str = "__s_") -> DataFrame:
+def with_statistics(df: DataFrame, text: str, prefix: str = "s_") -> DataFrame:
     """df with a column for each statistic, its name under the prefix."""
-    stats, words, lines = statistics(F.col(text))
-    return df.withColumn("__w", words).withColumn("__l", lines).withColumns({prefix + k: v for k, v in stats.items()}).drop("__w", "__l")
+    words, lines = fresh(df, "words", "lines")
+    w, li = words_and_lines(F.col(text))
+    stats = statistics(F.col(text), F.col(words), F.col(lines))
+    return df.withColumns({words: w, lines: li}).withColumns({prefix + k: v for k, v in stats.items()}).drop(words, lines)
 
 
 def held_out(id_col: Column) -> Column:
@@ -149,7 +156,7 @@ class RuleEnsemble:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.intercept + sum((w * holds(r, x) for r, w in self.rules), np.zeros(len(x))))))
 
-    def score(self, prefix: str = "__s_") -> Column:
+    def score(self, prefix: str = "s_") -> Column:
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
             test = F.lit(True)
@@ -189,12 +196,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).alias("__y"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(chosen), "__id")
-    got = with_statistics(rows, "__t").select("__id", "__y", *("__s_" + s for s in STATS)).orderBy(F.xxhash64("__id"), "__id", *("__s_" + s for s in STATS)).limit(sample).toPandas()
-    x = got[["__s_" + s for s in STATS]].to_numpy(np.float64).reshape(-1, len(STATS))
+    got = with_statistics(rows, "__t").select("__id", "__y", *("s_" + s for s in STATS)).orderBy(F.xxhash64("__id"), "__id", *("s_" + s for s in STATS)).limit(sample).toPandas()
+    x = got[["s_" + s for s in STATS]].to_numpy(np.float64).reshape(-1, len(STATS))
     return fit_arrays(x, (got["__y"].to_numpy(np.float64) > 0).astype(np.float64), penalty)
 
 
 def scored(df: DataFrame, model: RuleEnsemble, text: str = "text", into: str = "score") -> DataFrame:
     """df with the score of each whole text. Other columns stay; one named `into` is replaced."""
-    out = with_statistics(df, text).withColumn("__score", model.score())
-    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != into), F.col("__score").alias(into))
+    prefix = next(p for p in ("_" * k + "s_" for k in range(len(df.columns) + 1)) if not any(c.lower().startswith(p) for c in df.columns))
+    [rated] = fresh(df, "rated")
+    out = with_statistics(df, text, prefix).withColumn(rated, model.score(prefix))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != into), F.col(rated).alias(into))

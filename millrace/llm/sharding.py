@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import written
+from millrace.session import fresh, written
 
 BUCKET_BYTES = 32 * 1024 * 1024
 
@@ -47,6 +47,7 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", buck
     df = df.select(*(F.col(f"`{c}`") for c in names))
     columns = [F.col(f"`{c}`") for c in names]
     mark = F.xxhash64(F.lit(seed), *columns)
+    hash_, bucket_, copies_, n_ = fresh(df, "h", "bucket", "copies", "n")
     spark = df.sparkSession
     sizes = written(df.select(mark.alias("h"), record_size(text).alias("size")).groupBy("h").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "records")
     total, size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -57,20 +58,20 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", buck
     counts = np.zeros(buckets, np.int64)
     for r in sizes.where(F.col("n") <= limit).groupBy(bucket(F.col("h")).alias("b")).agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["b"]] = r["n"]
-    scattered = df.withColumn("__h", mark)
+    scattered = df.withColumn(hash_, mark)
     number = hot.count()
     if number:
+        hot = hot.select(F.col("h").alias(hash_))
         hot = F.broadcast(hot) if number <= 100_000 else hot
-        repeated = scattered.join(hot.withColumnRenamed("h", "__h"), "__h", "left_semi").groupBy(*columns, "__h").agg(F.count("*").alias("__n"))
+        repeated = scattered.join(hot, hash_, "left_semi").groupBy(*columns, hash_).agg(F.count("*").alias(n_))
         each = written(repeated, "repeated")
-        share = lambda b: F.floor(F.col("__n") * (b + 1) / buckets) - F.floor(F.col("__n") * b / buckets)
-        spread = each.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).withColumn("__copies", share(F.col("__bucket")).cast("long")).where("__copies > 0").drop("__n")
-        for r in spread.groupBy("__bucket").agg(F.sum("__copies").alias("n")).toLocalIterator():
-            counts[r["__bucket"]] += r["n"]
-        cold = scattered.join(hot.withColumnRenamed("h", "__h"), "__h", "left_anti")
-        scattered = cold.select(*columns, "__h", bucket(F.col("__h")).alias("__bucket"), F.lit(1).cast("long").alias("__copies")).unionByName(spread.select(*columns, "__h", "__bucket", "__copies"))
-    else:
-        scattered = scattered.select(*columns, "__h", bucket(F.col("__h")).alias("__bucket"), F.lit(1).cast("long").alias("__copies"))
+        share = lambda b: F.floor(F.col(n_) * (b + 1) / buckets) - F.floor(F.col(n_) * b / buckets)
+        spread = each.withColumn(bucket_, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).withColumn(copies_, share(F.col(bucket_)).cast("long")).where(F.col(copies_) > 0).drop(n_)
+        for r in spread.groupBy(F.col(bucket_).alias("b")).agg(F.sum(copies_).alias("n")).toLocalIterator():
+            counts[r["b"]] += r["n"]
+        scattered = scattered.join(hot, hash_, "left_anti")
+    single = scattered.select(*columns, hash_, bucket(F.col(hash_)).alias(bucket_), F.lit(1).cast("long").alias(copies_))
+    scattered = single.unionByName(spread.select(*columns, hash_, bucket_, copies_)) if number else single
     first = spark.sparkContext.broadcast(np.concatenate(([0], np.cumsum(counts))))  # one number for each bucket_bytes of input
     low, extra = divmod(int(total), shards)
 
@@ -78,7 +79,7 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", buck
         held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if held is None or not held.num_rows:
             return
-        h, b, copies = (held.column(k).to_numpy() for k in ("__h", "__bucket", "__copies"))
+        h, b, copies = (held.column(k).to_numpy() for k in (hash_, bucket_, copies_))
         table = held.select(names)
         for one in np.unique(b):
             mine = np.flatnonzero(b == one)
@@ -96,7 +97,7 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", buck
                 yield from part.combine_chunks().to_batches()
 
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return scattered.repartitionById(buckets, F.col("__bucket")).mapInArrow(run, schema)
+    return scattered.repartitionById(buckets, F.col(bucket_)).mapInArrow(run, schema)
 
 
 def write_shards(df: DataFrame, path: str, shards: int, seed: int = 0, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> None:

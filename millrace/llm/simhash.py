@@ -18,16 +18,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.graphs import labelled, reduced
-from millrace.session import written
+from millrace.llm.graphs import labels_of, reduced
+from millrace.session import fresh, written
 
-HOT = 4096
+HOT = 4096  # rows of a table bucket before it is split
+MOST_PROBES = 50_000  # of a segment's Hamming ball
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -65,7 +67,9 @@ def fingerprint_column(text: Column, size: int = 2) -> Column:
 def segments(classes: int, radius: int) -> list[tuple[int, int, int]]:
     """(shift, bits, radius) of each segment for so many distinct fingerprints. The radii sum to radius + 1 - segments."""
     bits = max(1, classes).bit_length()
-    m = min(radius + 1, max(1, round(64 / max(16, bits))))
+    m = min(radius + 1, max(2, round(64 / max(16, bits))))  # one segment's ball would be all of the search
+    while m <= radius and sum(comb(-(-64 // m), k) for k in range((radius + 1) // m + 1)) > MOST_PROBES:
+        m += 1
     base, extra = divmod(radius + 1 - m, m)
     out, shift = [], 0
     for i in range(m):
@@ -118,16 +122,22 @@ def near_pairs(classes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
     return looked.join(table, on).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius) & first).select("a", "b", "n_a", "n_b")
 
 
+def _found(df: DataFrame, id_col: str, text: str, radius: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows (id, h: XXH64 of the text, node: fingerprint) of df, labels of the nodes)."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), fingerprint_column(F.col(text), size).alias("node"))
+    rows = written(rows, "fingerprints")
+    classes = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("first")), "classes")
+    links = written(reduced(near_pairs(classes.select(F.col("node").alias("fp"), "n"), radius)), "links")
+    return rows, labels_of(classes, links)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 6, size: int = 2) -> DataFrame:
     """One row for each row of df: id, fp, n_near (other rows linked directly), component_id (smallest id reachable by links).
 
     Columns of df other than the id are not carried; join on the id. Named as the first is in df.
     """
-    marked = written(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text), size).alias("fp")), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first")), "classes")
-    rows = written(reduced(near_pairs(classes.select("fp", "n"), radius)), "pairs")
-    found = labelled(marked.withColumnRenamed("fp", "node"), classes.withColumnRenamed("fp", "node"), rows)
-    return found.select(F.col("id").alias(id_col), F.col("node").alias("fp"), F.col("n_links").alias("n_near"), "component_id")
+    rows, labels = _found(df, id_col, text, radius, size)
+    return rows.join(labels, "node").select(F.col("id").alias(id_col), F.col("node").alias("fp"), F.col("n_links").alias("n_near"), "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -136,18 +146,27 @@ def hex_digits(fp: Column) -> Column:
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 6) -> DataFrame:
-    """df with one row of each group of near-duplicates: that of the smallest id. Columns stay as they are.
+    """df with one row of each group of near-duplicates: that of the smallest id, null ids last. Columns stay as they are.
 
-    If several rows have the id that stays, that with the least XXH64 of its text stays (a minimum by id, aggregated
-    before the shuffle). A group in which all ids are null keeps one row in the same way for all such groups.
+    Of rows of that id, the one with the least XXH64 of the text stays, and of rows alike in both any one. The texts are
+    shuffled once, by id and hash, whatever the number of rows that stay.
     """
-    found = near_duplicates(df, id_col, text, radius).select(F.col(id_col).alias("__id"), "component_id")
-    kept = written(found.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("__id").agg(F.count("*").alias("__rows")), "kept")
-    single, several = kept.where("__rows = 1").select("__id"), kept.where("__rows > 1").select("__id")
-    out = df.join(single, df[id_col].eqNullSafe(single["__id"]), "left_semi")
-    if several.isEmpty():
-        return out
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    again = df.join(several, df[id_col].eqNullSafe(several["__id"]), "left_semi")
-    again = again.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(row, F.coalesce(F.xxhash64(text), F.lit(0))).alias("__row")).select("__row.*")
-    return out.unionByName(again)
+    rows, labels = _found(df, id_col, text, radius, 2)
+    place = F.struct(F.col("id").isNull(), "id", "h")
+    first = rows.join(labels.select("node", "root"), "node").groupBy("root").agg(F.min(place).alias("first"))
+    id_, hash_, h_, row_ = fresh(df, "id", "hash", "h", "row")
+    kept = written(first.select(F.col("first.id").alias(id_), F.col("first.h").alias(hash_)), "kept")
+    repeated = rows.join(kept, rows["id"].eqNullSafe(kept[id_]) & (rows["h"] == kept[hash_]), "left_semi").groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = written(repeated.select(F.col("id").alias(id_), F.col("h").alias(hash_)), "repeated")
+    hashed = df.withColumn(h_, F.coalesce(F.xxhash64(text), F.lit(0)))
+    mine = lambda t: F.col(id_col).eqNullSafe(t[id_]) & (F.col(h_) == t[hash_])
+    single = kept
+    if several := not repeated.isEmpty():
+        single = kept.join(repeated.select(F.col(id_).alias(f"{id_}2"), F.col(hash_).alias(f"{hash_}2")), F.col(id_).eqNullSafe(F.col(f"{id_}2")) & (F.col(hash_) == F.col(f"{hash_}2")), "left_anti")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    out = hashed.join(single, mine(single), "left_semi").select(*columns)
+    if several:
+        whole = F.struct(*columns)
+        again = hashed.join(repeated, mine(repeated), "left_semi").groupBy(F.col(id_col).alias(id_), h_).agg(F.any_value(whole).alias(row_))
+        out = out.unionByName(again.select(f"{row_}.*"))
+    return out

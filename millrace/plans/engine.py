@@ -216,7 +216,7 @@ class SearchEngine:
         if restricted:
             rows = rows.join(allowed, list(KEYS))
         away = knn.with_distance(rows, "embedding", asked[0], self.metric).select(*KEYS, *by, "distance")
-        order = [F.round("distance", 9), F.col("id")]
+        order = [F.round("distance", 9).asc_nulls_last(), F.col("id")]
         return fusion.ranked(away, order, 0, 1.0, fetch, by).withColumn("own", SCORES[self.metric](F.col("distance")))
 
     def _filled(self, best: DataFrame, chunks: DataFrame, query: str, content: bool, metadata: bool) -> DataFrame:

@@ -1,0 +1,133 @@
+"""Embedding, reranking and measures."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import embed, metrics, rerank
+
+
+def test_batches_cost_alike():
+    assert embed.batch_sizes([]) == [] and embed.batch_sizes([4] * 130) == [64, 64, 2]
+    assert embed.batch_sizes([4] * 63 + [40_000]) == [1] * 64 or sum(embed.batch_sizes([4] * 63 + [40_000])) == 64
+    assert embed.batch_sizes([2048] * 40) == [16, 16, 8] and embed.batch_sizes([10**6]) == [1]
+
+
+def test_results_keep_their_order():
+    calls, told = [], []
+
+    def embedder(texts):
+        calls.append(list(texts))
+        return [[float(len(t))] for t in texts]
+
+    texts = ["ccc", "a", "bb"] * 50
+    assert embed.embed_all(embedder, texts, lambda *a: told.append(a)) == [[float(len(t))] for t in texts]
+    assert [len(t) for c in calls for t in c] == sorted(len(t) for t in texts) and told[0] == (0, 150) and told[-1] == (150, 150)
+    with pytest.raises(ValueError, match="2 texts gave 1"):
+        embed.embed_all(lambda t: [[1.0]], ["a", "b"])
+
+
+def test_hashing_is_deterministic_and_of_norm_one():
+    run = embed.hashing(16).make()
+    [a, b, zero] = run(["the cat sat", "the cat sat", ""])
+    assert a == b and np.linalg.norm(a) == pytest.approx(1, abs=1e-6) and not any(zero)
+
+
+def test_pooling():
+    states = np.arange(12, dtype=float).reshape(1, 3, 4)
+    v = embed.pooled(states, np.array([[1, 1, 0]]))
+    assert v[0] == pytest.approx(np.array([2, 3, 4, 5]) / np.linalg.norm([2, 3, 4, 5]))
+
+
+def test_known_models():
+    assert embed.width_of("Xenova/bge-small-en-v1.5") == 384 and embed.width_of("text-embedding-3-large") == 3072 and embed.width_of("x") is None
+    assert embed.window_of("onnx-community/bge-m3") == 8192 and embed.LOCAL["bge-large-en-v1.5"].startswith("onnx-community/")
+
+
+@pytest.mark.parametrize(("service", "answer"), [("openai", {"data": [{"embedding": [1.0]}]}), ("mistral", {"data": [{"embedding": [1.0]}]}), ("cohere", {"embeddings": {"float": [[1.0]]}}), ("google", {"embeddings": [{"values": [1.0]}]}), ("ollama", {"embeddings": [[1.0]]})])
+def test_hosted_models(service, answer):
+    sent = []
+    provider = embed.hosted(service, api_key="k", transport=lambda *a: sent.append(a) or answer)
+    assert provider.make()(["t"]) == [[1.0]] and provider.make()([]) == [] and len(sent) == 1 and "{model}" not in sent[0][0]
+    assert provider.width() == embed.width_of(embed.SERVICES[service].model)
+    assert embed.hosted(service, model="unknown", transport=lambda *a: answer).width() == 1
+
+
+def test_local_models_are_tried_again():
+    cleared, tries = [], []
+
+    def load(name):
+        tries.append(name)
+        if len(tries) == 1:
+            raise OSError("corrupted")
+        return lambda texts: [[0.0]] * len(texts)
+
+    embed.local(load, "bge-small-en-v1.5", cleared.append).make()
+    assert cleared == ["Xenova/bge-small-en-v1.5"] and len(tries) == 2
+    with pytest.raises(ValueError, match="unknown dimensions"):
+        embed.local(load, "nameless")
+
+
+def test_cache_embeds_each_text_once(spark, tmp_path):
+    path, log = str(tmp_path / "cache"), str(tmp_path / "log")
+
+    def make():
+        def run(texts):
+            with open(log, "a") as f:
+                f.writelines(t + "\n" for t in texts)
+            return [[float(len(t))] for t in texts]
+
+        return run
+
+    provider = embed.Provider(make, 1)
+    df = spark.createDataFrame([(1, "aa"), (2, "bbb"), (3, "aa"), (4, None)], "id int, text string")
+    out = {r["id"]: r["embedding"] for r in embed.embedded_cached(df, "text", provider, path).collect()}
+    assert out == {1: [2.0], 2: [3.0], 3: [2.0], 4: [0.0]}
+    more = spark.createDataFrame([(5, "aa"), (6, "cccc")], "id int, text string")
+    assert {r["id"]: r["embedding"] for r in embed.embedded_cached(more, "text", provider, path).collect()} == {5: [2.0], 6: [4.0]}
+    assert sorted(open(log).read().split("\n")[:-1]) == ["", "aa", "bbb", "cccc"]
+    assert {r["id"]: r["embedding"] for r in embed.embedded(df, "text", provider).collect()} == out
+
+
+@pytest.fixture
+def candidates(spark):
+    return spark.createDataFrame([(1, "a", 0.9, "nothing here"), (2, "b", 0.8, None), (3, "c", 0.7, "parser parser"), (4, "d", 0.6, "one parser of many")], "rank int, id string, score double, content string")
+
+
+def test_lexical_and_pair_models(candidates):
+    rows = rerank.lexical()("parser", candidates).orderBy("rank").collect()
+    assert [r["id"] for r in rows] == ["c", "d", "a", "b"] and rows[0]["score"] == pytest.approx(rerank.logistic(math.log(3) - 0.5)) and rows[3]["score"] == 0.8
+    model = rerank.cross_encoder(lambda: lambda pairs: [float(len(c)) / 10 - 1 for _, c in pairs])
+    rows = model("q", candidates).orderBy("rank").collect()
+    assert [r["id"] for r in rows] == ["d", "c", "a", "b"] and rows[0]["score"] == pytest.approx(rerank.logistic(0.8))
+
+
+@pytest.mark.parametrize("service", ["cohere", "jina"])
+def test_hosted_rerankers(candidates, service, monkeypatch):
+    sent = []
+
+    def transport(url, headers, body):
+        sent.append((url, headers, body))
+        return {"results": [{"index": 2, "relevance_score": 0.9}, {"index": 0, "relevance_score": 0.95}]}
+
+    out = rerank.hosted(service, api_key="k", top_n=2, transport=transport)("q", candidates).orderBy("rank").collect()
+    assert [(r["id"], r["rank"]) for r in out] == [("a", 1), ("d", 2), ("b", 3)]
+    assert sent[0][0].endswith("/rerank") and sent[0][2]["documents"] == ["nothing here", "parser parser", "one parser of many"] and sent[0][2]["top_n"] == 2
+    assert rerank.hosted(service, api_key="k", transport=transport)("q", candidates.where("content is null")).count() == 1 and len(sent) == 1
+    monkeypatch.delenv(f"{service.upper()}_API_KEY", raising=False)
+    with pytest.raises(ValueError, match="API key"):
+        rerank.hosted(service)
+
+
+def test_measures(spark):
+    rows = [("q1", 1, 0), ("q1", 2, 1), ("q1", 3, 1), ("q2", 1, 1), ("q3", 1, 0), ("q3", 2, 0)]
+    df = spark.createDataFrame(rows, "q string, rank int, relevant int")
+    get = lambda d, c: {r["q"]: r[c] for r in d.collect()}
+    ndcg = get(metrics.ndcg(df, ["q"]), "ndcg")
+    assert ndcg["q1"] == pytest.approx((1 / math.log2(3) + 0.5) / (1 + 1 / math.log2(3))) and ndcg["q2"] == 1 and ndcg["q3"] == 0
+    assert get(metrics.reciprocal_rank(df, ["q"]), "rr") == {"q1": 0.5, "q2": 1.0, "q3": 0.0}
+    assert get(metrics.hit_at(df, ["q"], 1), "hit") == {"q1": 0, "q2": 1, "q3": 0}
+    assert get(metrics.precision(df, ["q"]), "precision")["q1"] == pytest.approx(2 / 3)
+    assert spark.createDataFrame([("The Parser",)], "t string").select(metrics.keyword_hit(F.col("t"), ["parse", "x"])).first()[0]

@@ -1,0 +1,53 @@
+"""Every query of the engine that SQL can express equals DuckDB's answer."""
+
+import duckdb
+import pytest
+
+from millrace.plans.queries import ORACLE, QUERIES
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    return con
+
+
+def values(df):
+    df = df[sorted(df.columns)]
+    return sorted(map(repr, df.astype(object).where(df.notna(), None).values.tolist()))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_oracle(spark, sf, duck, name):
+    got, want = QUERIES[name](spark, sf).toPandas(), duck.execute(ORACLE[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and values(got) == values(want)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLE.keys()))
+def test_rows(spark, sf, name):
+    assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_chunks_query_covers_all_texts(spark, sf):
+    docs = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = {}
+    for r in QUERIES["chunk_markdown"](spark, sf).collect():
+        key = r["parent_id"] or r["id"]
+        seen.setdefault(key, []).append((r["start"], r["end"]))
+    assert seen.keys() == docs.keys()
+    for key, spans in seen.items():
+        if spans != [(None, None)]:
+            spans.sort()
+            assert spans[0][0] == 0 and spans[-1][1] == len(docs[key]) and all(b[0] <= a[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    df = __spark_entry__.entry(spark)
+    assert df.columns == ["id", "score"] and df.count() == 10
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

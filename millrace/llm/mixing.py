@@ -138,5 +138,5 @@ def select_mixed(df: DataFrame, levels: list[Column], weight: Mapping[Key, float
     id_, hash_, times_, h_, time_ = fresh(df, "id", "hash", "times", "h", "time")
     chosen = mixed(df, levels, weight, id_col=id_col, text=text, **options)
     chosen = chosen.groupBy("id", "h", "epoch").agg(F.count("*").alias("rows")).groupBy(F.col("id").alias(id_), F.col("h").alias(hash_)).agg(F.count("*").cast("int").alias(times_))
-    joined = df.withColumn(h_, F.coalesce(F.xxhash64(text), F.lit(0))).join(written(chosen, "chosen"), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h_) == F.col(hash_)))
+    joined = df.withColumn(h_, F.coalesce(F.xxhash64(text), F.lit(0))).join(written(chosen, "chosen").hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h_) == F.col(hash_)))
     return joined.withColumn(time_, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -164,9 +164,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     if several := not repeated.isEmpty():
         single = kept.join(repeated.select(F.col(id_).alias(f"{id_}2"), F.col(hash_).alias(f"{hash_}2")), F.col(id_).eqNullSafe(F.col(f"{id_}2")) & (F.col(hash_) == F.col(f"{hash_}2")), "left_anti")
     columns = [F.col(f"`{c}`") for c in df.columns]
-    out = hashed.join(single, mine(single), "left_semi").select(*columns)
+    out = hashed.join(single.hint("shuffle_hash"), mine(single), "left_semi").select(*columns)
     if several:
         whole = F.struct(*columns)
-        again = hashed.join(repeated, mine(repeated), "left_semi").groupBy(F.col(id_col).alias(id_), h_).agg(F.any_value(whole).alias(row_))
+        again = hashed.join(repeated.hint("shuffle_hash"), mine(repeated), "left_semi").groupBy(F.col(id_col).alias(id_), h_).agg(F.any_value(whole).alias(row_))
         out = out.unionByName(again.select(f"{row_}.*"))
     return out

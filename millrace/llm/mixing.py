@@ -19,6 +19,7 @@ a budget of 0 gives an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Mapping
 
 import pandas as pd
@@ -28,29 +29,33 @@ from pyspark.sql import functions as F
 from millrace.session import fresh, written
 
 PER_RANGE = 20_000  # rows of a range of the hash, about
+MOST_LEAVES = 50_000  # beyond, the leaves' plan is joined by shuffle instead of broadcast
 Key = tuple[object, ...]
 
 
 def split_budget(budget: float, capacity: Mapping[Key, float], weight: Mapping[Key, float], default: float = 1.0) -> dict[Key, float]:
     """Tokens for each leaf. Keys of capacity are paths of one length; weights go by path prefix, in proportion among siblings."""
 
-    def able(node: Key) -> float:
-        return sum(c for k, c in capacity.items() if k[: len(node)] == node)
-
     depth = max((len(k) for k in capacity), default=0)
     out: dict[Key, float] = {}
+    room: dict[Key, float] = defaultdict(float)
+    children: dict[Key, set[Key]] = defaultdict(set)
+    for k, c in capacity.items():
+        for d in range(depth + 1):
+            room[k[:d]] += c
+            if d:
+                children[k[: d - 1]].add(k[:d])
 
     def give(node: Key, amount: float) -> None:
         if len(node) == depth:
             out[node] = min(amount, capacity[node])
             return
-        kids = sorted({k[: len(node) + 1] for k in capacity if k[: len(node)] == node}, key=str)
-        room = {k: able(k) for k in kids}
+        kids = sorted(children[node], key=str)
         share = dict.fromkeys(kids, 0.0)
         left, open_ = amount, [k for k in kids if weight.get(k, default) > 0 and room[k] > 0]
         while left > 1e-9 and open_:  # what a full child cannot take goes to its siblings
             total = sum(weight.get(k, default) for k in open_)
-            full = [k for k in open_ if share[k] + left * weight.get(k, default) / total >= room[k] - 1e-9]
+            full = {k for k in open_ if share[k] + left * weight.get(k, default) / total >= room[k] - 1e-9}
             if not full:
                 for k in open_:
                     share[k] += left * weight.get(k, default) / total
@@ -102,7 +107,9 @@ def mixed(df: DataFrame, levels: list[Column], weight: Mapping[Key, float], budg
     schema = ", ".join(f"{n} string" for n in names) + ", full int, rest long, ranges int"
     if not table:
         return spark.createDataFrame([], "id " + dict(rows.dtypes)["id"] + ", h long, leaf string, epoch int, n_tokens long")
-    plan = F.broadcast(spark.createDataFrame(pd.DataFrame(table, columns=[*names, "full", "rest", "ranges"]).astype({n: object for n in names}), schema))  # one row for each leaf
+    plan = spark.createDataFrame(pd.DataFrame(table, columns=[*names, "full", "rest", "ranges"]).astype({n: object for n in names}), schema)  # one row for each leaf
+    if len(table) <= MOST_LEAVES:
+        plan = F.broadcast(plan)
     same = [rows[n].eqNullSafe(plan[n]) for n in names]
     on = same[0]
     for s in same[1:]:

@@ -81,25 +81,35 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
 
 
 def filled(left: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """One configuration from what is left: the longest piece, then always the longest that fits, last the best fit for the rest of two."""
-    out: dict[int, int] = defaultdict(int)
-    space, have = capacity, left.copy()
-    while True:
-        ok = np.flatnonzero((have > 0) & (lengths <= space))
-        if not len(ok):
-            return out
-        i = int(ok[-1])
-        rest = space - int(lengths[i])
-        if rest and len(ok) > 1:  # a pair that fills the space exactly beats the longest that leaves a gap
-            at = np.searchsorted(lengths[ok], space - lengths[ok], side="right") - 1
-            pair = lengths[ok] + np.where(at >= 0, lengths[ok[np.maximum(at, 0)]], 0)
-            pair = np.where((at >= 0) & ((ok[np.maximum(at, 0)] != ok) | (have[ok] > 1)), pair, 0)
-            best = int(pair.argmax())
-            if pair[best] > lengths[i]:
-                i = int(max(ok[best], ok[at[best]]))
-        out[i] += 1
-        have[i] -= 1
-        space -= int(lengths[i])
+    """One configuration from what is left: the longest piece, and the best fit for the rest of the space.
+
+    The sums that the other pieces can make are bits of a number, added length by length; of the fits that leave the
+    least space, the one with the longest pieces is read back.
+    """
+    have = np.flatnonzero(left)
+    longest = int(have[-1])
+    out = {longest: 1}
+    space = capacity - int(lengths[longest])
+    mask, reach, steps = (1 << space + 1) - 1, 1, []
+    for i in have.tolist():
+        n = int(lengths[i])
+        if n > space:
+            break
+        times = min(int(left[i]) - (i == longest), space // n)
+        steps.append((i, n, times, reach))
+        more = 1
+        while times > 0:  # 1, 2, 4, ... and the remainder: all multiples up to times
+            k = min(more, times)
+            reach |= reach << k * n & mask
+            times -= k
+            more *= 2
+    rest = reach.bit_length() - 1
+    for i, n, times, before in reversed(steps):
+        k = next(k for k in range(min(times, rest // n), -1, -1) if before >> rest - k * n & 1)
+        if k:
+            out[i] = out.get(i, 0) + k
+            rest -= k * n
+    return out
 
 
 def plan(histogram: dict[int, int], capacity: int, rounds: int = 400, epsilon: float = 0.5) -> list[tuple[Config, int]]:

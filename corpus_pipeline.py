@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import mixing, packing, quality, secret_scan, simhash
 from millrace.llm.queries import MIX, THRESHOLD, domain, ranks_path
-from millrace.session import ship, written
+from millrace.session import drop_written, ship, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again; a table goes when the next one is written."""
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before, docs = None, spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            drop_written(before)
+        before = docs
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # from here on its own table of pieces is read
+    drop_written(docs)
+    return packed

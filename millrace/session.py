@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -44,15 +45,20 @@ def drop_written(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable on the Python workers, wherever they run."""
+    """Make this package importable on the Python workers, wherever they run: as an archive in the shared folder."""
     sc = spark.sparkContext
     if not getattr(sc, "_millrace_shipped", False):
-        home = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        home, data = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
             for p in sorted(home.rglob("*.py")):
                 z.write(p, p.relative_to(home.parent))
-        sc.addPyFile(str(target))
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}.zip")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        try:
+            out.write(bytearray(data.getvalue()))
+        finally:
+            out.close()
+        sc.addPyFile(target.toString())
         sc._millrace_shipped = True
     return spark
 

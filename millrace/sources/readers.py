@@ -35,3 +35,11 @@ def jdbc(spark: SparkSession, url: str, table: str, where: str = "", **options:
     """A table of a store reached by JDBC; `where` (filters.to_sql with its values put in by the caller) runs there."""
     query = f"(SELECT * FROM {table}{' WHERE ' + where if where else ''}) AS t"
     return spark.read.format("jdbc").option("url", url).option("dbtable", query).options(**options).load()
+
+
+def to_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
+    """Write df to a table of a store reached by JDBC; arrays, such as embeddings, go as JSON text, which vector columns take."""
+    from pyspark.sql import types as T
+
+    plain = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) else F.col(f.name) for f in df.schema]
+    df.select(*plain).write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode(mode).save()

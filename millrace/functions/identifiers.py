@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LOW_UP, _UP_WORD = r"([a-z])([A-Z])", r"([A-Z]+)([A-Z][a-z])"
+#: Places at which an identifier's case changes: before a capital after a small letter, and before the last of some capitals.
+_TURN = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 _CODE = r"[a-z][A-Z]|[A-Z]{2}[a-z]|[_.]"
 #: Marks that a search string is cleared of; apostrophe and underscore stay.
 MARKS = "\\" + "?\"():^*-=<>[]{}/|@#$%&~`+,.;!"
@@ -26,8 +27,7 @@ def parts_of(token: str) -> list[str]:
         return [p for piece in token.split(".") for p in parts_of(piece)]
     if "_" in token:
         return [p for p in token.split("_") if p]
-    spaced = re.sub(_UP_WORD, r"\1 \2", re.sub(_LOW_UP, r"\1 \2", token))
-    found = [p for p in spaced.split(" ") if p]
+    found = [p for p in re.sub(_TURN, " ", token).split(" ") if p]
     return found if len(found) > 1 else [token]
 
 
@@ -73,7 +73,7 @@ def identifier_flag(token: Column) -> Column:
 
 def expanded(token: Column) -> Column:
     """expand() of a column of single words without dots."""
-    camel = F.regexp_replace(F.regexp_replace(token, _LOW_UP, "$1 $2"), _UP_WORD, "$1 $2")
+    camel = F.regexp_replace(token, _TURN, " ")
     snake = F.array_join(F.filter(F.split(token, "_"), lambda p: p != ""), " ")
     parts = F.when(token.contains("_"), snake).otherwise(camel)
     return F.when(identifier_flag(token) & parts.contains(" "), F.concat_ws(" ", parts, token)).otherwise(token)

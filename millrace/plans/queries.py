@@ -160,7 +160,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAME = "lang || upper(substr(source, 1, 1)) || substr(source, 2)"
-_SPACED = f"regexp_replace(regexp_replace({_NAME}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+_SPACED = f"regexp_replace(regexp_replace({_NAME}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]{{1,}})([A-Z][a-z])', '\\1 \\2', 'g')"
 
 
 def _name() -> Column:

@@ -28,9 +28,9 @@ def corpus(spark):
 
 def fts(rows, query, weights="0, 2.0, 1.0"):
     db = sqlite3.connect(":memory:")
-    db.execute("create virtual table t using fts5(id, headers, content, tokenize='porter unicode61')")
+    db.execute("create virtual table t using fts5(key, heads, body, tokenize='porter unicode61')")
     db.executemany("insert into t values (?, ?, ?)", [(i, h, c) for i, c, h in rows])
-    return {i: -s for i, s in db.execute(f"select id, bm25(t, {weights}) from t where t match ?", (query,))}
+    return {i: -s for i, s in db.execute(f"select key, bm25(t, {weights}) from t where t match ?", (query,))}
 
 
 @pytest.mark.parametrize("query", ["user", "user name", "get_user", "get_user_name token token", "running parser", "Café STRASSE straße", "d7 user", "d1 nothing", "user user user"])
@@ -165,10 +165,10 @@ def test_search_equals_the_lists_fused_by_hand(engine, spark):
     docs = [(i, c, "") for i, c, _ in DOCS]
     meta = {i: json.dumps(m) if m else "" for i, _, m in DOCS}
     db = sqlite3.connect(":memory:")
-    db.execute("create virtual table t using fts5(id, headers, content, metadata, tokenize='porter unicode61')")
+    db.execute("create virtual table t using fts5(key, heads, body, extra, tokenize='porter unicode61')")
     heads = {"guide.md": "Login\nTokens"}
     db.executemany("insert into t values (?, ?, ?, ?)", [(i, heads.get(i, ""), c, meta[i]) for i, c, _ in docs])
-    word = lambda m: [r[0] for r in db.execute("select id from t where t match ? order by round(bm25(t, 0, 2.0, 1.0, 0), 9), id", (m,))]
+    word = lambda m: [r[0] for r in db.execute("select key from t where t match ? order by round(bm25(t, 0, 2.0, 1.0, 0), 9), key", (m,))]
     order, score = brute_fusion((1, word('"tokens" "parser"')), (0.5, word('"tokens" OR "parser"')), (1, [r["id"] for r in near]))
     got = e.search(query).collect()
     assert [r["id"] for r in got] == order and all(r["score"] == pytest.approx(score[r["id"]]) for r in got)

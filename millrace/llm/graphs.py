@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.session import drop_written, written
 
 FLUSH = 2_000_000
+ONE_TASK = 1_000_000  # links of 16 bytes
 REDUCED = "node long, other long, links long"
 
 
@@ -104,10 +105,12 @@ def components(rows: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each is a minimum by node, aggregated before the shuffle, and a join
     back. Each round is written to the shared folder. A round that changes nothing ends it; the number of rounds
-    grows with the logarithm of the number of nodes.
+    grows with the logarithm of the number of nodes. At most ONE_TASK links, counted first, are joined in one task instead.
     """
     edges = written(rows.where("node <> other").select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), "links")
     mark = _mark(edges)
+    if mark[0] <= ONE_TASK:
+        return edges.coalesce(1).mapInArrow(_rooted, "node long, root long")
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -123,6 +126,13 @@ def components(rows: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    if links:
+        node, root = forest(*(np.concatenate(c) for c in zip(*links, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     """Number of links and an order-free digest of them."""
     row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.lit(0))).first()

@@ -45,7 +45,9 @@ def test_forest_keeps_components():
         assert len(set(x.tolist())) == len(x)
 
 
-def test_components_of_long_and_wide_graphs(spark):
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components_of_long_and_wide_graphs(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graphs, "ONE_TASK", one_task)
     chain = [(k, k + 1) for k in range(1000, 1060)]
     star = [(5, k) for k in range(2000, 2050)]
     rng = random.Random(1)

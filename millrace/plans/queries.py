@@ -180,7 +180,7 @@ def code_ident_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILE = "source || CASE lang WHEN 'en' THEN '.ts' WHEN 'fr' THEN '.JSX' WHEN 'de' THEN '.md' ELSE '' END"
 
 
-@query("content_type_route", f"SELECT doc_id, CASE WHEN lower(split_part({_FILE}, '.', -1)) IN ('ts','tsx','mts','cts','js','jsx','mjs','cjs') THEN 'code' ELSE 'markdown' END AS kind FROM documents")
+@query("content_type_route", f"SELECT doc_id, CASE WHEN lower(split_part({_FILE}, '.', -1)) IN ('cjs','cts','js','jsx','mjs','mts','ts','tsx') THEN 'code' ELSE 'markdown' END AS kind FROM documents")
 def content_type_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.when(F.col("lang") == "en", ".ts").when(F.col("lang") == "fr", ".JSX").when(F.col("lang") == "de", ".md").otherwise("")
     return _t(spark, sf_dir, "documents").select("doc_id", I.content_type_column(F.concat("source", ending)).alias("kind"))

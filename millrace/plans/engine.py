@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from millrace.operators import bm25, filters, fusion, knn
 from millrace.operators.chunking import Chunk, chunked
 from millrace.operators.embed import Provider, embedded, embedded_cached
 from millrace.operators.rerank import Reranker
-from millrace.session import written
+from millrace.session import shared_dir, written
 from millrace.sources.store import REMOVED, Store
 
 MODES = ("hybrid", "composed", "keyword", "vector")
@@ -29,19 +30,19 @@ KEYS = ("seg", "id")
 class SearchEngine:
     """Documents (id, content, metadata as a JSON text) in; ranked results out.
 
-    mode: "hybrid" fuses the words' AND list (weight 1), OR list (0.5) and the vectors' list (1) in one step; "composed"
+    path: the index's folder; None: a new one in the shared folder, for as long as that lasts. mode: "hybrid" fuses the words' AND list (weight 1), OR list (0.5) and the vectors' list (1) in one step; "composed"
     fuses the vectors' list with the keyword list, itself fused of AND and OR; "keyword" and "vector" search one way.
     categorize: an expression for a document's category; with more than one category, each is searched for itself and
     the lists are interleaved. fields: metadata keys kept as typed columns {name: type}, on which filters reach the
     Parquet scan; all others are read from the JSON.
     """
 
-    def __init__(self, spark: SparkSession, path: str, mode: str = "hybrid", embeddings: Provider | None = None, metric: str = "l2", chunker: Callable[[str, str], list[Chunk]] | None = None, categorize: Column | None = None, reranker: Reranker | None = None, fields: Mapping[str, str] | None = None, embedding_cache: str | None = None, progress: Callable[[str, int, int], None] | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, mode: str = "hybrid", embeddings: Provider | None = None, metric: str = "l2", chunker: Callable[[str, str], list[Chunk]] | None = None, categorize: Column | None = None, reranker: Reranker | None = None, fields: Mapping[str, str] | None = None, embedding_cache: str | None = None, progress: Callable[[str, int, int], None] | None = None):
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         if mode != "keyword" and embeddings is None:
             raise ValueError("embeddings are required unless the mode is keyword")
-        self.spark, self.store, self.mode, self.metric = spark, Store(spark, path), mode, metric
+        self.spark, self.store, self.mode, self.metric = spark, Store(spark, path or f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}"), mode, metric
         self.embeddings, self.chunker, self.categorize, self.reranker = embeddings, chunker, categorize, reranker
         self.fields, self.cache, self.progress = dict(fields or {}), embedding_cache, progress
         self.weights = WEIGHTS["hybrid" if mode == "hybrid" else "keyword"]

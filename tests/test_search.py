@@ -277,7 +277,7 @@ def test_streams_are_indexed(spark, tmp_path):
     assert set(ids(e.search("parser"))) == {"s0", "s1"}
 
 
-def test_progress_is_told(spark, tmp_path):
+def test_progress_is_told(spark):
     told = []
-    SearchEngine(spark, str(tmp_path / "p"), embeddings=hashing(8), progress=lambda *a: told.append(a)).index(frame(spark, DOCS))
+    SearchEngine(spark, embeddings=hashing(8), progress=lambda *a: told.append(a)).index(frame(spark, DOCS))
     assert [t[0] for t in told] == ["chunking", "chunking", "embedding", "embedding", "storing", "storing"] and told[-1] == ("storing", 4, 4)

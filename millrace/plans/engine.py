@@ -76,8 +76,7 @@ class SearchEngine:
 
         Of several documents of one id in a batch one is kept. Work and writes follow the batch, not what is stored.
         """
-        docs = docs.dropDuplicates(["id"])
-        df = self._prepared(docs).withColumn("doc", F.coalesce("parent_id", "id"))
+        df = self._prepared(docs.dropDuplicates(["id"])).withColumn("doc", F.coalesce("parent_id", "id"))
         self._tell("chunking", 0, 1)
         rows = written(df, "prepared")  # chunks are cut once, and read by each index
         self._tell("chunking", 1, 1)
@@ -92,7 +91,7 @@ class SearchEngine:
             posts = written(bm25.postings(rows.withColumn("headers", X.headings(F.col("content"))), "id", list(self.weights), carry=["doc"]), "postings")
             tables["postings"] = posts
             tables["lengths"] = rows.select("id", "doc").join(bm25.lengths(posts), "id", "left").select("id", "doc", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
-        tables[REMOVED] = docs.select(F.col("id").cast("string").alias("doc"))
+        tables[REMOVED] = rows.select("doc").distinct()
         count = rows.count()
         self._tell("storing", 0, count)
         self.store.append(tables, SORT)

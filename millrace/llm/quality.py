@@ -206,4 +206,4 @@ def scored(df: DataFrame, model: RuleEnsemble, text: str = "text", into: str = "
     prefix = next(p for p in ("_" * k + "s_" for k in range(len(df.columns) + 1)) if not any(c.lower().startswith(p) for c in df.columns))
     [rated] = fresh(df, "rated")
     out = with_statistics(df, text, prefix).withColumn(rated, model.score(prefix))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != into), F.col(rated).alias(into))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()), F.col(rated).alias(into))

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from millrace.session import fresh, written
 
 BUCKET_BYTES = 32 * 1024 * 1024
+LEAST_BUCKETS = 16  # for small tables; a constant, so that the result does not depend on the cluster
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -43,7 +44,7 @@ def record_size(text: str) -> F.Column:
 
 def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df with columns shard (from 0) and slot (place in the shard, gapless from 0), in a seeded random order."""
-    names = [c for c in df.columns if c not in ("shard", "slot")]
+    names = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     df = df.select(*(F.col(f"`{c}`") for c in names))
     columns = [F.col(f"`{c}`") for c in names]
     mark = F.xxhash64(F.lit(seed), *columns)
@@ -51,7 +52,7 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", buck
     spark = df.sparkSession
     sizes = written(df.select(mark.alias("h"), record_size(text).alias("size")).groupBy("h").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "records")
     total, size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = max(1, -(-size // bucket_bytes), min(total, spark.sparkContext.defaultParallelism))
+    buckets = max(1, -(-size // bucket_bytes), min(total, LEAST_BUCKETS))
     limit = max(64, total // (8 * buckets))
     hot = sizes.where(F.col("n") > limit).select("h", "n")
     bucket = lambda h: F.pmod(F.xxhash64(h), F.lit(buckets)).cast("int")
@@ -76,14 +77,16 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", buck
     low, extra = divmod(int(total), shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if held is None or not held.num_rows:
+        parts = [x for x in batches if x.num_rows]
+        if not parts:
             return
+        held = pa.Table.from_batches(parts)
         h, b, copies = (held.column(k).to_numpy() for k in (hash_, bucket_, copies_))
         table = held.select(names)
         for one in np.unique(b):
             mine = np.flatnonzero(b == one)
-            mine = np.repeat(mine[np.argsort(h[mine], kind="stable")], copies[mine[np.argsort(h[mine], kind="stable")]])
+            mine = mine[np.argsort(h[mine], kind="stable")]  # whatever order the shuffle brought
+            mine = np.repeat(mine, copies[mine])
             start, end = int(first.value[one]), int(first.value[one + 1])
             if len(mine) != end - start:
                 raise RuntimeError(f"bucket {one} has {len(mine)} records, {end - start} were counted: the input changed between reads")

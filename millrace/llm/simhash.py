@@ -5,8 +5,8 @@ Rows with one fingerprint form a class, aggregated before anything is compared.
 hashing: the fingerprint is cut into segments; two that differ in at most `radius` bits differ in at most r_i bits
 of some segment i, where the r_i sum to radius + 1 less the number of segments. So every class is looked up under
 all values in the Hamming ball of radius r_i around its segment, and candidates are verified on all 64 bits. A pair
-found by several segments counts for the first alone. Segments are about log2(classes) bits long, which keeps table
-buckets short as the corpus grows; buckets that are long all the same are split by a salt, over which their lookups
+found by several segments counts for the first alone. The number of segments is that of least cost for the number
+of classes, so table buckets stay short as the corpus grows; buckets that are long all the same are split by a salt, over which their lookups
 fan out. Found links are summed and reduced to forests inside the tasks that find them.
 
 Defined results: null texts and texts without words have fingerprint zero, which links like any other; a text of one
@@ -29,7 +29,8 @@ from millrace.llm.graphs import labels_of, reduced
 from millrace.session import fresh, written
 
 HOT = 4096  # rows of a table bucket before it is split
-MOST_PROBES = 50_000  # of a segment's Hamming ball
+MOST_SEGMENTS = 4
+LOOKUP, CANDIDATE = 1.5, 0.015  # microseconds, about
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -64,12 +65,8 @@ def fingerprint_column(text: Column, size: int = 2) -> Column:
     return of(text)
 
 
-def segments(classes: int, radius: int) -> list[tuple[int, int, int]]:
-    """(shift, bits, radius) of each segment for so many distinct fingerprints. The radii sum to radius + 1 - segments."""
-    bits = max(1, classes).bit_length()
-    m = min(radius + 1, max(2, round(64 / max(16, bits))))  # one segment's ball would be all of the search
-    while m <= radius and sum(comb(-(-64 // m), k) for k in range((radius + 1) // m + 1)) > MOST_PROBES:
-        m += 1
+def _cut_into(m: int, radius: int) -> list[tuple[int, int, int]]:
+    """m segments of like length; their radii sum to radius + 1 - m."""
     base, extra = divmod(radius + 1 - m, m)
     out, shift = [], 0
     for i in range(m):
@@ -79,6 +76,20 @@ def segments(classes: int, radius: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def segments(classes: int, radius: int) -> list[tuple[int, int, int]]:
+    """(shift, bits, radius) of each segment for so many distinct fingerprints: the number of segments that costs least.
+
+    A fingerprint is looked up once for each mask of each ball, and meets classes / 2^bits others each time. Few long
+    segments mean many lookups, many short ones long buckets; the best length rises with log2(classes). No more than
+    MOST_SEGMENTS, as short segments have hot values.
+    """
+
+    def cost(parts: list[tuple[int, int, int]]) -> float:
+        return sum(sum(comb(n, k) for k in range(r + 1)) * (LOOKUP + CANDIDATE * classes / 2**n) for _, n, r in parts)
+
+    return min((_cut_into(m, radius) for m in range(min(2, radius + 1), max(min(MOST_SEGMENTS, radius + 1), -(-radius // 3)) + 1)), key=cost)
+
+
 def ball(bits: int, radius: int) -> list[int]:
     """All masks of at most `radius` of so many bits."""
     return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]

@@ -235,7 +235,7 @@ def pack(cut_up: DataFrame, capacity: int = 1024, rounds: int = 400) -> DataFram
         s, o = places.find(length.to_numpy(np.int64), rank.to_numpy(np.int64))
         return pd.DataFrame({"sequence_id": s, "offset": o})
 
-    ranked = cut_up.join(counts, ["length", "task"]).withColumn("at", placed("length", F.col("place") + F.col("before")))
+    ranked = cut_up.join(counts.hint("shuffle_hash"), ["length", "task"]).withColumn("at", placed("length", F.col("place") + F.col("before")))
     return ranked.select(*cut_up.columns, "at.sequence_id", "at.offset")
 
 

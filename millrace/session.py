@@ -63,6 +63,11 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def part_bytes(total: int) -> int:
+    """How large a part of so many bytes should be for one task to hold it: 32 MB, more where that makes over 10,000 parts, 512 MB at most."""
+    return max(32 << 20, min(512 << 20, total // 10_000))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores put before it as it takes to be no column of df."""
     taken = {c.lower() for c in df.columns}

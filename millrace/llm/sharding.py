@@ -24,10 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import fresh, written
+from millrace.session import fresh, part_bytes, written
 
-BUCKET_BYTES = 32 * 1024 * 1024
-LEAST_BUCKETS = 16  # for small tables; a constant, so that the result does not depend on the cluster
+LEAST_BUCKETS = 4  # for small tables; a constant, so that the result does not depend on the cluster
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -42,8 +41,11 @@ def record_size(text: str) -> F.Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """df with columns shard (from 0) and slot (place in the shard, gapless from 0), in a seeded random order."""
+def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", bucket_bytes: int | None = None) -> DataFrame:
+    """df with columns shard (from 0) and slot (place in the shard, gapless from 0), in a seeded random order.
+
+    bucket_bytes: what one task can hold, with room to spare; None: 32 to 512 MB, by the table's size.
+    """
     names = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     df = df.select(*(F.col(f"`{c}`") for c in names))
     columns = [F.col(f"`{c}`") for c in names]
@@ -52,7 +54,7 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", buck
     spark = df.sparkSession
     sizes = written(df.select(mark.alias("h"), record_size(text).alias("size")).groupBy("h").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "records")
     total, size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = max(1, -(-size // bucket_bytes), min(total, LEAST_BUCKETS))
+    buckets = max(1, -(-size // (bucket_bytes or part_bytes(size))), min(total, LEAST_BUCKETS))
     limit = max(64, total // (8 * buckets))
     hot = sizes.where(F.col("n") > limit).select("h", "n")
     bucket = lambda h: F.pmod(F.xxhash64(h), F.lit(buckets)).cast("int")
@@ -73,7 +75,7 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", buck
         scattered = scattered.join(hot, hash_, "left_anti")
     single = scattered.select(*columns, hash_, bucket(F.col(hash_)).alias(bucket_), F.lit(1).cast("long").alias(copies_))
     scattered = single.unionByName(spread.select(*columns, hash_, bucket_, copies_)) if number else single
-    first = spark.sparkContext.broadcast(np.concatenate(([0], np.cumsum(counts))))  # one number for each bucket_bytes of input
+    first = spark.sparkContext.broadcast(np.concatenate(([0], np.cumsum(counts))))  # one number for each bucket
     low, extra = divmod(int(total), shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +105,6 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", buck
     return scattered.repartitionById(buckets, F.col(bucket_)).mapInArrow(run, schema)
 
 
-def write_shards(df: DataFrame, path: str, shards: int, seed: int = 0, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> None:
+def write_shards(df: DataFrame, path: str, shards: int, seed: int = 0, text: str = "text", bucket_bytes: int | None = None) -> None:
     """Write shuffled(df) as Parquet under path, a folder for each shard; within a shard, slots rise over its files by name and inside them."""
     shuffled(df, shards, seed, text, bucket_bytes).write.partitionBy("shard").parquet(path)

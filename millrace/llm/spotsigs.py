@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import written
+from millrace.session import part_bytes, written
 
 ANCHORS = frozenset(
     "a an the is are was were be been of and to in that it for on with as by this from or at not he she they we you his her its but have has had which will would there their"
@@ -35,7 +35,6 @@ ANCHORS = frozenset(
     " el los las una y es por con para del al lo como su no más o pero sus".split()
 )
 _WORD = re.compile(r"\w+")
-PART_BYTES = 32 * 1024 * 1024
 
 
 def signatures(text: str | None, anchors: frozenset[str] = ANCHORS, distance: int = 1, length: int = 2) -> frozenset[str]:
@@ -108,7 +107,7 @@ def _key(i: int | None, h: int) -> tuple:
     return (0, 0, h) if i is None else (1, i, h)
 
 
-def with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> tuple[DataFrame, _Order]:
+def with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_size: int | None = None) -> tuple[DataFrame, _Order]:
     """Rows (id, h, text, copies, part, own) in parts of the order by id, and the order. Each part also holds the row after its last, not its own.
 
     One shuffle of the texts. Bounds of the parts come from percentiles of the ids; an id with more rows than fit a part
@@ -117,7 +116,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_by
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h"), "text", F.lit(1).cast("long").alias("copies"))
     total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()
-    parts = max(1, -(-size // part_bytes), min(total, df.sparkSession.sparkContext.defaultParallelism))
+    parts = max(1, -(-size // (part_size or part_bytes(size))), min(total, df.sparkSession.sparkContext.defaultParallelism))
     shares = [k / parts for k in range(1, parts)]
     bounds: set[tuple] = set()
     if shares:
@@ -155,12 +154,12 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_by
     return sent.repartitionById(parts, F.col("part")), order
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_size: int | None = None) -> DataFrame:
     """One row for each row of df: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures.
 
     The edited text takes its end from the next row in the order of ids (after the last: the first).
     """
-    sent, _ = with_next(df, id_col, text, part_bytes)
+    sent, _ = with_next(df, id_col, text, part_size)
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, copies long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -398,18 +398,18 @@ def brute_spots(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("part_bytes", [32 << 20, 2000])
-def test_spot_fingerprints_equal_brute_force(messy, clashing, empty, part_bytes):
+@pytest.mark.parametrize("part_size", [None, 2000])
+def test_spot_fingerprints_equal_brute_force(messy, clashing, empty, part_size):
     rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
     for df in (messy, clashing):
-        assert sorted((tuple(r) for r in spotsigs.fingerprints(df, part_bytes=part_bytes).collect()), key=str) == brute_spots(rows)
+        assert sorted((tuple(r) for r in spotsigs.fingerprints(df, part_size=part_size).collect()), key=str) == brute_spots(rows)
     assert spotsigs.fingerprints(empty).collect() == []
 
 
 def test_spot_parts_split_an_id_that_many_rows_have(spark):
     rows = [(5, f"the {k} stone river and tree {k} hill") for k in range(150)] + [(5, "the same and same again")] * 120 + [(k, f"of word{k} with bird{k}") for k in range(-5, 12)] + [(None, "the null one")] * 90
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted((tuple(r) for r in spotsigs.fingerprints(df, part_bytes=1500).collect()), key=str)
+    got = sorted((tuple(r) for r in spotsigs.fingerprints(df, part_size=1500).collect()), key=str)
     assert got == brute_spots(rows)
 
 

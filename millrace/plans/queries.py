@@ -133,24 +133,9 @@ def term_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("term_df", f"SELECT term, count(*) AS df, sum(tf) AS tf FROM (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL) GROUP BY term".replace("sum(tf)", "sum(tf)::BIGINT"))
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _t(spark, sf_dir, "documents").select(F.explode(_counts(X.terms(F.col("text")))).alias("term", "tf"))
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-
-
-def _counts(tokens: Column) -> Column:
-    """A map of distinct terms to their counts, made inside the row: no shuffle by document."""
-    runs = F.aggregate(F.array_sort(tokens), F.struct(F.array().cast("array<struct<t:string,n:long>>").alias("out"), F.lit(None).cast("string").alias("t"), F.lit(0).cast("long").alias("n")), _count_run, _last_run)
-    return F.map_from_entries(runs)
-
-
-def _count_run(acc: Column, t: Column) -> Column:
-    same = acc["t"] == t
-    closed = F.when(acc["t"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(acc["t"].alias("t"), acc["n"].alias("n"))))
-    return F.struct(F.when(same, acc["out"]).otherwise(closed).alias("out"), t.alias("t"), F.when(same, acc["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"))
-
-
-def _last_run(acc: Column) -> Column:
-    return F.when(acc["t"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(acc["t"].alias("t"), acc["n"].alias("n"))))
+    each = _t(spark, sf_dir, "documents").select("doc_id", F.explode(X.terms(F.col("text"))).alias("term"))
+    counts = each.groupBy("term", "doc_id").agg(F.count("*").alias("n"))  # within a document mostly before the shuffle
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
 @query("corpus_stats", f"SELECT count(*) AS n_docs, sum(len({_TOK}))::BIGINT AS n_tokens, round(avg(len({_TOK})), 6) AS mean_tokens FROM documents")

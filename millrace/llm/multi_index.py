@@ -3,8 +3,9 @@
 Each half of the unit vectors has a codebook of its own, fitted on a bounded sample; the product of the two is a grid
 of cells, and every vector is listed in its cell. A search visits cells in the order of the sum of the two halves'
 distances (multi-sequence order) and verifies what it finds by cosine in double precision. How many cells to visit is
-calibrated: a bounded sample of vectors is compared with all rows, in blocks, and the number is the least at which
-the target share of true neighbours is reached, doubled.
+calibrated: samples of vectors are compared with all other rows, in blocks, until enough of them have a true
+neighbour, and the number is the least at which the target share of these is reached, doubled. Where links are too
+rare for that, made partners at the threshold itself count too, so that the number is that of the farthest links.
 
 Searches go out from every vector. Cells are grouped by their first code; a vector is sent once to each group it
 visits. Groups with many residents or visitors are split into a grid of blocks. A pair that both sides find counts
@@ -19,21 +20,26 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.graphs import REDUCED, Reducer, labels_of
 from millrace.session import written
 
 SAMPLE = 65_536  # vectors that codebooks are fitted on, at most
-PROBES = 2_048  # vectors that calibration searches for, at most
+PROBES = 2_048  # vectors that calibration searches for at first
+MOST_PROBES = 65_536  # and at most, while fewer than ENOUGH have a neighbour
+ENOUGH = 256
 CELL = 32  # vectors a cell should hold on average
 RESIDENTS, VISITORS = 20_000, 200_000  # of a block, about
 BLOCK = 1_024
+MOST_SUMS = 4_000_000  # sums of two distances held at once
 
 
 def usable(v: Column) -> Column:
@@ -94,12 +100,17 @@ class Grid:
         """
         a, b = self.halves(x)
         cells = min(cells, a.shape[1] * b.shape[1])
-        oa, ob = a.argsort(axis=1, kind="stable")[:, :cells], b.argsort(axis=1, kind="stable")[:, :cells]
-        sa, sb = np.take_along_axis(a, oa, 1), np.take_along_axis(b, ob, 1)
-        i, j = np.array([(i, j) for i in range(oa.shape[1]) for j in range(ob.shape[1]) if (i + 1) * (j + 1) <= cells]).T
-        sums = sa[:, i] + sb[:, j]
-        best = sums.argsort(axis=1, kind="stable")[:, :cells]
-        return np.take_along_axis(oa[:, i] * len(self.second) + ob[:, j], best, 1)
+        i, j = np.indices((min(cells, a.shape[1]), min(cells, b.shape[1]))).reshape(2, -1)
+        i, j = (k[(i + 1) * (j + 1) <= cells] for k in (i, j))
+        out = np.empty((len(x), cells), np.int64)
+        step = max(1, MOST_SUMS // len(i))
+        for s in range(0, len(x), step):
+            c, d = a[s : s + step], b[s : s + step]
+            oa, ob = c.argsort(axis=1, kind="stable")[:, :cells], d.argsort(axis=1, kind="stable")[:, :cells]
+            sums = np.take_along_axis(c, oa, 1)[:, i] + np.take_along_axis(d, ob, 1)[:, j]
+            best = sums.argsort(axis=1, kind="stable")[:, :cells]
+            out[s : s + step] = np.take_along_axis(oa[:, i] * len(self.second) + ob[:, j], best, 1)
+        return out
 
     def ranks(self, a: np.ndarray, b: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """How many cells one vector's traversal (a, b its distances) visits before each of `cells`."""
@@ -109,54 +120,89 @@ class Grid:
         return np.searchsorted(sorted_b, limits.ravel(), side="left").reshape(limits.shape).sum(axis=1)
 
 
-def _arrow(df: DataFrame, n: int) -> list:
+def _arrow(df: DataFrame, n: int) -> pa.Table:
     """At most n rows, by a hash of the node: the bounded sample of fitting and calibration."""
-    return df.orderBy(F.xxhash64("node"), "node").limit(n).toArrow().column("v")
+    return df.orderBy(F.xxhash64("node"), "node").limit(n).toArrow()
 
 
 def fitted(classes: DataFrame, number: int, cell: int = CELL, sample: int = SAMPLE) -> Grid:
     """The grid for so many classes (node, v): codebooks of about sqrt(number / cell) centroids, 1,024 at most."""
-    x = unit(_arrow(classes.select("node", "v"), sample))
+    x = unit(_arrow(classes.select("node", "v"), sample).column("v"))
     half = max(1, x.shape[1] // 2)
     size = int(np.clip(np.ceil(np.sqrt(number / cell)), 2, 1024))
     second = x[:, half:] if x.shape[1] > 1 else np.zeros((len(x), 1))
     return Grid(codebook(x[:, :half], size), codebook(second, size, seed=1))
 
 
-def calibrated(classes: DataFrame, grid: Grid, threshold: float, target: float, probes: int = PROBES) -> int:
-    """Cells to visit: the least number that finds the target share of the probes' neighbours (each probe weighs the same), doubled; 8 at least."""
-    q = unit(_arrow(classes.select("node", "v"), probes))
-    shared = classes.sparkSession.sparkContext.broadcast((grid, q))
+def _found(classes: DataFrame, grid: Grid, nodes: np.ndarray, q: np.ndarray, threshold: float) -> Counter[int]:
+    """The probes' neighbours but themselves, by the rank of their cells; each probe that has any sums to 1."""
+    shared = classes.sparkSession.sparkContext.broadcast((grid, nodes, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, probe = shared.value
-        a, b = g.halves(probe)
-        counts: dict[tuple[int, int], int] = {}
+        g, own, probes = shared.value
+        a, b = g.halves(probes)
+        counts: Counter[tuple[int, int]] = Counter()
         for batch in batches:
-            x = unit(batch.column(0))
-            if x.shape[0] == 0:
-                continue
-            near = probe @ x.T >= threshold
-            if not near.any():
+            if not batch.num_rows:
                 continue
+            node, x = batch.column(0).to_numpy(), unit(batch.column(1))
             home = g.home(x)
-            for p in np.flatnonzero(near.any(axis=1)):
-                cells, n = np.unique(home[near[p]], return_counts=True)
-                for r, k in zip(g.ranks(a[p], b[p], cells).tolist(), n.tolist(), strict=True):
-                    counts[int(p), r] = counts.get((int(p), r), 0) + k
+            for s in range(0, len(probes), BLOCK):
+                near = probes[s : s + BLOCK] @ x.T >= threshold
+                for p in np.flatnonzero(near.any(axis=1)):
+                    cells, n = np.unique(home[near[p] & (node != own[s + p])], return_counts=True)
+                    if len(cells):
+                        for r, k in zip(g.ranks(a[s + p], b[s + p], cells).tolist(), n.tolist(), strict=True):
+                            counts[int(s + p), r] += k
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["probe", "rank", "n"])
 
-    ranks = classes.select("v").mapInArrow(run, "probe long, rank long, n long")
-    by = ranks.groupBy("probe", "rank").agg(F.sum("n").alias("n"))
-    share = by.join(by.where("n > 0").groupBy("probe").agg(F.sum("n").alias("all")), "probe").select("rank", (F.col("n") / F.col("all")).alias("share"))
-    rows = sorted((r["rank"], r["share"]) for r in share.groupBy("rank").agg(F.sum("share").alias("share")).orderBy("rank").collect())
-    total, found = sum(s for _, s in rows), 0.0
-    for rank, s in rows:
-        found += s
-        if found >= target * total:
-            return max(8, 2 * (rank + 1))
-    return 8
+    by = classes.select("node", "v").mapInArrow(run, "probe long, rank long, n long").groupBy("probe", "rank").agg(F.sum("n").alias("n"))
+    share = by.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("probe")))
+    return Counter({r["rank"]: r["share"] for r in share.groupBy("rank").agg(F.sum("share").alias("share")).collect()})
+
+
+def _least(ranks: Counter[int], target: float) -> int:
+    """Cells that hold the target share."""
+    total, found = sum(ranks.values()), 0.0
+    for rank in sorted(ranks):
+        found += ranks[rank]
+        if found >= target * total - 1e-9:
+            return rank + 1
+    return 0
+
+
+def _partners(grid: Grid, q: np.ndarray, threshold: float) -> Counter[int]:
+    """Ranks of partners at the threshold, each on the way from a probe to the next."""
+    away = np.roll(q, 1, axis=0)
+    away = away - (away * q).sum(axis=1, keepdims=True) * q
+    norm = np.linalg.norm(away, axis=1)
+    q, away = q[norm > 1e-6], away[norm > 1e-6] / norm[norm > 1e-6, None]
+    if not len(q):
+        return Counter()
+    home = grid.home(threshold * q + math.sqrt(max(0.0, 1 - threshold * threshold)) * away)
+    a, b = grid.halves(q)
+    return Counter(int(grid.ranks(a[k], b[k], home[k : k + 1])[0]) for k in range(len(q)))
+
+
+def calibrated(classes: DataFrame, grid: Grid, threshold: float, target: float, probes: int = PROBES) -> int:
+    """Cells to visit: the least number that finds the target share of the probes' neighbours (each probe that has any weighs the same), doubled; 8 at least.
+
+    Probes are added until ENOUGH have a neighbour besides themselves, up to MOST_PROBES or all classes. Where MOST_PROBES
+    do not suffice, the number is no less than that for made partners at the threshold.
+    """
+    ranks: Counter[int] = Counter()
+    asked, limit = 0, probes
+    while True:
+        rows = _arrow(classes.select("node", "v"), limit)
+        nodes, q = rows.column("node").to_numpy(), unit(rows.column("v"))
+        ranks.update(_found(classes, grid, nodes[asked:], q[asked:], threshold))
+        asked = len(q)
+        if asked < limit or sum(ranks.values()) >= ENOUGH:
+            return max(8, 2 * _least(ranks, target))
+        if limit >= MOST_PROBES:
+            return max(8, 2 * _least(ranks, target), 2 * _least(_partners(grid, q[:probes], threshold), target))
+        limit = min(MOST_PROBES, 8 * limit)
 
 
 def _spread(batches: Iterator[pa.RecordBatch], grid: Grid, cells: int, splits: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:

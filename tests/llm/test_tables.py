@@ -276,6 +276,22 @@ def test_recall_of_every_fiftieth_vector(spark):
     assert (found <= true).all() and true.sum() > 100 and found.sum() >= 0.9 * true.sum()
 
 
+@pytest.mark.parametrize("most", [65_536, 2_048])
+def test_rare_links_are_found(spark, monkeypatch, most):
+    monkeypatch.setattr(multi_index, "MOST_PROBES", most, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=(60, 32))
+    away -= (away * x[:60]).sum(axis=1, keepdims=True) * x[:60]
+    x[60:120] = 0.91 * x[:60] + np.sqrt(1 - 0.91**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    true = (x @ x.T >= 0.9).sum(axis=1) - 1
+    rows = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(df).collect()}
+    found = np.array([rows[i] for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.98 * true.sum()
+
+
 # -- simhash
 
 

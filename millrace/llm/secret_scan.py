@@ -7,8 +7,10 @@ from, and goes on the worklist until none is left. A layer that repeats one alre
 not entered again, so cyclic encodings end.
 
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows are scanned each on
-its own; a layer that would inflate beyond `max_layer_chars` is not unpacked but reported as a span of kind
-`oversize`, never passed over in silence.
+its own; a region that inflates beyond `max_layer_chars` is reported as a span of kind `oversize` and its stream is
+scanned to its end in overlapping blocks, each a layer: a secret that reaches a block's cut is left to the block that
+holds it whole, so that one longer than the overlap (BLOCK_OVERLAP) has the span of kind `oversize` alone. All other
+regions of its layer are decoded as ever. A stream is unpacked however long it is, and takes the time of its length.
 """
 
 from __future__ import annotations
@@ -16,13 +18,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
 import hashlib
-import io
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "oversize")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 MAX_LAYER_CHARS = 64 * 1024 * 1024
+BLOCK_OVERLAP = PIECE = 1024 * 1024
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -57,8 +59,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 class _Layer:
     """A decoded text; `at(i, j)` is the original span that its characters i to j came from."""
 
-    def __init__(self, text: str, starts: list[int] | None, ends: list[int] | None, whole: tuple[int, int]):
-        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+    def __init__(self, text: str, starts: list[int] | None, ends: list[int] | None, whole: tuple[int, int], oversize: bool = False, cut: Sequence[bool] = (False, False)):
+        self.text, self.starts, self.ends, self.whole, self.oversize, self.cut = text, starts, ends, whole, oversize, cut
 
     def at(self, i: int, j: int) -> tuple[int, int]:
         if self.starts is None:
@@ -66,25 +68,65 @@ class _Layer:
         return self.starts[i], self.ends[j - 1]
 
 
-def _inflated(data: bytes, limit: int) -> bytes | None:
-    """Unpacked bytes where data starts as a compressed stream does; OverflowError beyond the limit."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
-                out = f.read(limit + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, limit + 1)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(data, limit + 1)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            out = zlib.decompressobj().decompress(data, limit + 1)
-        else:
-            return None
-    except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-        return None
-    if len(out) > limit:
-        raise OverflowError
-    return out
+def _unpacker(head: bytes) -> Callable[[], object] | None:
+    """What unpacks a stream that starts so."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return lambda: zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    return None
+
+
+def _stream(pieces: Iterator[bytes], head: bytes) -> Iterator[bytes]:
+    """Unpacked bytes of head and the pieces after it, PIECE at most at a time, up to the end or the first fault; nothing where head starts no stream."""
+    data = head
+    while (new := _unpacker(data)) is not None:
+        unpack = new()
+        try:
+            while not unpack.eof:
+                if out := unpack.decompress(data, PIECE):
+                    yield out
+                data = getattr(unpack, "unconsumed_tail", b"")
+                if not out and not data and not unpack.eof and (data := next(pieces, b"")) == b"":
+                    return
+            data = unpack.unused_data  # another member
+        except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+            return
+        while len(data) < 6 and (more := next(pieces, b"")):
+            data += more
+
+
+def _blocks(pieces: Iterator[bytes], held: bytes, size: int) -> Iterator[tuple[bytes, bool, bool]]:
+    """held and the pieces after it as blocks of about `size`, overlapping; what starts as a stream does is unpacked on the way. With each, whether it is cut at its start and at its end."""
+    while _unpacker(held) is not None:
+        inner = _stream(pieces, held)
+        if not (first := next(inner, b"")):
+            break
+        pieces, held = inner, first
+        while len(held) < 6 and (more := next(pieces, b"")):
+            held += more
+    overlap, parts, n, cut = min(BLOCK_OVERLAP, size // 2), [held], len(held), False
+    for piece in pieces:
+        parts.append(piece)
+        n += len(piece)
+        if n >= size:
+            held = b"".join(parts)
+            yield held, cut, True
+            parts, n, cut = [held[-overlap:]], overlap, True
+    yield b"".join(parts), cut, False
+
+
+def _inflated(data: bytes, limit: int) -> tuple[bytes, Iterator[bytes] | None] | None:
+    """Unpacked bytes where data starts as a compressed stream does, and the pieces still to come if they are beyond the limit."""
+    pieces, parts, n = _stream(iter(()), data), [], 0
+    for piece in pieces:
+        parts.append(piece)
+        n += len(piece)
+        if n > limit:
+            return b"".join(parts), pieces
+    return (b"".join(parts), None) if parts else None
 
 
 def _readable(data: bytes) -> str | None:
@@ -108,7 +150,12 @@ def _bytes_layer(data: bytes, spans: list[tuple[int, int]], limit: int) -> Itera
         if key in seen:
             return
         seen.add(key)
-        data, packed = out, True
+        data, packed = out[0], True
+        if out[1] is not None:
+            yield _Layer("", None, None, whole, oversize=True)
+            for block, *cut in _blocks(out[1], data, limit):
+                yield _Layer(block.decode("utf-8", "replace"), None, None, whole, cut=cut)
+            return
     text = _readable(data)
     if text is None:
         return
@@ -203,26 +250,23 @@ def scan_text(text: str | None, max_layer_chars: int = MAX_LAYER_CHARS) -> tuple
     spans = set(base)
     first = _Layer(text, None, None, (0, len(text)))
     first.at = lambda i, j: (i, j)  # type: ignore[method-assign]
-    work, seen = [first], set()
-    while work:
-        layer = work.pop()
-        if layer is not first:
-            for kind, i, j in base_spans(layer.text):
-                spans.add((kind, *layer.at(i, j)))
-        for decode in (_percent, _escaped, _base64):
-            found = decode(layer, max_layer_chars)
-            while True:
-                try:
-                    new = next(found)
-                except StopIteration:
-                    break
-                except OverflowError:
-                    spans.add(("oversize", *layer.whole))
-                    break
-                key = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), new.whole)
-                if key not in seen:
-                    seen.add(key)
-                    work.append(new)
+    inside = lambda layer: chain.from_iterable(decode(layer, max_layer_chars) for decode in (_percent, _escaped, _base64))
+    work, seen = [inside(first)], set()
+    while work:  # one layer of each depth is held at a time
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        if new.oversize:
+            spans.add(("oversize", *new.whole))
+            continue
+        key = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), new.whole, *new.cut)
+        if key not in seen:
+            seen.add(key)
+            for kind, i, j in base_spans(new.text):
+                if not (new.cut[0] and i == 0 or new.cut[1] and j == len(new.text)):
+                    spans.add((kind, *new.at(i, j)))
+            work.append(inside(new))
     return base, sorted(spans, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 

@@ -152,6 +152,19 @@ def test_fixpoint_ends_on_layers_that_repeat_and_on_bombs():
     assert [s[0] for s in secret_scan.scan_text(f"q {bomb}", max_layer_chars=1_000_000)[1]] == ["oversize"]
 
 
+def test_an_oversized_region_hides_no_other_and_is_scanned():
+    inside = b"a" * 3_000_000 + b" password = hunter22x " + b"b" * 1_900_000
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        bomb = base64.b64encode(pack(inside)).decode()
+        after = base64.b64encode(SECRET.encode()).decode()
+        text = f"q {bomb} and {after} end"
+        spans = secret_scan.scan_text(text, max_layer_chars=1_000_000)[1]
+        at, k = 2 + len(bomb.rstrip("=")), text.index(after)
+        assert ("oversize", 2, at) in spans and ("assign", 2, at) in spans
+        assert any(kind == "assign" and k <= i < j <= k + len(after) for kind, i, j in spans)
+        assert all(j <= at or i >= k for _, i, j in spans)
+
+
 def test_prose_has_no_secrets(messy):
     rows = secret_scan.scan_secrets(messy).collect()
     hits = [r for r in rows if r["secrets"]["spans"]]

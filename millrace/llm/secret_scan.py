@@ -2,7 +2,8 @@
 
 A text is the first layer. Every layer is searched for secrets and for encoded regions: percent escapes,
 backslash and character-reference escapes, base64 runs, and compressed bytes inside those. Each region that
-decodes becomes a layer of its own, carrying for every character the span of the original text that it came
+decodes becomes a layer of its own, and all escapes of a layer decoded in place, with the text around them, one more,
+carrying for every character the span of the original text that it came
 from, and goes on the worklist until none is left. A layer that repeats one already seen at the same place is
 not entered again, so cyclic encodings end.
 
@@ -40,6 +41,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 _ESCAPED = re.compile(r"\S*(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)\S*")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _NAMES = ("passw", "secret", "token", "api")
 
@@ -59,7 +61,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 class _Layer:
     """A decoded text; `at(i, j)` is the original span that its characters i to j came from."""
 
-    def __init__(self, text: str, starts: list[int] | None, ends: list[int] | None, whole: tuple[int, int], oversize: bool = False, cut: Sequence[bool] = (False, False)):
+    def __init__(self, text: str, starts: Sequence[int] | None, ends: Sequence[int] | None, whole: tuple[int, int], oversize: bool = False, cut: Sequence[bool] = (False, False)):
         self.text, self.starts, self.ends, self.whole, self.oversize, self.cut = text, starts, ends, whole, oversize, cut
 
     def at(self, i: int, j: int) -> tuple[int, int]:
@@ -171,9 +173,52 @@ def _bytes_layer(data: bytes, spans: list[tuple[int, int]], limit: int) -> Itera
     yield _Layer(text, starts, ends, whole)
 
 
+def _spliced(layer: _Layer, parts: Iterator[tuple[int, int, str, list[int], list[int]]]) -> _Layer | None:
+    """The layer with parts (start, end, and their text with its spans' starts and ends) in place of what was there; None without parts."""
+    out, starts, ends, at = [], [], [], 0
+    for i, j, text, s, e in parts:
+        out += [layer.text[at:i], text]
+        if layer.starts is not None:
+            starts += [*layer.starts[at:i], *s]
+            ends += [*layer.ends[at:i], *e]
+        at = j
+    if not at:
+        return None
+    text = "".join(out) + layer.text[at:]
+    if layer.starts is None:
+        return _Layer(text, None, None, layer.whole, cut=layer.cut)
+    return _Layer(text, [*starts, *layer.starts[at:]], [*ends, *layer.ends[at:]], layer.whole)
+
+
+def _unpercented(layer: _Layer) -> Iterator[tuple[int, int, str, list[int], list[int]]]:
+    for m in _PERCENTS.finditer(layer.text):
+        text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+        starts, ends, k = [], [], m.start()
+        for ch in text:
+            n = 3 * len(ch.encode("utf-8", "surrogateescape"))
+            s, e = layer.at(k, k + n)
+            starts.append(s)
+            ends.append(e)
+            k += n
+        yield m.start(), m.end(), "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in text), starts, ends
+
+
+def _unescaped(layer: _Layer) -> Iterator[tuple[int, int, str, list[int], list[int]]]:
+    for x in _ESCAPE.finditer(layer.text):
+        s, e = layer.at(x.start(), x.end())
+        yield x.start(), x.end(), _character(x), [s], [e]
+
+
+def _character(x: re.Match[str]) -> str:
+    value = int(x[4]) if x[4] else int(x[1] or x[2] or x[3] or x[5], 16)
+    return chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else "\ufffd"
+
+
 def _percent(layer: _Layer, limit: int) -> Iterator[_Layer]:
     if "%" not in layer.text:
         return
+    if new := _spliced(layer, _unpercented(layer)):
+        yield new
     for m in _PERCENT.finditer(layer.text):
         part, data, spans, i = m[0], bytearray(), [], 0
         while i < len(part):
@@ -192,6 +237,8 @@ def _percent(layer: _Layer, limit: int) -> Iterator[_Layer]:
 def _escaped(layer: _Layer, limit: int) -> Iterator[_Layer]:
     if "\\" not in layer.text and "&#" not in layer.text:
         return
+    if new := _spliced(layer, _unescaped(layer)):
+        yield new
     for m in _ESCAPED.finditer(layer.text):
         out, starts, ends, at = [], [], [], m.start()
 
@@ -204,8 +251,7 @@ def _escaped(layer: _Layer, limit: int) -> Iterator[_Layer]:
         for x in _ESCAPE.finditer(layer.text, m.start(), m.end()):
             for i in range(at, x.start()):
                 put(layer.text[i], i, i + 1)
-            value = int(x[4]) if x[4] else int(x[1] or x[2] or x[3] or x[5], 16)
-            put(chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else "�", x.start(), x.end())
+            put(_character(x), x.start(), x.end())
             at = x.end()
         for i in range(at, m.end()):
             put(layer.text[i], i, i + 1)
@@ -248,8 +294,7 @@ def scan_text(text: str | None, max_layer_chars: int = MAX_LAYER_CHARS) -> tuple
     text = text or ""
     base = base_spans(text)
     spans = set(base)
-    first = _Layer(text, None, None, (0, len(text)))
-    first.at = lambda i, j: (i, j)  # type: ignore[method-assign]
+    first = _Layer(text, range(len(text)), range(1, len(text) + 1), (0, len(text)))
     inside = lambda layer: chain.from_iterable(decode(layer, max_layer_chars) for decode in (_percent, _escaped, _base64))
     work, seen = [inside(first)], set()
     while work:  # one layer of each depth is held at a time

@@ -165,6 +165,21 @@ def test_an_oversized_region_hides_no_other_and_is_scanned():
         assert all(j <= at or i >= k for _, i, j in spans)
 
 
+@pytest.mark.parametrize(
+    ("text", "hidden"),
+    [
+        ('{"password": "p\\u0061ssw0rd123"}', "p\\u0061ssw0rd123"),
+        ("password = %68unter2secret", "%68unter2secret"),
+        ("token : &#97;bcdefgh", "&#97;bcdefgh"),
+        ("é %C3%A9 password = %68unter2secret", "%68unter2secret"),
+    ],
+)
+def test_a_key_before_an_escaped_value_counts(text, hidden):
+    spans = secret_scan.scan_text(text)[1]
+    assert any(kind == "assign" and i < text.index(hidden) and j == text.index(hidden) + len(hidden) for kind, i, j in spans)
+    assert hidden not in secret_scan.redact(text, spans)
+
+
 def test_prose_has_no_secrets(messy):
     rows = secret_scan.scan_secrets(messy).collect()
     hits = [r for r in rows if r["secrets"]["spans"]]

@@ -1,8 +1,8 @@
 """Secret scans by a recursive decoding worklist.
 
 A text is the first layer. Every layer is searched for secrets and for encoded regions: percent escapes,
-backslash and character-reference escapes, base64 runs, and compressed bytes inside those. Each region that
-decodes becomes a layer of its own, and all escapes of a layer decoded in place, with the text around them, one more,
+backslash and character-reference escapes, base64 runs (from each of their first four letters), and compressed bytes inside those. Each region that
+decodes becomes a layer of its own (bytes that are no UTF-8 are replaced, NULs also left out), and all escapes of a layer decoded in place, with the text around them, one more,
 carrying for every character the span of the original text that it came
 from, and goes on the worklist until none is left. A layer that repeats one already seen at the same place is
 not entered again, so cyclic encodings end.
@@ -17,7 +17,6 @@ regions of its layer are decoded as ever. A stream is unpacked however long it i
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -34,6 +33,7 @@ KINDS = ("assign", "access", "hex", "oversize")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 MAX_LAYER_CHARS = 64 * 1024 * 1024
 BLOCK_OVERLAP = PIECE = 1024 * 1024
+FEED = 64 * 1024
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -43,6 +43,10 @@ _ESCAPED = re.compile(r"\S*(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+#: What any secret, or region to decode, has.
+_HOLDS = re.compile(rb"passw|secret|token|api_?key|AKIA|%[0-9a-f]{2}|\\[ux][0-9a-f]|&#[0-9x]|[a-z0-9+/_-]{16}", re.I)
+_STRAY = re.compile("[\ud800-\udfff]")
 _NAMES = ("passw", "secret", "token", "api")
 
 
@@ -100,10 +104,14 @@ def _stream(pieces: Iterator[bytes], head: bytes) -> Iterator[bytes]:
             data += more
 
 
+def _fed(data: bytes, at: int) -> Iterator[bytes]:
+    return (data[k : k + FEED] for k in range(at, len(data), FEED))
+
+
 def _blocks(pieces: Iterator[bytes], held: bytes, size: int) -> Iterator[tuple[bytes, bool, bool]]:
     """held and the pieces after it as blocks of about `size`, overlapping; what starts as a stream does is unpacked on the way. With each, whether it is cut at its start and at its end."""
     while _unpacker(held) is not None:
-        inner = _stream(pieces, held)
+        inner = _stream(chain(_fed(held, FEED), pieces), held[:FEED])
         if not (first := next(inner, b"")):
             break
         pieces, held = inner, first
@@ -120,9 +128,9 @@ def _blocks(pieces: Iterator[bytes], held: bytes, size: int) -> Iterator[tuple[b
     yield b"".join(parts), cut, False
 
 
-def _inflated(data: bytes, limit: int) -> tuple[bytes, Iterator[bytes] | None] | None:
-    """Unpacked bytes where data starts as a compressed stream does, and the pieces still to come if they are beyond the limit."""
-    pieces, parts, n = _stream(iter(()), data), [], 0
+def _inflated(data: bytes, at: int, limit: int) -> tuple[bytes, Iterator[bytes] | None] | None:
+    """Unpacked bytes where a compressed stream starts in data at a place, and the pieces still to come if they are beyond the limit."""
+    pieces, parts, n = _stream(_fed(data, at + FEED), data[at : at + FEED]), [], 0
     for piece in pieces:
         parts.append(piece)
         n += len(piece)
@@ -131,46 +139,47 @@ def _inflated(data: bytes, limit: int) -> tuple[bytes, Iterator[bytes] | None] |
     return (b"".join(parts), None) if parts else None
 
 
-def _readable(data: bytes) -> str | None:
-    """Text of the bytes if they are UTF-8 without control characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or any(c < " " and c not in "\t\n\r\f" for c in text):
-        return None
-    return text
+def _useful(data: bytes) -> bool:
+    """Whether the bytes, or those left without NULs (as of UTF-16), can hold a secret, a region or a compressed stream."""
+    return bool(_HOLDS.search(data) or _MAGIC.search(data) or b"\0" in data and _HOLDS.search(data.replace(b"\0", b"")))
 
 
-def _bytes_layer(data: bytes, spans: list[tuple[int, int]], limit: int) -> Iterator[_Layer]:
-    """Layers of decoded bytes, spans by byte: their text, or what they unpack to (again and again)."""
-    whole = (spans[0][0], spans[-1][1])
-    seen: set[bytes] = set()
-    packed = False
-    while (out := _inflated(data, limit)) is not None:
-        key = hashlib.sha256(data).digest()
-        if key in seen:
-            return
-        seen.add(key)
-        data, packed = out[0], True
-        if out[1] is not None:
-            yield _Layer("", None, None, whole, oversize=True)
-            for block, *cut in _blocks(out[1], data, limit):
-                yield _Layer(block.decode("utf-8", "replace"), None, None, whole, cut=cut)
-            return
-    text = _readable(data)
-    if text is None:
-        return
-    if packed:
-        yield _Layer(text, None, None, whole)
-        return
+def _text_layer(data: bytes, spans: list[tuple[int, int]] | None, whole: tuple[int, int], cut: Sequence[bool]) -> _Layer:
+    """Bytes as UTF-8, each byte that is none as one replacement character."""
+    text = data.decode("utf-8", "surrogateescape")
+    if spans is None:
+        return _Layer(_STRAY.sub("\ufffd", text), None, None, whole, cut=cut)
     starts, ends, k = [], [], 0
     for ch in text:
-        n = len(ch.encode("utf-8"))
+        n = 1 if ch < "\x80" else len(ch.encode("utf-8", "surrogateescape"))
         starts.append(spans[k][0])
         ends.append(spans[k + n - 1][1])
         k += n
-    yield _Layer(text, starts, ends, whole)
+    return _Layer(_STRAY.sub("\ufffd", text), starts, ends, whole, cut=cut)
+
+
+def _bytes_layer(data: bytes, spans: list[tuple[int, int]] | None, whole: tuple[int, int], limit: int, seen: set[bytes] | None = None, cut: Sequence[bool] = (False, False)) -> Iterator[_Layer]:
+    """Layers of decoded bytes, spans by byte (None: the whole): their text, also without NULs, and what streams that start anywhere in them unpack to (again and again)."""
+    seen = set() if seen is None else seen
+    for m in _MAGIC.finditer(data):
+        out = _inflated(data, m.start(), limit)
+        if out is None:
+            continue
+        key = hashlib.sha256(out[0]).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        region = whole if spans is None else (spans[m.start()][0], spans[-1][1])
+        if out[1] is None:
+            yield from _bytes_layer(out[0], None, region, limit, seen)
+            continue
+        yield _Layer("", None, None, region, oversize=True)
+        for block, *ends in _blocks(out[1], out[0], limit):
+            yield from _bytes_layer(block, None, region, limit, seen, ends)
+    if _HOLDS.search(data):
+        yield _text_layer(data, spans, whole, cut)
+    if b"\0" in data and _HOLDS.search(bare := data.replace(b"\0", b"")):
+        yield _text_layer(bare, spans and [s for s, byte in zip(spans, data, strict=True) if byte], whole, cut)
 
 
 def _spliced(layer: _Layer, parts: Iterator[tuple[int, int, str, list[int], list[int]]]) -> _Layer | None:
@@ -231,7 +240,7 @@ def _percent(layer: _Layer, limit: int) -> Iterator[_Layer]:
             data += raw
             spans += [layer.at(m.start() + i, m.start() + i + 1)] * len(raw)
             i += 1
-        yield from _bytes_layer(bytes(data), spans, limit)
+        yield from _bytes_layer(bytes(data), spans, (spans[0][0], spans[-1][1]), limit)
 
 
 def _escaped(layer: _Layer, limit: int) -> Iterator[_Layer]:
@@ -257,36 +266,21 @@ def _escaped(layer: _Layer, limit: int) -> Iterator[_Layer]:
             put(layer.text[i], i, i + 1)
         text = "".join(out)
         yield _Layer(text, starts, ends, layer.at(m.start(), m.end()))
-        if text and all(ord(c) < 256 for c in text):
-            data = text.encode("latin-1")
-            if data[:1] in b"\x1f\x78\xfdB":
-                yield from _packed_only(data, list(zip(starts, ends, strict=True)), limit)
-
-
-def _packed_only(data: bytes, spans: list[tuple[int, int]], limit: int) -> Iterator[_Layer]:
-    if _inflated(data, limit) is not None:
-        yield from _bytes_layer(data, spans, limit)
+        data = text.encode("latin-1", "replace")
+        if _MAGIC.search(data):
+            yield from _bytes_layer(data, list(zip(starts, ends, strict=True)), layer.at(m.start(), m.end()), limit)
 
 
 def _base64(layer: _Layer, limit: int) -> Iterator[_Layer]:
     for m in _BASE64.finditer(layer.text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        n = len(run)
-        spans = [layer.at(m.start() + k * 4 // 3, m.start() + min(n, (k * 8 + 7) // 6 + 1)) for k in range(len(data))] if _useful(data) else None
-        if spans:
-            yield from _bytes_layer(data, spans, limit)
-
-
-def _useful(data: bytes) -> bool:
-    if data[:1] in (b"\x1f", b"\x78", b"\xfd", b"B"):
-        return True
-    return _readable(data) is not None
+        for first in range(4):  # what stands before a region may be of its letters
+            part = run[first : len(run) - ((len(run) - first) % 4 == 1)]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            if _useful(data):
+                at, n = m.start() + first, len(part)
+                spans = [layer.at(at + k * 4 // 3, at + min(n, (k * 8 + 7) // 6 + 1)) for k in range(len(data))]
+                yield from _bytes_layer(data, spans, (spans[0][0], spans[-1][1]), limit)
 
 
 def scan_text(text: str | None, max_layer_chars: int = MAX_LAYER_CHARS) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -180,6 +180,26 @@ def test_a_key_before_an_escaped_value_counts(text, hidden):
     assert hidden not in secret_scan.redact(text, spans)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "q=caf%E9&password%3Dhunter2secret",
+        "a=%00&password%3Dhunter2secret",
+        "x " + base64.b64encode(SECRET.encode() + b"\0 \x1b[0m").decode(),
+        "x " + base64.b64encode("déjà ".encode("latin-1") + SECRET.encode()).decode(),
+        "x " + base64.b64encode(SECRET.encode("utf-16")).decode(),
+        "x " + base64.b64encode(SECRET.encode("utf-16-be")).decode(),
+        "x " + base64.b64encode(gzip.compress(b"\xff\0 " + SECRET.encode())).decode(),
+        *(glue + base64.b64encode(SECRET.encode()).decode() for glue in ("a", "/x", "a-b", "_abc", "/abc_")),
+        *("abcde"[:k] + base64.b64encode(gzip.compress(SECRET.encode())).decode() for k in range(1, 6)),
+    ],
+)
+def test_bytes_that_are_no_text_hide_nothing(text):
+    spans = secret_scan.scan_text(text)[1]
+    assert any(kind == "assign" for kind, _, _ in spans)
+    assert not secret_scan.scan_text(secret_scan.redact(text, spans))[1]
+
+
 def test_prose_has_no_secrets(messy):
     rows = secret_scan.scan_secrets(messy).collect()
     hits = [r for r in rows if r["secrets"]["spans"]]

@@ -3,8 +3,9 @@
 The standard library's parser streams events. Block elements begin lines; each line counts its text characters
 and the tags that fell into it, the lines' text-to-tag ratios are smoothed by a Gaussian kernel, and lines above
 a threshold (a share of the standard deviation) form clusters. The clusters decide which container of the page
-is the content region: the article elements that hold clustered text, else main, else the deepest element that
-holds almost all of the clustered text. All lines of that region are kept, short ones too, but for what is never
+is the content region: where an article holds clustered text, all articles (those in main, if such are among them; or
+main itself, if it has clusters around them), else main, else the deepest element that holds all of the clustered
+text. All lines of that region are kept, short ones too, but for what is never
 content: menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles, known
 by element, role, or whole words of class and id.
 
@@ -221,27 +222,33 @@ def _drop_marked(page: _Lines) -> None:
     page.lines = [x for x in page.lines if not off[x[2]]]
 
 
-def _region(page: _Lines, chosen: list[int], hold: float) -> set[int]:
+def _region(page: _Lines, chosen: list[int]) -> set[int]:
     """Numbers of the elements that make up the content region."""
     weight = [0] * (page.count + 1)
     for i in chosen:
         weight[page.lines[i][2]] += len(page.lines[i][0])
     for n in range(page.count, 0, -1):
         weight[page.parent[n]] += weight[n]
-    named = {kind: {n for n in range(1, page.count + 1) if weight[n] and page.name[n] == kind} for kind in ("article", "main")}
+    named = {kind: {n for n in range(1, page.count + 1) if page.name[n] == kind} for kind in ("article", "main")}
+    named = {kind: found if any(weight[n] for n in found) else set() for kind, found in named.items()}
     if named["article"]:
-        inside = _below(page, named["main"])
-        return {n for n in named["article"] if inside[n]} or named["article"]
+        in_main = _below(page, named["main"])
+        articles = {n for n in named["article"] if in_main[n]}
+        if not any(weight[n] for n in articles):
+            return named["article"]
+        in_article = _below(page, articles)
+        around = any(in_main[page.lines[i][2]] and not in_article[page.lines[i][2]] for i in chosen)
+        return named["main"] if around else articles
     if named["main"]:
         return named["main"]
     best = 0
     for n in range(1, page.count + 1):  # numbers rise with depth along a chain
-        if weight[n] >= hold * weight[0] and page.name[n] not in LEAVES:
+        if weight[n] == weight[0] and page.name[n] not in LEAVES:
             best = n
     return {best}
 
 
-def extract_text(html: str | None, sigma: float = 1.0, share: float = 0.5, hold: float = 0.9) -> str:
+def extract_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     """The main text of one page; its blocks in page order, joined by one space."""
     if not html:
         return ""
@@ -252,18 +259,18 @@ def extract_text(html: str | None, sigma: float = 1.0, share: float = 0.5, hold:
     _drop_marked(page)
     if not page.lines:
         return ""
-    region = _region(page, clustered(page.lines, sigma, share) or list(range(len(page.lines))), hold)
+    region = _region(page, clustered(page.lines, sigma, share) or list(range(len(page.lines))))
     inside = _below(page, region)
     return " ".join(text for text, _, block in page.lines if inside[block])
 
 
-def main_text(html: Column, sigma: float = 1.0, share: float = 0.5, hold: float = 0.9) -> Column:
-    """extract_text as a column; sigma and share set the smoothing and threshold, hold the share of clustered text that a container without name must hold."""
+def main_text(html: Column, sigma: float = 1.0, share: float = 0.5) -> Column:
+    """extract_text as a column; sigma and share set the smoothing and threshold."""
 
     @F.pandas_udf("string")
     def extract(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in pages:
-            yield pd.Series([extract_text(h, sigma, share, hold) for h in batch], dtype=object)
+            yield pd.Series([extract_text(h, sigma, share) for h in batch], dtype=object)
 
     return extract(html)
 

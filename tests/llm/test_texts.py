@@ -245,6 +245,19 @@ def test_main_text(html, text):
     assert html_text.extract_text(html) == text.strip()
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><div class=intro><p>{P}</p></div><div class=text>{f'<p>{P}</p>' * 12}</div></body>", P * 13),
+        (f"<body><div><p>{P}</p></div><div><p>{P}</p></div><div class=sidebar>{P}</div><div>{f'<p>{P}</p>' * 30}</div></body>", P * 32),
+        (f"<article>{f'<p>{P}</p>' * 9}</article>{('<div>' + '<i></i>' * 20 + 'x</div>') * 8}<article>{'<br>' * 90}<p>Short one.</p></article>", P * 9 + "Short one."),
+        (f"<main><div><p>{P}</p></div><article>{f'<p>{P}</p>' * 3}</article></main>", P * 4),
+    ],
+)
+def test_content_in_several_containers_stays(html, text):
+    assert html_text.extract_text(html) == text.strip()
+
+
 def test_any_markup_is_read():
     rng = random.Random(6)
     bits = ["<p>", "</p>", "<div>", "</div>", "<b", ">", "<", "&", "&#x", "<!--", "-->", "<![", "<?", "<!D", '"', "x", " ", "<script>", "</script>", "<br/>", "</", "<article>", "</article>", "<td>", "<table>"]

@@ -41,8 +41,11 @@ def split_budget(budget: float, capacity: Mapping[Key, float], weight: Mapping[K
     room: dict[Key, float] = defaultdict(float)
     children: dict[Key, set[Key]] = defaultdict(set)
     for k, c in capacity.items():
-        for d in range(depth + 1):
-            room[k[:d]] += c
+        part = c  # what can be reached from a node through positive weights
+        for d in range(depth, -1, -1):
+            room[k[:d]] += part
+            if d and weight.get(k[:d], default) <= 0:
+                part = 0
             if d:
                 children[k[: d - 1]].add(k[:d])
 
@@ -68,7 +71,7 @@ def split_budget(budget: float, capacity: Mapping[Key, float], weight: Mapping[K
             give(k, share[k])
 
     if depth:
-        give((), min(budget, sum(capacity.values())))
+        give((), min(budget, room[()]))
     return out
 
 

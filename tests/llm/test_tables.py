@@ -536,6 +536,13 @@ def test_budgets_go_to_siblings_first():
     assert mixing.split_budget(5, {}, {}) == {}
 
 
+def test_closed_leaves_are_no_room():
+    capacity = {("a", "x"): 10.0, ("a", "y"): 100.0, ("b", "z"): 100.0}
+    assert mixing.split_budget(100, capacity, {("a", "y"): 0.0}) == pytest.approx({("a", "x"): 10, ("a", "y"): 0, ("b", "z"): 90})
+    open_ = {("a",): 1.0, ("b",): 1.0, ("a", "x"): 1.0, ("b", "z"): 1.0}
+    assert mixing.split_budget(100, capacity, open_, default=0.0) == pytest.approx({("a", "x"): 10, ("a", "y"): 0, ("b", "z"): 90})
+
+
 def brute_mix(rows, weight, budget, epochs, seed):
     from hashlib import md5
 

@@ -1,17 +1,20 @@
 """Secret scans by a recursive decoding worklist.
 
-A text is the first layer. Every layer is searched for secrets and for encoded regions: percent escapes,
-backslash and character-reference escapes, base64 runs (from each of their first four letters), and compressed bytes inside those. Each region that
-decodes becomes a layer of its own (bytes that are no UTF-8 are replaced, NULs also left out), and all escapes of a layer decoded in place, with the text around them, one more,
-carrying for every character the span of the original text that it came
-from, and goes on the worklist until none is left. A layer that repeats one already seen at the same place is
+A text is the first layer. Every layer is searched for secrets and for encoded regions, and every region that decodes is a
+layer of its own that goes on the worklist until none is left: percent escapes (%41, %u0041, and once more with `+` as a
+space), backslash escapes (\\u0041, \\u{41}, \\x41, \\101, \\", \\n ...) and character references (&#65;, &equals;), each decoded in
+place with the text around them; base64 runs, wrapped over lines or not, from each of their first four letters; and
+what streams (gzip, zlib, raw deflate, bzip2, xz, lzma, zstd) that start anywhere in decoded bytes unpack to. Of decoded bytes, stretches of printable
+ASCII count, in one byte a character or two (UTF-16): a secret has no other characters. A layer carries for every
+character the span of the original text that it came from. One that repeats a layer already seen at the same place is
 not entered again, so cyclic encodings end.
 
+All steps are linear in the length of a layer. Escapes nested more than MOST_DEPTH deep are unwrapped to their
+fixpoint in one further step, without the layers between. A stream is scanned to its end however long it is,
+in overlapping blocks of `block` bytes, and takes the time of its length; what it unpacks to has the span of the stream.
+
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows are scanned each on
-its own; a region that inflates beyond `max_layer_chars` is reported as a span of kind `oversize` and its stream is
-scanned to its end in overlapping blocks, each a layer: a secret that reaches a block's cut is left to the block that
-holds it whole, so that one longer than the overlap (BLOCK_OVERLAP) has the span of kind `oversize` alone. All other
-regions of its layer are decoded as ever. A stream is unpacked however long it is, and takes the time of its length.
+its own; bytes that are no UTF-8 are replaced and hide nothing around them.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import html.entities
 import lzma
 import re
 import zlib
@@ -26,28 +30,35 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("assign", "access", "hex", "oversize")
+KINDS = ("assign", "access", "hex")
 ORDER = {k: i for i, k in enumerate(KINDS)}
-MAX_LAYER_CHARS = 64 * 1024 * 1024
-BLOCK_OVERLAP = PIECE = 1024 * 1024
-FEED = 64 * 1024
+BLOCK = 16 * 1024 * 1024
+PIECE, FEED = 1024 * 1024, 4 * 1024
+MOST_DEPTH = 6
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-_ESCAPED = re.compile(r"\S*(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)\S*")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-_PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
-#: What any secret, or region to decode, has.
-_HOLDS = re.compile(rb"passw|secret|token|api_?key|AKIA|%[0-9a-f]{2}|\\[ux][0-9a-f]|&#[0-9x]|[a-z0-9+/_-]{16}", re.I)
-_STRAY = re.compile("[\ud800-\udfff]")
 _NAMES = ("passw", "secret", "token", "api")
+#: What any secret, or region to decode, has.
+_HOLDS = re.compile(r"passw|secret|token|api_?key|AKIA|%u?[0-9a-f]{2}|\\.|&[#a-z]|[a-z0-9+/_-]{16}|[a-z0-9+/_-]\s*\n\s*[a-z0-9+/_-]", re.I | re.A)
+_PERCENT = re.compile(r"%u[0-9A-Fa-f]{4}|(?:%[0-9A-Fa-f]{2})++")
+_BACKSLASH = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2})|([0-3][0-7]{2})|([nrtbfv0]|[!-/:-@\[-`{-~]))")
+_NUMBERED = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2})|([0-3][0-7]{2})|((?!)))")
+_REFERENCE = re.compile(r"&(?:#([0-9]{1,7});?|#[xX]([0-9A-Fa-f]{1,6});?|([A-Za-z][A-Za-z0-9]{1,31};))")
+_ONE_LETTER = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
+_ENDS = re.compile(r"%u[0-9A-Fa-f]{4}\Z|%[0-9A-Fa-f]{2}\Z|\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2}|[0-3][0-7]{2}|[nrtbfv]|[!-/:-@\[-`|~])\Z|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});\Z")
+_LONGEST = 34
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++")
+_LETTERS = re.compile(r"[A-Za-z0-9+/_-]++")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|\x5d\x00\x00[\x00-\xff]{2}")
+_PRINTED = ((re.compile(rb"[\t\r\n\x20-\x7e]{12,}+"), 0, 1), (re.compile(rb"(?:[\t\r\n\x20-\x7e]\0){12,}+"), 0, 2), (re.compile(rb"(?:\0[\t\r\n\x20-\x7e]){12,}+"), 1, 2))
+_WORD = re.compile(r"\S++")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -63,10 +74,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class _Layer:
-    """A decoded text; `at(i, j)` is the original span that its characters i to j came from."""
+    """A decoded text; `at(i, j)` is the original span that its characters i to j came from. depth: escapes decoded one after another."""
+
+    __slots__ = ("text", "starts", "ends", "whole", "depth")
 
-    def __init__(self, text: str, starts: Sequence[int] | None, ends: Sequence[int] | None, whole: tuple[int, int], oversize: bool = False, cut: Sequence[bool] = (False, False)):
-        self.text, self.starts, self.ends, self.whole, self.oversize, self.cut = text, starts, ends, whole, oversize, cut
+    def __init__(self, text: str, starts: Sequence[int] | None, ends: Sequence[int] | None, whole: tuple[int, int], depth: int = 0):
+        self.text, self.starts, self.ends, self.whole, self.depth = text, starts, ends, whole, depth
 
     def at(self, i: int, j: int) -> tuple[int, int]:
         if self.starts is None:
@@ -74,239 +87,281 @@ class _Layer:
         return self.starts[i], self.ends[j - 1]
 
 
-def _unpacker(head: bytes) -> Callable[[], object] | None:
+Part = tuple[int, int, str, list[int]]  # start, end, the text instead, and the number of characters that each character of it stood in
+
+
+def _spliced(layer: _Layer, parts: Sequence[Part], plus: bool = False) -> _Layer:
+    """The layer with parts in place of what was there. plus: with `+` as a space in the words around them."""
+    out, starts, ends, at = [], [], [], 0
+
+    def between(i: int, j: int) -> str:
+        text = layer.text[i:j]
+        if plus and "+" in text:
+            words = re.split(r"(\s+)", text)
+            if i:
+                words[0] = words[0].replace("+", " ")
+            if j < len(layer.text):
+                words[-1] = words[-1].replace("+", " ")
+            text = "".join(words)
+        return text
+
+    for i, j, text, widths in parts:
+        out += [between(at, i), text]
+        if layer.starts is not None:
+            starts += layer.starts[at:i]
+            ends += layer.ends[at:i]
+            for n in widths:
+                starts.append(layer.starts[i])
+                ends.append(layer.ends[i + n - 1])
+                i += n
+        at = j
+    out.append(between(at, len(layer.text)))
+    if layer.starts is None:
+        return _Layer("".join(out), None, None, layer.whole, layer.depth + 1)
+    return _Layer("".join(out), [*starts, *layer.starts[at:]], [*ends, *layer.ends[at:]], layer.whole, layer.depth + 1)
+
+
+def _scalar(value: int) -> str:
+    return chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else "\ufffd"
+
+
+def _unpercented(m: re.Match[str]) -> Part:
+    if m[0][1] == "u":
+        return m.start(), m.end(), _scalar(int(m[0][2:], 16)), [6]
+    data = bytes.fromhex(m[0].replace("%", ""))
+    if data.isascii():
+        return m.start(), m.end(), data.decode(), [3] * len(data)
+    text = data.decode("utf-8", "surrogateescape")
+    return m.start(), m.end(), "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in text), [3 * len(c.encode("utf-8", "surrogateescape")) for c in text]
+
+
+def _unslashed(m: re.Match[str]) -> str:
+    if m[6]:
+        return _ONE_LETTER.get(m[6], m[6])
+    return _scalar(int(m[5], 8) if m[5] else int(m[1] or m[2] or m[3] or m[4], 16))
+
+
+def _referred(m: re.Match[str]) -> str | None:
+    if m[3]:
+        return html.entities.html5.get(m[3])
+    return _scalar(int(m[1]) if m[1] else int(m[2], 16))
+
+
+def _reduced(layer: _Layer) -> _Layer:
+    """The layer with all escapes decoded, and those that these make, until none is left: a stack of characters, whose end is decoded when it is an escape."""
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for k, c in enumerate(layer.text):
+        s, e = layer.at(k, k + 1)
+        out.append(c)
+        starts.append(s)
+        ends.append(e)
+        while m := _ENDS.search("".join(out[-_LONGEST:])):
+            if m[0][0] == "%":
+                c = _scalar(int(m[0].lstrip("%u"), 16))
+            elif m[0][0] == "&":
+                c = _referred(_REFERENCE.match(m[0]))
+            else:
+                c = _unslashed(_BACKSLASH.match(m[0]))
+            if c is None or c == m[0]:
+                break
+            n = len(m[0])
+            s, e = starts[-n], ends[-1]
+            out[-n:], starts[-n:], ends[-n:] = list(c), [s] * len(c), [e] * len(c)
+    return _Layer("".join(out), None if layer.starts is None else starts, None if layer.starts is None else ends, layer.whole, layer.depth + 1)
+
+
+def _unpacker(head: bytes, raw: bool) -> Callable[[], object] | None:
     """What unpacks a stream that starts so."""
+    if raw:
+        return lambda: zlib.decompressobj(-15)
     if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
         return lambda: zlib.decompressobj(47)
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor
-    if head[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor
+    if head[:6] == b"\xfd7zXZ\x00" or head[:3] == b"\x5d\0\0":
+        return lambda: lzma.LZMADecompressor(memlimit=256 << 20)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return lambda: zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
     return None
 
 
-def _stream(pieces: Iterator[bytes], head: bytes) -> Iterator[bytes]:
-    """Unpacked bytes of head and the pieces after it, PIECE at most at a time, up to the end or the first fault; nothing where head starts no stream."""
-    data = head
-    while (new := _unpacker(data)) is not None:
+def _stream(data: bytes, at: int, raw: bool = False) -> Iterator[bytes]:
+    """Unpacked bytes of the stream that starts in data at a place, up to its end or first fault; nothing where none starts."""
+    held, at = data[at : at + FEED], at + FEED
+    while (new := _unpacker(held, raw)) is not None:
         unpack = new()
+        bounded, done = not type(unpack).__module__.startswith("zstandard"), False
         try:
-            while not unpack.eof:
-                if out := unpack.decompress(data, PIECE):
+            while not done:
+                out = unpack.decompress(held, PIECE) if bounded else unpack.decompress(held)
+                if out:
                     yield out
-                data = getattr(unpack, "unconsumed_tail", b"")
-                if not out and not data and not unpack.eof and (data := next(pieces, b"")) == b"":
-                    return
-            data = unpack.unused_data  # another member
-        except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+                done = unpack.eof
+                held = getattr(unpack, "unconsumed_tail", b"")
+                if not out and not held and not done:
+                    held, at = data[at : at + FEED], at + FEED
+                    if not held:
+                        return
+            held = unpack.unused_data  # another member
+        except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError, zstandard.ZstdError, MemoryError):
             return
-        while len(data) < 6 and (more := next(pieces, b"")):
-            data += more
-
-
-def _fed(data: bytes, at: int) -> Iterator[bytes]:
-    return (data[k : k + FEED] for k in range(at, len(data), FEED))
+        if raw:
+            return
+        if len(held) < 6:
+            held, at = held + data[at : at + FEED], at + FEED
 
 
-def _blocks(pieces: Iterator[bytes], held: bytes, size: int) -> Iterator[tuple[bytes, bool, bool]]:
-    """held and the pieces after it as blocks of about `size`, overlapping; what starts as a stream does is unpacked on the way. With each, whether it is cut at its start and at its end."""
-    while _unpacker(held) is not None:
-        inner = _stream(chain(_fed(held, FEED), pieces), held[:FEED])
-        if not (first := next(inner, b"")):
-            break
-        pieces, held = inner, first
-        while len(held) < 6 and (more := next(pieces, b"")):
-            held += more
-    overlap, parts, n, cut = min(BLOCK_OVERLAP, size // 2), [held], len(held), False
+def _blocks(pieces: Iterator[bytes], size: int) -> Iterator[bytes]:
+    """The pieces as blocks of about `size` bytes that overlap by a sixteenth."""
+    parts, n = [], 0
     for piece in pieces:
         parts.append(piece)
         n += len(piece)
         if n >= size:
             held = b"".join(parts)
-            yield held, cut, True
-            parts, n, cut = [held[-overlap:]], overlap, True
-    yield b"".join(parts), cut, False
-
-
-def _inflated(data: bytes, at: int, limit: int) -> tuple[bytes, Iterator[bytes] | None] | None:
-    """Unpacked bytes where a compressed stream starts in data at a place, and the pieces still to come if they are beyond the limit."""
-    pieces, parts, n = _stream(_fed(data, at + FEED), data[at : at + FEED]), [], 0
-    for piece in pieces:
-        parts.append(piece)
-        n += len(piece)
-        if n > limit:
-            return b"".join(parts), pieces
-    return (b"".join(parts), None) if parts else None
-
-
-def _useful(data: bytes) -> bool:
-    """Whether the bytes, or those left without NULs (as of UTF-16), can hold a secret, a region or a compressed stream."""
-    return bool(_HOLDS.search(data) or _MAGIC.search(data) or b"\0" in data and _HOLDS.search(data.replace(b"\0", b"")))
-
-
-def _text_layer(data: bytes, spans: list[tuple[int, int]] | None, whole: tuple[int, int], cut: Sequence[bool]) -> _Layer:
-    """Bytes as UTF-8, each byte that is none as one replacement character."""
-    text = data.decode("utf-8", "surrogateescape")
-    if spans is None:
-        return _Layer(_STRAY.sub("\ufffd", text), None, None, whole, cut=cut)
-    starts, ends, k = [], [], 0
-    for ch in text:
-        n = 1 if ch < "\x80" else len(ch.encode("utf-8", "surrogateescape"))
-        starts.append(spans[k][0])
-        ends.append(spans[k + n - 1][1])
-        k += n
-    return _Layer(_STRAY.sub("\ufffd", text), starts, ends, whole, cut=cut)
-
-
-def _bytes_layer(data: bytes, spans: list[tuple[int, int]] | None, whole: tuple[int, int], limit: int, seen: set[bytes] | None = None, cut: Sequence[bool] = (False, False)) -> Iterator[_Layer]:
-    """Layers of decoded bytes, spans by byte (None: the whole): their text, also without NULs, and what streams that start anywhere in them unpack to (again and again)."""
-    seen = set() if seen is None else seen
-    for m in _MAGIC.finditer(data):
-        out = _inflated(data, m.start(), limit)
-        if out is None:
-            continue
-        key = hashlib.sha256(out[0]).digest()
-        if key in seen:
-            continue
-        seen.add(key)
-        region = whole if spans is None else (spans[m.start()][0], spans[-1][1])
-        if out[1] is None:
-            yield from _bytes_layer(out[0], None, region, limit, seen)
-            continue
-        yield _Layer("", None, None, region, oversize=True)
-        for block, *ends in _blocks(out[1], out[0], limit):
-            yield from _bytes_layer(block, None, region, limit, seen, ends)
-    if _HOLDS.search(data):
-        yield _text_layer(data, spans, whole, cut)
-    if b"\0" in data and _HOLDS.search(bare := data.replace(b"\0", b"")):
-        yield _text_layer(bare, spans and [s for s, byte in zip(spans, data, strict=True) if byte], whole, cut)
-
-
-def _spliced(layer: _Layer, parts: Iterator[tuple[int, int, str, list[int], list[int]]]) -> _Layer | None:
-    """The layer with parts (start, end, and their text with its spans' starts and ends) in place of what was there; None without parts."""
-    out, starts, ends, at = [], [], [], 0
-    for i, j, text, s, e in parts:
-        out += [layer.text[at:i], text]
-        if layer.starts is not None:
-            starts += [*layer.starts[at:i], *s]
-            ends += [*layer.ends[at:i], *e]
-        at = j
-    if not at:
-        return None
-    text = "".join(out) + layer.text[at:]
-    if layer.starts is None:
-        return _Layer(text, None, None, layer.whole, cut=layer.cut)
-    return _Layer(text, [*starts, *layer.starts[at:]], [*ends, *layer.ends[at:]], layer.whole)
-
-
-def _unpercented(layer: _Layer) -> Iterator[tuple[int, int, str, list[int], list[int]]]:
-    for m in _PERCENTS.finditer(layer.text):
-        text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
-        starts, ends, k = [], [], m.start()
-        for ch in text:
-            n = 3 * len(ch.encode("utf-8", "surrogateescape"))
-            s, e = layer.at(k, k + n)
-            starts.append(s)
-            ends.append(e)
-            k += n
-        yield m.start(), m.end(), "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in text), starts, ends
-
-
-def _unescaped(layer: _Layer) -> Iterator[tuple[int, int, str, list[int], list[int]]]:
-    for x in _ESCAPE.finditer(layer.text):
-        s, e = layer.at(x.start(), x.end())
-        yield x.start(), x.end(), _character(x), [s], [e]
-
-
-def _character(x: re.Match[str]) -> str:
-    value = int(x[4]) if x[4] else int(x[1] or x[2] or x[3] or x[5], 16)
-    return chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else "\ufffd"
-
-
-def _percent(layer: _Layer, limit: int) -> Iterator[_Layer]:
-    if "%" not in layer.text:
-        return
-    if new := _spliced(layer, _unpercented(layer)):
+            yield held
+            parts, n = [held[-size // 16 :]], min(n, size // 16)
+    if n:
+        yield b"".join(parts)
+
+
+class _Scan:
+    """The worklist over one text."""
+
+    def __init__(self, text: str, block: int):
+        self.block = block
+        self.base = base_spans(text)
+        self.spans = set(self.base)
+        self.seen: set[tuple] = set()
+        first = _Layer(text, range(len(text)), range(1, len(text) + 1), (0, len(text)))
+        work = [self.inside(first)]
+        while work:  # one layer of each depth is held at a time
+            new = next(work[-1], None)
+            if new is None:
+                work.pop()
+            elif self.unseen(new.text.encode("utf-8", "surrogatepass"), new.whole):
+                self.spans.update((kind, *new.at(i, j)) for kind, i, j in base_spans(new.text))
+                work.append(self.inside(new))
+
+    def unseen(self, data: bytes, whole: tuple[int, int], stream: bool = False) -> bool:
+        key = (hashlib.blake2b(data, digest_size=16).digest(), whole, stream)
+        if key in self.seen:
+            return False
+        self.seen.add(key)
+        return True
+
+    def inside(self, layer: _Layer) -> Iterator[_Layer]:
+        text = layer.text
+        if "%" in text or "\\" in text or "&" in text:
+            if layer.depth < MOST_DEPTH:
+                yield from chain(self.percent(layer), self.slashes(layer), self.references(layer))
+            elif layer.depth == MOST_DEPTH:
+                yield _reduced(layer)
+        yield from self.base64(layer)
+
+    def percent(self, layer: _Layer) -> Iterator[_Layer]:
+        if "%" not in layer.text or not (parts := [_unpercented(m) for m in _PERCENT.finditer(layer.text)]):
+            return
+        new = _spliced(layer, parts)
         yield new
-    for m in _PERCENT.finditer(layer.text):
-        part, data, spans, i = m[0], bytearray(), [], 0
-        while i < len(part):
-            if part[i] == "%" and re.match(r"[0-9A-Fa-f]{2}", part[i + 1 : i + 3]):
-                data.append(int(part[i + 1 : i + 3], 16))
-                spans.append(layer.at(m.start() + i, m.start() + i + 3))
-                i += 3
+        if "+" in layer.text and (spaced := _spliced(layer, parts, plus=True)).text != new.text:
+            yield spaced
+        if all(p[2].isascii() for p in parts):
+            return
+        for w in _WORD.finditer(layer.text):  # bytes of words that hold escapes
+            if "%" not in w[0]:
                 continue
-            raw = part[i].encode("utf-8", "surrogatepass")
-            data += raw
-            spans += [layer.at(m.start() + i, m.start() + i + 1)] * len(raw)
-            i += 1
-        yield from _bytes_layer(bytes(data), spans, (spans[0][0], spans[-1][1]), limit)
-
-
-def _escaped(layer: _Layer, limit: int) -> Iterator[_Layer]:
-    if "\\" not in layer.text and "&#" not in layer.text:
-        return
-    if new := _spliced(layer, _unescaped(layer)):
+            data, places = bytearray(), []
+            k = w.start()
+            for m in _PERCENT.finditer(layer.text, w.start(), w.end()):
+                raw = layer.text[k : m.start()]
+                data += raw.encode("latin-1", "replace")
+                places += range(k, m.start())
+                if m[0][1] != "u":
+                    data += bytes.fromhex(m[0].replace("%", ""))
+                    places += range(m.start(), m.end(), 3)
+                k = m.end()
+            data += layer.text[k : w.end()].encode("latin-1", "replace")
+            places += range(k, w.end())
+            places.append(w.end())
+            yield from self.of_bytes(bytes(data), lambda n, p=places: layer.at(p[n], p[n + 1]))
+
+    def characters(self, layer: _Layer, parts: list[Part]) -> Iterator[_Layer]:
+        """The layer with parts decoded, and its characters as bytes where they stand for such."""
+        if not parts:
+            return
+        new = _spliced(layer, parts)
         yield new
-    for m in _ESCAPED.finditer(layer.text):
-        out, starts, ends, at = [], [], [], m.start()
-
-        def put(chars: str, i: int, j: int) -> None:
-            s, e = layer.at(i, j)
-            out.append(chars)
-            starts.extend([s] * len(chars))
-            ends.extend([e] * len(chars))
-
-        for x in _ESCAPE.finditer(layer.text, m.start(), m.end()):
-            for i in range(at, x.start()):
-                put(layer.text[i], i, i + 1)
-            put(_character(x), x.start(), x.end())
-            at = x.end()
-        for i in range(at, m.end()):
-            put(layer.text[i], i, i + 1)
-        text = "".join(out)
-        yield _Layer(text, starts, ends, layer.at(m.start(), m.end()))
-        data = text.encode("latin-1", "replace")
-        if _MAGIC.search(data):
-            yield from _bytes_layer(data, list(zip(starts, ends, strict=True)), layer.at(m.start(), m.end()), limit)
-
-
-def _base64(layer: _Layer, limit: int) -> Iterator[_Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        if any("\x7f" < p[2] < "\u0100" or p[2] == "\0" for p in parts):
+            yield from self.of_bytes(new.text.encode("latin-1", "replace"), lambda n: new.at(n, n + 1), words=new.text)
+
+    def slashes(self, layer: _Layer) -> Iterator[_Layer]:
+        if "\\" in layer.text:
+            for pattern in (_NUMBERED, _BACKSLASH):  # of two backslashes, the second or the first may be what escapes
+                yield from self.characters(layer, [(m.start(), m.end(), _unslashed(m), [m.end() - m.start()]) for m in pattern.finditer(layer.text)])
+
+    def references(self, layer: _Layer) -> Iterator[_Layer]:
+        if "&" in layer.text:
+            found = ((m, _referred(m)) for m in _REFERENCE.finditer(layer.text))
+            yield from self.characters(layer, [(m.start(), m.end(), c[:1], [m.end() - m.start()]) for m, c in found if c])
+
+    def base64(self, layer: _Layer) -> Iterator[_Layer]:
+        for m in _BASE64.finditer(layer.text):
+            yield from self.run64(layer, m[0], range(m.start(), m.end()))
+        if "\n" in layer.text:
+            for m in _WRAPPED.finditer(layer.text):
+                lines = list(_LETTERS.finditer(m[0]))
+                run = "".join(x[0] for x in lines)
+                if len(run) >= 16:
+                    yield from self.run64(layer, run, list(chain.from_iterable(range(m.start() + x.start(), m.start() + x.end()) for x in lines)))
+
+    def run64(self, layer: _Layer, run: str, places: Sequence[int]) -> Iterator[_Layer]:
+        run = run.replace("-", "+").replace("_", "/")
         for first in range(4):  # what stands before a region may be of its letters
             part = run[first : len(run) - ((len(run) - first) % 4 == 1)]
             data = base64.b64decode(part + "=" * (-len(part) % 4))
-            if _useful(data):
-                at, n = m.start() + first, len(part)
-                spans = [layer.at(at + k * 4 // 3, at + min(n, (k * 8 + 7) // 6 + 1)) for k in range(len(data))]
-                yield from _bytes_layer(data, spans, (spans[0][0], spans[-1][1]), limit)
+
+            def span(k: int, first: int = first) -> tuple[int, int]:
+                return layer.at(places[first + k * 4 // 3], places[first + (k * 8 + 7) // 6] + 1)
+
+            yield from self.of_bytes(data, span, raw=True)
+
+    def of_bytes(self, data: bytes, span: Callable[[int], tuple[int, int]] | None, whole: tuple[int, int] | None = None, raw: bool = False, words: str | None = None) -> Iterator[_Layer]:
+        """Layers of decoded bytes: their printable stretches, and what streams that start in them unpack to. span: of a byte; without one, all have the span `whole`. words: the text that the bytes are of, whose words bound a stream."""
+        for pattern, first, step in _PRINTED:
+            if step == 2 and b"\0" not in data:
+                break
+            for m in pattern.finditer(data):
+                text = m[0][first::step].decode()
+                if not _HOLDS.search(text):
+                    continue
+                if span is None:
+                    yield _Layer(text, None, None, whole)
+                    continue
+                spans = [span(k) for k in range(m.start() + first, m.end(), step)]
+                yield _Layer(text, [s for s, _ in spans], [e for _, e in spans], (spans[0][0], spans[-1][1]))
+        places = [(m.start(), False) for m in _MAGIC.finditer(data)]
+        if raw and len(data) > 12 and not data.isascii():
+            places.append((0, True))
+        for at, bare in places:
+            pieces = _stream(data, at, bare)
+            if not (first := next(pieces, b"")):
+                continue
+            end = len(data)
+            if words is not None and (gap := re.compile(r"\s").search(words, at + 1)):
+                end = max(at + 1, gap.start())
+            region = whole if span is None else (span(at)[0], span(end - 1)[1])
+            for block in _blocks(chain((first,), pieces), self.block):
+                if self.unseen(block, region, stream=True):
+                    yield from self.of_bytes(block, None, region)
 
 
-def scan_text(text: str | None, max_layer_chars: int = MAX_LAYER_CHARS) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def scan_text(text: str | None, block: int = BLOCK) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) of a text, in code points of the text itself, each list by start, kind and end."""
-    text = text or ""
-    base = base_spans(text)
-    spans = set(base)
-    first = _Layer(text, range(len(text)), range(1, len(text) + 1), (0, len(text)))
-    inside = lambda layer: chain.from_iterable(decode(layer, max_layer_chars) for decode in (_percent, _escaped, _base64))
-    work, seen = [inside(first)], set()
-    while work:  # one layer of each depth is held at a time
-        new = next(work[-1], None)
-        if new is None:
-            work.pop()
-            continue
-        if new.oversize:
-            spans.add(("oversize", *new.whole))
-            continue
-        key = (hashlib.sha256(new.text.encode("utf-8", "surrogatepass")).digest(), new.whole, *new.cut)
-        if key not in seen:
-            seen.add(key)
-            for kind, i, j in base_spans(new.text):
-                if not (new.cut[0] and i == 0 or new.cut[1] and j == len(new.text)):
-                    spans.add((kind, *new.at(i, j)))
-            work.append(inside(new))
-    return base, sorted(spans, key=lambda s: (s[1], ORDER[s[0]], s[2]))
+    scan = _Scan(text or "", block)
+    return scan.base, sorted(scan.spans, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -331,7 +386,7 @@ def redact(text: str | None, spans: list[tuple[str, int, int]], mask: str = "[se
 _SCAN = "base array<struct<kind:string,start:long,end:long>>, spans array<struct<kind:string,start:long,end:long>>, base_sha256 string, spans_text string"
 
 
-def secret_column(text: Column, max_layer_chars: int = MAX_LAYER_CHARS) -> Column:
+def secret_column(text: Column) -> Column:
     """A struct (base, spans, base_sha256, spans_text) for a text column."""
 
     @F.pandas_udf(_SCAN)
@@ -339,7 +394,7 @@ def secret_column(text: Column, max_layer_chars: int = MAX_LAYER_CHARS) -> Colum
         for batch in texts:
             rows = []
             for t in batch:
-                base, spans = scan_text(t, max_layer_chars)
+                base, spans = scan_text(t)
                 rows.append(([{"kind": k, "start": i, "end": j} for k, i, j in base], [{"kind": k, "start": i, "end": j} for k, i, j in spans], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
             yield pd.DataFrame(rows, columns=["base", "spans", "base_sha256", "spans_text"])
 

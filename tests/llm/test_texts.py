@@ -3,9 +3,11 @@
 import base64
 import bz2
 import gzip
+import json
 import lzma
 import random
 import re
+import time
 import zlib
 from hashlib import sha256
 from urllib.parse import quote
@@ -13,6 +15,7 @@ from urllib.parse import quote
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -149,22 +152,104 @@ def test_spans_map_to_the_letters_that_made_them():
 def test_fixpoint_ends_on_layers_that_repeat_and_on_bombs():
     assert secret_scan.scan_text("%25" * 500 + "41")[1] == []
     bomb = base64.b64encode(zlib.compress(b"a" * 5_000_000)).decode()
-    assert [s[0] for s in secret_scan.scan_text(f"q {bomb}", max_layer_chars=1_000_000)[1]] == ["oversize"]
+    assert secret_scan.scan_text(f"q {bomb}", block=1_000_000)[1] == [("hex", 2, 2 + len(bomb.rstrip("=")))]
 
 
-def test_an_oversized_region_hides_no_other_and_is_scanned():
-    inside = b"a" * 3_000_000 + b" password = hunter22x " + b"b" * 1_900_000
-    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+def test_a_long_stream_hides_no_other_region_and_is_scanned_whole():
+    inside = b"-" * 3_000_000 + b" password = hunter22x " + b"+" * 1_900_000
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
         bomb = base64.b64encode(pack(inside)).decode()
         after = base64.b64encode(SECRET.encode()).decode()
         text = f"q {bomb} and {after} end"
-        spans = secret_scan.scan_text(text, max_layer_chars=1_000_000)[1]
+        spans = secret_scan.scan_text(text, block=1_000_000)[1]
         at, k = 2 + len(bomb.rstrip("=")), text.index(after)
-        assert ("oversize", 2, at) in spans and ("assign", 2, at) in spans
+        assert ("assign", 2, at) in spans and {kind for kind, *_ in spans} <= set(secret_scan.KINDS)
         assert any(kind == "assign" and k <= i < j <= k + len(after) for kind, i, j in spans)
         assert all(j <= at or i >= k for _, i, j in spans)
 
 
+def test_a_secret_longer_than_a_block_counts():
+    value = bytes(97 + i * i % 23 for i in range(3_000_000))
+    for body in (b"token=" + value, value[:-40].upper() + b"token=" + value):
+        text = base64.b64encode(gzip.compress(body)).decode()
+        assert ("assign", 0, len(text.rstrip("="))) in secret_scan.scan_text(text, block=1_000_000)[1]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a" * 1_000_000 + " 100%",
+        "a" * 1_000_000 + "\\",
+        "\\u0061" + "a" * 1_000_000 + "&",
+        "data:image/png;base64," + base64.b64encode(random.Random(1).randbytes(750_000)).decode() + " 100%",
+        "%4 " * 300_000,
+        "%41 " * 250_000,
+        "\\n" * 500_000,
+        "a\n" * 500_000,
+        "&#" * 500_000,
+        "ab%" * 300_000,
+        "%" + "25" * 400_000 + "41",
+        "\\" * 400_000 + "u0041",
+    ],
+    ids=range(12),
+)
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    secret_scan.scan_text(text)
+    assert time.process_time() - began < 12
+
+
+def wrapped(data, n, end="\n"):
+    b = base64.b64encode(data).decode()
+    return end.join(b[i : i + n] for i in range(0, len(b), n))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        *(wrapped(SECRET.encode(), n, end) for n in (3, 10, 24, 32) for end in ("\n", "\r\n", "\n    ")),
+        *(wrapped(gzip.compress(b"x" * 40 + SECRET.encode()), n) for n in (10, 24, 32)),
+        "https://x.y/" + base64.b64encode(SECRET.encode()).decode(),
+        "?a=%FF&p=" + quote(SECRET),
+        base64.b64encode(bz2.compress(b"first") + bz2.compress(SECRET.encode())).decode(),
+        base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET.encode())).decode(),
+        "x\\u{70}assword = hunter22x",
+        "x%u0070assword = hunter22x",
+        "password&equals;hunter22x",
+        "&quot;password&quot;&colon;&quot;hunter22x",
+        "password+%3D+hunter22x",
+        json.dumps(json.dumps(json.dumps({"password": "hunter22x"}))),
+        json.dumps(json.dumps({"password": "hunter22x"})).replace("p", "\\u0070"),
+        "p\\141ssword\\075hunter22x",
+        "C%3A%5Ctoken%3Dabcdef",
+        "".join(f"\\x{b:02x}" for b in SECRET.encode("utf-16-le")),
+        base64.b64encode(zlib.compress(SECRET.encode() * 2)[2:-4]).decode(),
+        base64.b64encode(lzma.compress(SECRET.encode(), lzma.FORMAT_ALONE)).decode(),
+        base64.b64encode(zstandard.compress(SECRET.encode())).decode(),
+        quote(gzip.compress(SECRET.encode())),
+    ],
+)
+def test_every_layer_is_unwrapped(text):
+    for glue in ("", "words before ", "α "):
+        base, spans = secret_scan.scan_text(glue + text + " and after")
+        assert not base
+        found = [(i, j) for kind, i, j in spans if kind == "assign"]
+        assert found and all(len(glue) <= i < j <= len(glue) + len(text) for i, j in found), spans
+        assert not secret_scan.scan_text(secret_scan.redact(glue + text, spans))[1]
+
+
+def test_deep_layers_of_mixed_escapes():
+    rng = random.Random(8)
+    for depth in (1, 3, 7, 8, 9, 15, 40):
+        text = SECRET
+        for _ in range(depth):
+            kind = rng.choice((lambda c: f"%{ord(c):02x}", lambda c: f"\\u{ord(c):04x}", lambda c: f"&#{ord(c)};", lambda c: f"&#x{ord(c):x};"))
+            at = rng.choice([k for k in range(5) if depth < 6 or text[k] != "\\"])
+            text = text[:at] + kind(text[at]) + text[at + 1 :]
+        spans = secret_scan.scan_text(text)[1]
+        assert ("assign", 0, len(text)) in spans, (depth, text)
+
+
 @pytest.mark.parametrize(
     ("text", "hidden"),
     [

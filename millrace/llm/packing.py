@@ -2,11 +2,20 @@
 
 Every document becomes pieces of at most `capacity` tokens. The histogram of piece lengths, which has at most
 `capacity` entries whatever the corpus, is all that the driver sees. Over it, the configuration program (how many
-sequences of each make-up cover all pieces with the fewest sequences) is solved by multiplicative weights: each
-round prices the lengths by how little they are covered and takes the best configuration under these prices, found
-by knapsack dynamic programming. The fractional solution is rounded down, and what remains is packed best-fit,
-longest first. The plan is ranges of ranks by length; pieces find their place by their rank among pieces of their
-length, a sum of counts by task, so no group of pieces is ever brought together.
+sequences of each make-up cover all pieces with the fewest sequences) is solved by multiplicative weights:
+
+1. Prices. Every round finds the most valuable configurations under the lengths' prices by bounded knapsack dynamic
+   programming, one for each length that a configuration of nearly the greatest value can have, and lowers each price by
+   a factor for how much its length is covered. The prices over the greatest value are a dual solution, whose worth
+   bounds the number of sequences from below; they start as the lengths, the dual of the bound by volume.
+2. Uses. How often the configurations found are used is then scaled by factors, each the mean of what the lengths
+   of the configuration lack, until all lengths are covered.
+
+Uses are rounded down, and after that up by the largest until half of the bound is placed; what remains is a histogram like the
+first and is solved again, until the program places next to nothing. The rest is packed best-fit, longest first. Of
+the numbers of solutions after which the rest could have been packed so, the one with the fewest sequences counts
+(none, that is best-fit alone, included). The plan is ranges of ranks by length; pieces find their place by their
+rank among pieces of their length, a sum of counts by task, so no group of pieces is ever brought together.
 
 Defined results: a null text counts as empty; an empty document is its end token alone; a document longer than the
 capacity is cut so that its first piece is the shorter one; repeated rows are packed each. Ranks among pieces of
@@ -15,7 +24,6 @@ one length follow the tasks that wrote them.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,56 +36,88 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.token_fst import class_of
 from millrace.session import written
 
 Config = tuple[tuple[int, int], ...]  # (length, times) from the longest on
+SLACK = 0.005  # share of the greatest value that a configuration taken into the program may lack
+TIGHT = 0.0005  # and one that is used
+MOST_PIECES, LONG_PIECE = 300_000, 64  # of text, kept with their ids
+
+
+class Knapsack:
+    """Bounded knapsack under prices: `value` by capacity, and the configurations behind it."""
+
+    def __init__(self, prices: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int):
+        self.size = len(lengths)
+        self.value = np.zeros(capacity + 1)
+        self.items = []  # (index of length, times, length of all): times 1, 2, 4, ... up to the most
+        for i, (n, m) in enumerate(zip(lengths.tolist(), most.tolist(), strict=True)):
+            m, k = min(m, capacity // n), 1
+            while m > 0:
+                self.items.append((i, min(k, m), n * min(k, m)))
+                m, k = m - min(k, m), 2 * k
+        self.taken = np.zeros((len(self.items), capacity + 1), bool)
+        for r, (i, times, n) in enumerate(self.items):
+            other = self.value[:-n] + prices[i] * times
+            self.taken[r, n:] = better = other > self.value[n:] + 1e-15
+            self.value[n:] = np.where(better, other, self.value[n:])
+
+    def best(self, capacities: np.ndarray) -> np.ndarray:
+        """Rows of times by length: the configuration of greatest value for each capacity."""
+        left, out = capacities.copy(), np.zeros((len(capacities), self.size), np.int64)
+        for r in range(len(self.items) - 1, -1, -1):
+            i, times, n = self.items[r]
+            hit = self.taken[r][left]
+            if hit.any():
+                out[hit, i] += times
+                left[hit] -= n
+        return out
 
 
-def priced(prices: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarray) -> dict[int, int]:
-    """The configuration of greatest price, by knapsack dynamic programming; {index of length: times}."""
-    value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
-        k = fits[c]
-        if k:
-            gains = value[c - lengths[:k]] + prices[:k]
-            i = int(gains.argmax())
-            if gains[i] > value[c] + 1e-15:
-                value[c], choice[c] = gains[i], i
-    out: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        i = int(choice[c])
-        if out[i] < most[i]:
-            out[i] += 1
-        c -= int(lengths[i])
-    return {i: n for i, n in out.items() if n}
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, epsilon: float) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often each is used, such that about all pieces are covered once."""
-    weights = np.ones(len(lengths))
-    used: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40, epsilon: float = 0.3, scalings: int = 300, power: float = 1.7) -> tuple[np.ndarray, np.ndarray, float]:
+    """(configurations as rows of times by length, how often each is used to cover the counts, lower bound of the number of sequences)."""
+    weights = lengths * counts / capacity
+    used: dict[bytes, float] = defaultdict(float)
     covered = np.zeros(len(lengths))
+    bound, dual = 0.0, lengths / capacity
     for _ in range(rounds):
-        config = priced(weights / counts, lengths, capacity, counts)
-        if not config:
+        prices = weights / counts
+        sack = Knapsack(prices, lengths, counts, capacity)
+        most = sack.value[capacity]
+        if (worth := float(weights.sum() / most)) > bound:
+            bound, dual = worth, prices / most
+        own = np.flatnonzero(prices + sack.value[capacity - lengths] >= (1 - SLACK) * most)
+        found = sack.best(capacity - lengths[own])
+        found[np.arange(len(own)), own] += 1
+        held = (found <= counts).all(axis=1)
+        found, own = found[held], own[held]
+        if not len(own):
             break
-        index = np.fromiter(config, int)
-        times = np.fromiter(config.values(), float)
-        share = times / counts[index]
-        step = 1.0 / share.max()
-        used[tuple(sorted(config.items()))] += step
-        covered[index] += step * share
-        weights[index] *= np.exp(-epsilon * step * share)
-        weights = np.maximum(weights / weights.max(), 1e-12)
-    scale = max(covered.mean(), 1e-9)
-    return [(dict(c), x / scale) for c, x in used.items()]
+        uses = counts[own] / found[np.arange(len(own)), own]
+        share = (uses @ found) / counts
+        for row, x in zip(found.astype(np.int16), uses / share.max(), strict=True):
+            used[row.tobytes()] += x
+        covered += share / share.max()
+        weights = weights * np.exp(-epsilon * share / share.max())
+        weights /= weights.max()
+    configs = np.array([np.frombuffer(k, np.int16) for k in used], np.int64).reshape(-1, len(lengths))
+    x = np.array(list(used.values())) / max(covered.mean(), 1e-12)
+    tight = configs @ dual >= 1 - TIGHT
+    return configs[tight], scaled(configs[tight], x[tight], counts, scalings, power), bound
+
+
+def scaled(configs: np.ndarray, x: np.ndarray, counts: np.ndarray, rounds: int, power: float) -> np.ndarray:
+    """x times factors: in each round, the mean over a configuration's pieces of counts against what is covered, to a power."""
+    if not len(x):
+        return x
+    row, col = np.nonzero(configs)
+    times = configs[row, col].astype(np.float64)
+    first, pieces = np.searchsorted(row, np.arange(len(x))), configs.sum(axis=1)
+    for _ in range(rounds):
+        lack = counts / np.maximum(np.bincount(col, times * x[row], len(counts)), 1e-12)
+        x = x * (np.add.reduceat(times * lack[col], first) / pieces) ** power
+    return x
 
 
 def filled(left: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
@@ -112,31 +152,69 @@ def filled(left: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, in
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 400, epsilon: float = 0.5) -> list[tuple[Config, int]]:
+def best_fit(left: np.ndarray, lengths: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations, by index of length, that hold all that is left, longest first."""
+    out, left = [], left.copy()
+    while left.any():
+        config = filled(left, lengths, capacity)
+        copies = min(int(left[i]) // n for i, n in config.items())
+        for i, n in config.items():
+            left[i] -= n * copies
+        out.append((config, copies))
+    return out
+
+
+def rounded(configs: np.ndarray, x: np.ndarray, left: np.ndarray, goal: float) -> list[tuple[dict[int, int], int]]:
+    """Uses of configurations rounded down, then one more of each, the largest first, until the goal is placed; taken from left."""
+    out, placed = [], 0
+    order = np.argsort(-x, kind="stable")
+    for whole in (True, False):
+        for k in order.tolist():
+            if x[k] < 1 if whole else placed >= goal:
+                break
+            at = np.flatnonzero(configs[k])
+            times = configs[k][at]
+            copies = min(int(x[k]) if whole else 1, int((left[at] // times).min()))
+            if copies > 0:
+                left[at] -= times * copies
+                placed += copies
+                out.append((dict(zip(at.tolist(), times.tolist(), strict=True)), copies))
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 40) -> list[tuple[Config, int]]:
     """(configuration, copies) that hold exactly the pieces of the histogram."""
+    return planned(histogram, capacity, rounds)[0]
+
+
+def planned(histogram: dict[int, int], capacity: int, rounds: int = 40) -> tuple[list[tuple[Config, int]], int]:
+    """plan(), and how many of its sequences the program supplies."""
     out: list[tuple[Config, int]] = []
     if full := histogram.get(capacity, 0):
         out.append((((capacity, 1),), full))
     items = sorted((k, n) for k, n in histogram.items() if k < capacity and n > 0)
     if not items:
-        return out
+        return out, 0
     lengths = np.array([k for k, _ in items])
     left = np.array([n for _, n in items], dtype=np.int64)
-
-    def take(config: dict[int, int], copies: int) -> None:
-        for i, n in config.items():
-            left[i] -= n * copies
-        out.append((tuple((int(lengths[i]), n) for i, n in sorted(config.items(), reverse=True)), copies))
-
-    for config, x in sorted(fractional(lengths, left.copy(), capacity, rounds, epsilon), key=lambda c: -c[1]):
-        used = sum(int(lengths[i]) * n for i, n in config.items())
-        copies = min(int(x), *(int(left[i]) // n for i, n in config.items()))
-        if copies > 0 and used >= 0.995 * capacity:
-            take(config, copies)
+    number = lambda configs: sum(copies for _, copies in configs)
+    placed: list[tuple[dict[int, int], int]] = []
+    best = (placed, best_fit(left, lengths, capacity))
     while left.any():
-        config = filled(left, lengths, capacity)
-        take(config, min(int(left[i]) // n for i, n in config.items()))
-    return out
+        have = np.flatnonzero(left)
+        configs, x, bound = fractional(lengths[have], left[have], capacity, rounds if not placed else rounds // 2)
+        part = left[have]
+        got = rounded(configs, x, part, bound / 2)
+        left[have] = part
+        placed = placed + [({int(have[i]): n for i, n in c.items()}, copies) for c, copies in got]
+        rest = best_fit(left, lengths, capacity)
+        if number(placed) + number(rest) <= number(best[0]) + number(best[1]):
+            best = (placed, rest)
+        if number(got) < max(1, 0.02 * bound):
+            break
+    for config, copies in (*best[0], *best[1]):
+        out.append((tuple((int(lengths[i]), n) for i, n in sorted(config.items(), reverse=True)), copies))
+    return out, number(best[0])
 
 
 class Places:
@@ -161,25 +239,45 @@ class Places:
         return self.first[k] + q // self.times[k], self.offset[k] + (q % self.times[k]) * self.length[k]
 
 
-class Ids:
-    """Token ids as the tokenizers library gives them, from the same vocabulary as ranks; special strings are one token."""
+class Ids(dict):
+    """Token ids as the tokenizers library gives them for the file at `path`: those of pieces of text, asked once and kept, put together.
 
-    def __init__(self, ranks: str, special: tuple[tuple[str, int], ...]):
-        import public_tokenizers
-        import tiktoken
+    A piece is what the tokenizer's own pattern splits off; its ids depend on nothing around it. Texts that hold special strings, or
+    characters that `regex` and the library class otherwise, go through the library whole.
+    """
 
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.special = dict(special)
-        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=self.special)
+    def __init__(self, path: str):
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.library = Tokenizer.from_file(path)
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.kinds = [regex.compile(p).fullmatch for p in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")]
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.plain, self.odd = set(map(chr, range(128))), set()
+
+    def __missing__(self, piece: str) -> bytes:
+        out = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= MOST_PIECES:
+                self.clear()
+            self[piece] = out
+        return out
 
-    def of(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
-            return self.encoding.encode(text, allowed_special="all")
-        return self.encoding.encode_ordinary(text)
+    def of(self, text: str) -> np.ndarray:
+        """Ids of a text as little-endian unsigned 32-bit numbers."""
+        for c in set(text) - self.plain:
+            if c not in self.odd:
+                mine = next((k for k, is_ in enumerate(self.kinds) if is_(c)), 3)
+                (self.plain if mine == class_of(self.library.pre_tokenizer, c) else self.odd).add(c)
+        if any(s in text for s in self.special) or self.odd and not self.odd.isdisjoint(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), "<u4")
 
 
-_loaded: dict[tuple, Ids] = {}
+_loaded: dict[str, Ids] = {}
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -189,7 +287,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (head if s == 0 and head else capacity)) for s in starts]
 
 
-def pieces(df: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, special: tuple[tuple[str, int], ...] = (("<|endoftext|>", 50256),), keep_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32, task, place[, ids]): all pieces of all documents; place is the rank in the task among pieces of the length."""
     id_type = df.schema[id_col].dataType
     fields = [T.StructField("id", id_type), *(T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("task", T.IntegerType()), ("place", T.LongType())))]
@@ -197,14 +295,13 @@ def pieces(df: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "text"
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (ranks, special)
-        if key not in _loaded:
-            _loaded[key] = Ids(*key)
-        of, task, seen = _loaded[key].of, TaskContext.get().partitionId(), defaultdict(int)
+        if tokenizer not in _loaded:
+            _loaded[tokenizer] = Ids(tokenizer)
+        of, task, seen = _loaded[tokenizer].of, TaskContext.get().partitionId(), defaultdict(int)
         for x in batches:
             at, out = [], {n: [] for n in ("piece", "start", "length", "ids_crc32", "place", "ids")}
             for row, t in enumerate(x.column(1)):
-                ids = np.array([*of(t.as_py() or ""), end_id], dtype="<u4")
+                ids = np.append(of(t.as_py() or ""), np.array([end_id], "<u4"))
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     at.append(row)
@@ -219,7 +316,7 @@ def pieces(df: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "text"
     return df.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(run, T.StructType(fields))
 
 
-def pack(cut_up: DataFrame, capacity: int = 1024, rounds: int = 400) -> DataFrame:
+def pack(cut_up: DataFrame, capacity: int = 1024, rounds: int = 40) -> DataFrame:
     """Rows of pieces() (as read from a written table), each with sequence_id and offset.
 
     Two reads of the table and one join with the counts by task and length, of which there are at most tasks x capacity.
@@ -239,9 +336,9 @@ def pack(cut_up: DataFrame, capacity: int = 1024, rounds: int = 400) -> DataFram
     return ranked.select(*cut_up.columns, "at.sequence_id", "at.offset")
 
 
-def pack_documents(df: DataFrame, ranks: str, id_col: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """All documents of df packed: rows (id column, piece, start, length, ids_crc32, sequence_id, offset[, ids]). Other columns of df are not carried."""
-    cut_up = written(pieces(df, ranks, id_col, text, capacity, end_id, keep_ids=keep_ids), "pieces")
+    cut_up = written(pieces(df, tokenizer, id_col, text, capacity, end_id, keep_ids=keep_ids), "pieces")
     packed = pack(cut_up, capacity)
     return packed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else []))
 

@@ -23,12 +23,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranks_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = sharding.shuffled(_table(spark, sf_dir, "documents"), 40, seed=20240229)
     crc = F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long")
@@ -62,7 +56,7 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path())
+    return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

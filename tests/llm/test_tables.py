@@ -12,11 +12,12 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from millrace.llm import graphs, mixing, multi_index, packing, quality, sharding, simhash, spotsigs
-from millrace.llm.queries import QUERIES, ranks_path
+from millrace.llm.queries import QUERIES, tokenizer_path
 
-RANKS = ranks_path()
+TOKENIZER = tokenizer_path()
 
 
 def roots(nodes, links):
@@ -461,10 +462,10 @@ def test_size_ranges_hold_all_matches():
 
 
 def check_packing(rows, documents, capacity=1024):
-    of = packing.Ids(RANKS, (("<|endoftext|>", 50256),)).of
+    library = Tokenizer.from_file(TOKENIZER)
     want = Counter()
     for i, t in documents:
-        ids = np.array([*of(t or ""), 2], "<u4")
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         for k, (s, n) in enumerate(packing.cut(len(ids), capacity)):
             want[i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())] += 1
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
@@ -500,18 +501,96 @@ def test_plans_hold_the_histogram_and_are_near_the_bound():
     assert packing.plan({}, 1024) == [] and sum(c for _, c in packing.plan({600: 10}, 1024)) == 10
 
 
+def alone(hist, capacity):
+    """Sequences of best-fit without the program."""
+    left = {k: n for k, n in hist.items() if k < capacity}
+    lengths = np.array(sorted(left), np.int64)
+    return hist.get(capacity, 0) + sum(c for _, c in packing.best_fit(np.array([left[k] for k in sorted(left)], np.int64), lengths, capacity))
+
+
+def fewest(pieces, capacity):
+    """Sequences of an optimal packing, by search."""
+    best = len(pieces)
+
+    def place(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(pieces):
+            best = len(room)
+            return
+        for r in sorted({x for x in room if x >= pieces[k]}):
+            room.remove(r)
+            place(k + 1, [*room, r - pieces[k]])
+            room.append(r)
+        place(k + 1, [*room, capacity - pieces[k]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_of_few_pieces_against_a_search():
+    rng = np.random.default_rng(11)
+    ours = optimal = 0
+    for _ in range(120):
+        capacity = int(rng.integers(6, 40))
+        pieces = sorted(rng.integers(1, capacity + 1, rng.integers(1, 10)).tolist(), reverse=True)
+        hist = Counter(pieces)
+        got, want = sum(c for _, c in packing.plan(hist, capacity)), fewest(pieces, capacity)
+        assert want <= got <= min(want + 1, alone(hist, capacity))
+        ours, optimal = ours + got, optimal + want
+    assert ours <= 1.01 * optimal
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_the_program_supplies_most_sequences(times):
+    rng = np.random.default_rng(7)
+    hist = Counter((rng.lognormal(6.3, 1.2, 8000).astype(int) % 1024 + 1).tolist())
+    hist = {k: n * times for k, n in hist.items()}
+    plan, supplied = packing.planned(hist, 1024)
+    number = sum(c for _, c in plan)
+    bound = -(-sum(k * c for k, c in hist.items()) // 1024)
+    assert bound <= number <= min(1.0005 * bound + 1, alone(hist, 1024))
+    assert supplied > 0.9 * (number - hist.get(1024, 0))
+
+
+def test_the_bound_is_one_and_uses_cover():
+    rng = np.random.default_rng(3)
+    lengths = np.unique(rng.integers(40, 700, 300))
+    counts = rng.integers(5, 60, len(lengths))
+    configs, x, bound = packing.fractional(lengths, counts, 1024)
+    assert bound >= (lengths * counts).sum() / 1024 - 1e-6 and (configs @ lengths <= 1024).all()
+    assert np.abs(x @ configs / counts - 1)[configs.any(axis=0)].mean() < 0.02
+    assert bound <= sum(c for _, c in packing.plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), 1024))
+
+
+def test_knapsack_equals_a_search():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        capacity = int(rng.integers(5, 25))
+        lengths = np.unique(rng.integers(1, capacity + 1, 4))
+        prices, most = rng.random(len(lengths)), rng.integers(1, 4, len(lengths))
+        sack = packing.Knapsack(prices, lengths, most, capacity)
+        every = np.array(np.meshgrid(*(np.arange(m + 1) for m in most))).reshape(len(most), -1).T
+        for c in range(capacity + 1):
+            fits = every[every @ lengths <= c]
+            [best] = sack.best(np.array([c]))
+            assert sack.value[c] == pytest.approx((fits @ prices).max()) == pytest.approx(best @ prices)
+            assert best @ lengths <= c and (best <= most).all()
+
+
 def test_packing_of_any_table(messy, clashing, empty):
     documents = [(r["doc_id"], r["text"]) for r in messy.collect()]
     for df in (messy, clashing):
-        check_packing(packing.pack_documents(df, RANKS).collect(), documents)
-    check_packing(packing.pack_documents(messy, RANKS, capacity=64).collect(), documents, 64)
-    assert packing.pack_documents(empty, RANKS).collect() == []
+        check_packing(packing.pack_documents(df, TOKENIZER).collect(), documents)
+    check_packing(packing.pack_documents(messy, TOKENIZER, capacity=64).collect(), documents, 64)
+    assert packing.pack_documents(empty, TOKENIZER).collect() == []
 
 
 def test_sequences_hold_the_ids(messy):
-    packed = packing.pack_documents(messy, RANKS, keep_ids=True)
+    packed = packing.pack_documents(messy, TOKENIZER, keep_ids=True)
     whole = packing.sequences(packed).collect()
-    of = packing.Ids(RANKS, (("<|endoftext|>", 50256),)).of
+    of = packing.Ids(TOKENIZER).of
     assert sum(len(r["ids"]) for r in whole) == sum(len(of(r["text"] or "")) + 1 for r in messy.collect())
     assert all(len(r["ids"]) == r["length"] <= 1024 for r in whole)
 

@@ -81,11 +81,14 @@ def test_token_counts_of_a_table(messy, clashing, empty, library):
 
 
 def test_ids_equal_the_library(library):
-    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), (("<|endoftext|>", 50256),))
+    ids = packing.Ids(PATH)
     rng = random.Random(4)
     for _ in range(1500):
         t = "".join(rng.choices(PIECES, k=rng.randint(0, 40)))
-        assert list(ids.of(t)) == library.encode(t, add_special_tokens=False).ids
+        assert ids.of(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    for c in range(0x3000):
+        t = f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}? {chr(c)} {chr(c)}{chr(c)}"
+        assert ids.of(t).tolist() == library.encode(t, add_special_tokens=False).ids, c
 
 
 # -- secrets

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import mixing, packing, quality, secret_scan, simhash
-from millrace.llm.queries import MIX, THRESHOLD, domain, ranks_path
+from millrace.llm.queries import MIX, THRESHOLD, domain, tokenizer_path
 from millrace.session import drop_written, ship, written
 
 
@@ -39,7 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence of 1,024 tokens and its place there."""
-    return packing.pack_documents(docs, ranks_path())
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -2,15 +2,19 @@
 
 The standard library's parser streams events. Block elements begin lines; each line counts its text characters
 and the tags that fell into it, the lines' text-to-tag ratios are smoothed by a Gaussian kernel, and lines above
-a threshold (a share of the standard deviation) form clusters. The clusters decide which container of the page
-is the content region: where an article holds clustered text, all articles (those in main, if such are among them; or
-main itself, if it has clusters around them), else main, else the deepest element that holds all of the clustered
-text. All lines of that region are kept, short ones too, but for what is never
-content: menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles, known
-by element, role, or whole words of class and id.
+a threshold (a share of the standard deviation) form clusters. Lines of a cluster that reach the threshold by themselves
+are its core; text is weighed by core lines alone.
+
+The clusters choose the region. Where articles hold at least half of the weight, they are it (those in main, if such are
+among them; or main itself, if it has weight around them); else main, if that holds half. Else it is the deepest
+element that holds all of the weight, without boxes of no weight before the first core line or after the last, and
+without lists and tables there whose text is mostly links: what no cluster vouches for. All other lines of the region
+are kept, short ones too, but for what is never content: menus, headers, footers, sidebars, notices, adverts, forms, reader comments,
+scripts and styles, known by element, role, or a class or id all of whose words say so (`cookie-notice`, `post-comments`; not
+`share-price`). What is marked so around all articles, or a form around nearly all weight, is marked in error.
 
 Defined results: a null or empty page, or one without text, gives the empty string; unclosed and stray tags are
-read as browsers do; nothing is cut from long pages.
+read as browsers do, an unclosed comment ends at the next bracket; nothing is cut from long pages, and all steps are linear in their length.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,22 +31,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements without text of the page.
+RAW = frozenset("script style noscript template head title svg canvas iframe object audio video map datalist".split())
 #: Elements that never hold content, with all that is in them.
-DROPPED = frozenset("script style noscript template head nav header footer aside form button select textarea option iframe object svg canvas dialog menu title datalist fieldset label audio video map".split())
+DROPPED = frozenset("nav header footer aside form button select textarea option dialog menu fieldset label".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements too small to be a content region.
-LEAVES = HEADINGS | {"p", "li", "td", "blockquote", "pre"}
+LEAVES = HEADINGS | {"p", "li", "blockquote", "pre"}
+LISTS = frozenset("ul ol dl table".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id (split at anything but letters and digits, and at changes of case) that mark what is no content.
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs"
-    " sidebar sidebars aside rail footer foot foots header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login"
+    " sidebar sidebars aside rail footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login"
     " comment comments commentlist respond disqus reply replies discussion reviews share sharing social related recommended recommendations trending pagination pager widget widgets toolbar skip skiplink copyright disclaimer form search searchbox toc"
     .split()
 )
-#: Words before one of these that make it speak of a page's layout (with-sidebar, no-comments).
-LAYOUT = frozenset("with has have no not without".split())
+#: Words that say nothing beside one of these.
+GENERIC = frozenset(
+    "box boxes container wrapper wrap block blocks area section sections content contents body inner outer list items item bar panel slot unit zone module group row col column link links button buttons text title label"
+    " top bottom left right main page site global primary secondary mobile desktop fixed sticky message icons icon media post posts article articles story stories user users reader readers fb facebook twitter google more hero to the a"
+    .split()
+)
 #: Elements that close an open one of the given names when they start.
 CLOSES = {
     **{t: frozenset({"p"}) for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()},
@@ -53,18 +65,22 @@ WALLS = {"li": frozenset({"ul", "ol", "menu"}), "dt": frozenset({"dl"}), "dd": f
 PLAIN_WALLS = frozenset("body html article section div main nav aside header footer form table td th ul ol li blockquote figure button object".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
+_TAG = re.compile(r"<[a-zA-Z/!?]")
+_COMMENT_END = re.compile(r"--!?>")
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    """Whether attributes mark an element as no content; inside: of an article or main, where headers hold titles."""
     for name, value in attrs:
         if not value:
             if name == "hidden":
                 return True
             continue
         if name in ("class", "id"):
-            words = [w.lower() for w in _PARTS.findall(value)]
-            if any(w in WORDS and before not in LAYOUT for before, w in zip(["", *words], words, strict=False)):
-                return True
+            for token in value.split():
+                words = [w for w in map(str.lower, _PARTS.findall(token)) if w not in GENERIC and not w.isdigit()]
+                if words and all(w in WORDS and not (inside and w == "header") for w in words):
+                    return True
         elif name == "role" and value.strip().lower() in ROLES:
             return True
         elif name == "aria-hidden" and value.strip().lower() == "true":
@@ -85,27 +101,32 @@ class _Lines(HTMLParser):
         self.open: Counter[str] = Counter()  # how often each element is on the stack
         self.parent, self.name = [0], ["#root"]  # by number; parents have lower numbers
         self.blocks: list[tuple[int, int]] = []  # height and number of the block elements on the stack
-        self.dropped: list[int] = []  # heights of the stack at which dropping began
-        self.marked: set[int] = set()  # block elements that their attributes mark as no content
+        self.raw: list[int] = []  # heights of the stack at which elements without text began
+        self.hidden: list[int] = []  # and marked inline elements
+        self.marked: set[int] = set()  # block elements that are no content
         self.lines: list[tuple[str, int, int]] = []  # text, tags, number of the innermost block element
+        self.linked: list[int] = []  # by line: characters that are links
         self.parts: list[str] = []
-        self.tags = self.count = 0
+        self.tags = self.count = self.links = 0
         self.block = 0
+        self.unclosed = False  # whether a comment has no end
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             self.lines.append((text, self.tags, self.block))
+            self.linked.append(self.links)
             self.tags = 0
-        self.parts = []
+        self.parts, self.links = [], 0
 
     def pop_to(self, height: int) -> None:
         if self.blocks and self.blocks[-1][0] >= height:
             self.end_line()
         self.open.subtract(t for t, _ in self.stack[height:])
         del self.stack[height:]
-        while self.dropped and self.dropped[-1] >= height:
-            self.dropped.pop()
+        for heights in (self.raw, self.hidden):
+            while heights and heights[-1] >= height:
+                heights.pop()
         while self.blocks and self.blocks[-1][0] >= height:
             self.blocks.pop()
         self.block = self.blocks[-1][1] if self.blocks else 0
@@ -134,12 +155,12 @@ class _Lines(HTMLParser):
         inside = self.open["article"] + self.open["main"] > 0
         self.stack.append((tag, self.count))
         self.open[tag] += 1
-        if tag not in ("html", "body", "article", "main") or tag == "article" and inside:
-            if tag in DROPPED and not (tag == "header" and inside):
-                self.dropped.append(len(self.stack) - 1)
-            elif attrs and _marked(attrs):
+        if tag in RAW:
+            self.raw.append(len(self.stack) - 1)
+        elif tag not in ("html", "body", "article", "main") or tag == "article" and inside:
+            if tag in DROPPED and not (tag == "header" and inside) or attrs and _marked(attrs, inside):
                 if tag in INLINE:
-                    self.dropped.append(len(self.stack) - 1)
+                    self.hidden.append(len(self.stack) - 1)
                 else:
                     self.marked.add(self.count)
         if tag not in INLINE:
@@ -163,11 +184,32 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.dropped:
+        if self.raw or self.hidden:
             return
-        if self.open["header"] and not any(self.open[h] for h in HEADINGS):
+        if self.open["header"] and self.open["article"] + self.open["main"] and not any(self.open[h] for h in HEADINGS):
             return
         self.parts.append(data)
+        if self.open["a"]:
+            self.links += len(data)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """Comments end at their end mark; where there is none, at the next bracket, and no later comment is searched for one."""
+        if not self.unclosed and (m := _COMMENT_END.search(self.rawdata, i + 2)):
+            return m.end()
+        self.unclosed = True
+        end = self.rawdata.find(">", i + 4)
+        return end + 1 if end >= 0 else -1
+
+    def read(self, html: str) -> None:
+        """The whole page. After the last bracket no tag is complete: text up to where one starts is the end."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        self.close()
+        rest = html[end:]
+        if rest and not self.cdata_elem:
+            m = _TAG.search(rest)
+            self.handle_data(unescape(rest[: m.start()] if m else rest))
+        self.end_line()
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """Sections as <![if ...]> end at the next bracket, whatever they are."""
@@ -190,13 +232,14 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def clustered(lines: list[tuple[str, int, int]], sigma: float = 1.0, share: float = 0.5) -> list[int]:
-    """Numbers of the lines whose smoothed text-to-tag ratio reaches `share` of the ratios' standard deviation."""
+def clustered(lines: list[tuple[str, int, int]], sigma: float = 1.0, share: float = 0.5) -> tuple[list[int], list[int]]:
+    """(lines of clusters, their core): numbers of the lines whose smoothed text-to-tag ratio reaches `share` of the smoothed ratios' standard deviation, and of those whose own does too."""
     ratios = [len(text) / max(1, tags) for text, tags, _ in lines]
     smooth = smoothed(ratios, sigma)
     mean = sum(smooth) / len(smooth)
     limit = share * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    return [i for i, x in enumerate(smooth) if x >= limit]
+    inside = [i for i, x in enumerate(smooth) if x >= limit]
+    return inside, [i for i in inside if ratios[i] >= limit]
 
 
 def _below(page: _Lines, roots: set[int]) -> list[bool]:
@@ -207,45 +250,79 @@ def _below(page: _Lines, roots: set[int]) -> list[bool]:
     return out
 
 
-def _drop_marked(page: _Lines) -> None:
-    """Take out the lines of marked elements. If all articles and mains of a page are inside such, what is around these was marked in error."""
+def _weights(page: _Lines, lines: list[int]) -> list[int]:
+    """Characters of the lines, by element that holds them."""
+    weight = [0] * (page.count + 1)
+    for i in lines:
+        weight[page.lines[i][2]] += len(page.lines[i][0])
+    for n in range(page.count, 0, -1):
+        weight[page.parent[n]] += weight[n]
+    return weight
+
+
+def _excluded(page: _Lines, core: list[int]) -> list[bool]:
+    """Whether each element is no content. If all articles and mains of a page are inside marked elements, or nearly all weight is inside a form, these are marked in error."""
     if not page.marked:
-        return
-    named = [n for n in range(1, page.count + 1) if page.name[n] in ("article", "main") and n not in page.marked]
+        return [False] * (page.count + 1)
+    weight = _weights(page, core)
+    page.marked -= {n for n in page.marked if page.name[n] == "form" and weight[n] >= 0.9 * weight[0] > 0}
     off = _below(page, page.marked)
+    named = [n for n in range(1, page.count + 1) if page.name[n] in ("article", "main") and n not in page.marked]
     if named and all(off[n] for n in named):
         for n in named:
             while n:
                 n = page.parent[n]
                 page.marked.discard(n)
         off = _below(page, page.marked)
-    page.lines = [x for x in page.lines if not off[x[2]]]
-
-
-def _region(page: _Lines, chosen: list[int]) -> set[int]:
-    """Numbers of the elements that make up the content region."""
-    weight = [0] * (page.count + 1)
-    for i in chosen:
-        weight[page.lines[i][2]] += len(page.lines[i][0])
-    for n in range(page.count, 0, -1):
-        weight[page.parent[n]] += weight[n]
-    named = {kind: {n for n in range(1, page.count + 1) if page.name[n] == kind} for kind in ("article", "main")}
-    named = {kind: found if any(weight[n] for n in found) else set() for kind, found in named.items()}
-    if named["article"]:
-        in_main = _below(page, named["main"])
-        articles = {n for n in named["article"] if in_main[n]}
-        if not any(weight[n] for n in articles):
-            return named["article"]
-        in_article = _below(page, articles)
-        around = any(in_main[page.lines[i][2]] and not in_article[page.lines[i][2]] for i in chosen)
-        return named["main"] if around else articles
-    if named["main"]:
-        return named["main"]
+    return off
+
+
+def _region(page: _Lines, off: list[bool], core: list[int]) -> list[int]:
+    """Numbers of the lines that are content."""
+    kept = [i for i, (_, _, block) in enumerate(page.lines) if not off[block]]
+    core = [i for i in core if not off[page.lines[i][2]]] or kept
+    if not core:
+        return []
+    weight = _weights(page, core)
+    outer = {kind: {n for n in range(1, page.count + 1) if page.name[n] == kind and not off[n]} for kind in ("article", "main")}
+    in_article, in_main = _below(page, outer["article"]), _below(page, outer["main"])
+    held = lambda inside: 2 * sum(len(page.lines[i][0]) for i in core if inside[page.lines[i][2]]) >= weight[0]
+    if held(in_article):
+        chosen = {n for n in outer["article"] if in_main[n]}
+        if any(weight[n] for n in chosen):
+            inside = _below(page, chosen)
+            around = any(in_main[page.lines[i][2]] and not inside[page.lines[i][2]] for i in core)
+            inside = in_main if around else inside
+        else:
+            inside = in_article
+        return [i for i in kept if inside[page.lines[i][2]]]
+    if held(in_main):
+        return [i for i in kept if in_main[page.lines[i][2]]]
     best = 0
     for n in range(1, page.count + 1):  # numbers rise with depth along a chain
         if weight[n] == weight[0] and page.name[n] not in LEAVES:
             best = n
-    return {best}
+    inside = _below(page, {best})
+    # The outermost element of no weight around each element (itself included), below the region.
+    empty = [0] * (page.count + 1)
+    links, chars = [0] * (page.count + 1), [0] * (page.count + 1)
+    for n in range(1, page.count + 1):
+        empty[n] = empty[page.parent[n]] or (n if inside[n] and n != best and not weight[n] else 0)
+    for i in kept:
+        e = empty[page.lines[i][2]]
+        links[e] += page.linked[i]
+        chars[e] += len(page.lines[i][0])
+    first, last = core[0], core[-1]
+
+    def stays(i: int) -> bool:
+        if not inside[page.lines[i][2]]:
+            return False
+        e = empty[page.lines[i][2]]
+        if not e or first < i < last or page.name[e] in LEAVES:
+            return True
+        return page.name[e] in LISTS and 2 * links[e] < chars[e]
+
+    return [i for i in kept if stays(i)]
 
 
 def extract_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
@@ -253,15 +330,11 @@ def extract_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> st
     if not html:
         return ""
     page = _Lines()
-    page.feed(html)
-    page.close()
-    page.end_line()
-    _drop_marked(page)
+    page.read(html)
     if not page.lines:
         return ""
-    region = _region(page, clustered(page.lines, sigma, share) or list(range(len(page.lines))))
-    inside = _below(page, region)
-    return " ".join(text for text, _, block in page.lines if inside[block])
+    core = clustered(page.lines, sigma, share)[1]
+    return " ".join(page.lines[i][0] for i in _region(page, _excluded(page, core), core))
 
 
 def main_text(html: Column, sigma: float = 1.0, share: float = 0.5) -> Column:

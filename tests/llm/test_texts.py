@@ -357,7 +357,65 @@ def test_any_markup_is_read():
 def test_smoothing_keeps_constants_and_threshold_finds_the_dense_lines():
     assert html_text.smoothed([3.0] * 9) == pytest.approx([3.0] * 9)
     lines = [("a", 5, 0)] * 6 + [("x" * 400, 1, 1)] * 4 + [("b", 5, 0)] * 6
-    assert set(range(6, 10)) <= set(html_text.clustered(lines)) <= set(range(4, 12))
+    inside, core = html_text.clustered(lines)
+    assert set(range(6, 10)) == set(core) <= set(inside) <= set(range(4, 12))
+
+
+def test_ratios_kernel_and_threshold_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        lines = [("x" * rng.choice((1, 9, 80, 300)), rng.randint(0, 6), 0) for _ in range(rng.randint(1, 40))]
+        sigma, share = rng.choice((0.5, 1.0, 2.5)), rng.choice((0.2, 0.5, 1.0))
+        ratios = np.array([len(t) / max(1, n) for t, n, _ in lines])
+        away = np.subtract.outer(np.arange(len(lines)), np.arange(len(lines)))
+        kernel = np.where(abs(away) <= np.ceil(3 * sigma), np.exp(-(away**2) / (2 * sigma**2)), 0)
+        smooth = kernel @ ratios / kernel.sum(axis=1)
+        assert html_text.smoothed(ratios.tolist(), sigma) == pytest.approx(smooth.tolist())
+        limit = share * smooth.std()
+        clear = np.flatnonzero((abs(smooth - limit) > 1e-9) & (abs(ratios - limit) > 1e-9))
+        inside, core = html_text.clustered(lines, sigma, share)
+        assert set(clear) & set(inside) == set(clear) & set(np.flatnonzero(smooth >= limit))
+        assert set(clear) & set(core) == set(clear) & set(np.flatnonzero((smooth >= limit) & (ratios >= limit)))
+
+
+LINKS = "<div>" + "".join(f"<a href=/{k}><b>Go</b></a> <i>x</i> " for k in range(9)) + "</div>"
+BODY = f"<p>{P}</p>" * 20
+CLUSTERED = [
+    (f"<body><article>Teaser on three words</article><div class=content>{BODY}</div></body>", P * 20),
+    (f"<body>{LINKS}<div><h2>T</h2>{BODY}<p>Short.</p></div>{LINKS}</body>", "T " + P * 20 + "Short."),
+    (f"<body><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul><h1>T</h1>{BODY}<ul><li>one<li>two</ul><ul><li><a href=/>Next</a></ul></body>", "T " + P * 20 + "one two"),
+    (f"<body><div>{LINKS}<div><div><p>{P}</p></div><div>Between.</div><div>{BODY}</div></div></div>{LINKS}</body>", P + "Between. " + P * 20),
+    (f"<main>Menu</main><table><tr><td>{LINKS}<td>{BODY}<tr><td>{LINKS}</table>", P * 20),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), CLUSTERED)
+def test_clusters_choose_the_region(html, text, monkeypatch):
+    assert html_text.extract_text(html) == text.strip()
+    every = lambda lines, *_: (list(range(len(lines))),) * 2
+    monkeypatch.setattr(html_text, "clustered", every)
+    assert html_text.extract_text(html) != text.strip()
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><p>{P}</p><section class='share-price'>Up by 3</section><div class='comparison-form-factor'>Small</div><p>Use <span class='promo-code'>X1</span></p><section id='results-discussion'>It works</section></article>", f"{P}Up by 3 Small Use X1 It works"),
+        (f"<article><div class='article-header'><h1>T</h1></div><p>{P}</p><div class='share-buttons'>Share</div><div class='cookie-notice top'>{P}</div><div id='postComments'>{P}</div><p class='no-comments'>End</p></article>", f"T {P}End"),
+        (f"<form id=aspnet><nav>m</nav><div>{BODY}</div></form>", P * 20),
+        (f"<p>{P}<!-- never closed > end", f"{P}end"),
+        (f"<p>{P}<!--> a <!-- b > --> c <a href='", f"{P}a c"),
+    ],
+)
+def test_marks_by_whole_names(html, text):
+    assert html_text.extract_text(html) == text.strip()
+
+
+@pytest.mark.parametrize("part", ["<!--", "<!-- x>", "<!-- --!", "<?", "<a ", "<a href=\"", "<a b='c", "<a/", "<a ==", "<script>", "</", "<div>", "<p>", "<form>", "<article>"])
+def test_broken_markup_takes_linear_time(part):
+    began = time.process_time()
+    html_text.extract_text(part * 50_000)
+    assert time.process_time() - began < 10
 
 
 def test_pages_query_equals_the_articles(spark, sf):

@@ -6,10 +6,14 @@ coefficient of two sets. Near-duplicates are found without comparing all: sets a
 signatures into ranges so wide that a set can only match sets of its own or the next range; within these, an inverted
 index over the rarest signatures of each set brings up candidates, and the Jaccard comparison is pruned by lengths.
 
+The fingerprints of a table are compared in the same way: with those of edited texts and of the next rows, in ranges of set
+sizes outside of which no pair can reach LEAST, and without the comparison where the sizes rule it out.
+
 Defined results: a null text counts as empty and has no signatures; two empty sets are alike (1.0), an empty and
-another are not (0.0). A text without a full chain after any anchor takes every word for an anchor; one with fewer
+another are not (0.0). In fingerprints(), a likeness below its threshold (LEAST) counts as 0.0. A text without a full chain after any anchor takes every word for an anchor; one with fewer
 words than a chain is one signature of all its words, or of its characters if it has no words. Equal texts have equal
-fingerprints. Ties: rows of one id follow one another by the XXH64 of their texts, null ids come first.
+fingerprints. Ties: rows of one id follow one another by the XXH64 of their texts, null ids come first. Ids are in order of
+numbers if they are whole numbers, else in that of their texts' code points; they keep their type.
 """
 
 from __future__ import annotations
@@ -35,6 +39,9 @@ ANCHORS = frozenset(
     " el los las una y es por con para del al lo como su no más o pero sus".split()
 )
 _WORD = re.compile(r"\w+")
+LEAST = 0.05  # likeness that fingerprints() tells from none
+ID_SAMPLE = 200_000  # ids that are no numbers, at most, from which the bounds of parts are taken
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def signatures(text: str | None, anchors: frozenset[str] = ANCHORS, distance: int = 1, length: int = 2) -> frozenset[str]:
@@ -60,14 +67,33 @@ def signatures(text: str | None, anchors: frozenset[str] = ANCHORS, distance: in
 
 
 def jaccard(a: frozenset, b: frozenset, threshold: float = 0.0) -> float:
-    """Likeness of two sets; 0.0 without comparing where their sizes alone keep it below the threshold."""
-    low, high = sorted((len(a), len(b)))
+    """Likeness of two sets, 0.0 if it is below the threshold; told from the sizes alone where these rule it out."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    low, high = len(small), len(large)
     if high == 0:
         return 1.0
     if low < threshold * high:
         return 0.0
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
+    both = len(small & large)
+    likeness = both / (low + high - both)
+    return likeness if likeness >= threshold else 0.0
+
+
+class Ranges:
+    """Ranges of set sizes for a threshold, and the likeness of sets by them: only sets of one range or neighbours are compared."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.starts = threshold, [0, 1]
+
+    def of(self, size: int) -> int:
+        while self.starts[-1] <= size:
+            self.starts.append(_next_range(self.starts[-1], self.threshold))
+        return bisect.bisect_right(self.starts, size) - 1
+
+    def likeness(self, a: frozenset, b: frozenset) -> float:
+        if self.threshold > 0 and abs(self.of(len(a)) - self.of(len(b))) > 1:
+            return 0.0
+        return jaccard(a, b, self.threshold)
 
 
 def digest(sigs: frozenset[str]) -> str:
@@ -103,23 +129,32 @@ class _Order:
         return bisect.bisect_right(self.bounds, key)
 
 
-def _key(i: int | None, h: int) -> tuple:
+def _key(i: int | str | None, h: int) -> tuple:
     return (0, 0, h) if i is None else (1, i, h)
 
 
+def _after(i: int | str) -> tuple:
+    """The first key after all of an id."""
+    return (1, i + 1 if isinstance(i, int) else i + "\0", -(1 << 63))
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_size: int | None = None) -> tuple[DataFrame, _Order]:
     """Rows (id, h, text, copies, part, own) in parts of the order by id, and the order. Each part also holds the row after its last, not its own.
 
-    One shuffle of the texts. Bounds of the parts come from percentiles of the ids; an id with more rows than fit a part
+    One shuffle of the texts. Bounds of the parts come from percentiles of the ids (from a bounded sample of those that are no numbers); an id with more rows than fit a part
     is split by the hash, and its fully repeated rows become one with a number of copies, counted before the shuffle.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = isinstance(df.schema[id_col].dataType, _WHOLE)
+    rows = df.select(F.col(id_col).cast("long" if whole else "string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h"), "text", F.lit(1).cast("long").alias("copies"))
     total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()
     parts = max(1, -(-size // (part_size or part_bytes(size))), min(total, df.sparkSession.sparkContext.defaultParallelism))
     shares = [k / parts for k in range(1, parts)]
     bounds: set[tuple] = set()
-    if shares:
+    if shares and not whole:
+        sample = sorted(r["id"] for r in rows.where("id is not null").orderBy(F.xxhash64("id", "h")).select("id").limit(min(ID_SAMPLE, 100 * parts)).collect())
+        bounds |= {(1, sample[int(x * len(sample))], -(1 << 63)) for x in shares if sample}
+    elif shares:
         at = rows.agg(F.percentile_approx("id", F.array(*map(F.lit, shares)) if parts < 400 else F.from_json(F.lit(str(shares)), "array<double>"), max(10_000, 20 * parts))).first()[0]
         bounds |= {(1, int(i), -(1 << 63)) for i in at or []}
     most = max(64, total // parts)
@@ -128,18 +163,18 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_si
         for i, n in crowded:
             pieces = -(-n // most)
             low = _key(i, 0)[:2]
-            bounds |= {(*low, -(1 << 63) + k * ((1 << 64) // pieces)) for k in range(pieces)} | {(1, low[1] + low[0], -(1 << 63))}
+            bounds |= {(*low, -(1 << 63) + k * ((1 << 64) // pieces)) for k in range(pieces)} | {_after(i) if i is not None else (1, -(1 << 63) if whole else "", -(1 << 63))}
         ids = [i for i, _ in crowded if i is not None]
         hot = F.coalesce(F.col("id").isin(ids), F.lit(False)) | (F.col("id").isNull() if any(i is None for i, _ in crowded) else F.lit(False))
         rows = rows.where(~hot).unionByName(rows.where(hot).groupBy("id", "h", "text").agg(F.sum("copies").alias("copies")))
     order = _Order(sorted(bounds))
     parts = len(order.bounds) + 1
 
-    key = (F.col("id").isNotNull().cast("int"), F.coalesce("id", F.lit(0).cast("long")), F.col("h"))
+    key = (F.col("id").isNotNull().cast("int"), F.coalesce("id", F.lit(0).cast("long") if whole else F.lit("")), F.col("h"))
 
     @F.pandas_udf("int")
     def part_of(known: pd.Series, i: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([order.part(k) for k in zip(known.tolist(), i.tolist(), h.tolist(), strict=True)], dtype="int32")
+        return pd.Series([order.part(_key(i if known else None, h)) for known, i, h in zip(known.tolist(), i.tolist(), h.tolist(), strict=True)], dtype="int32")
 
     firsts = rows.select("id", "h", part_of(*key).alias("part")).groupBy("part").agg(F.min(F.struct("id", "h")).alias("first")).collect()
     found = sorted((r["part"], _key(r["first"]["id"], r["first"]["h"])) for r in firsts)
@@ -147,23 +182,25 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_si
 
     @F.pandas_udf("array<int>")
     def parts_of(known: pd.Series, i: pd.Series, h: pd.Series) -> pd.Series:
-        keys = zip(known.tolist(), i.tolist(), h.tolist(), strict=True)
+        keys = (_key(i if known else None, h) for known, i, h in zip(known.tolist(), i.tolist(), h.tolist(), strict=True))
         return pd.Series([[order.part(k)] + ([order.first[k]] if k in order.first else []) for k in keys], dtype=object)
 
     sent = rows.select("*", F.posexplode(parts_of(*key)).alias("pos", "part")).select("id", "h", "text", "copies", "part", (F.col("pos") == 0).alias("own"))
     return sent.repartitionById(parts, F.col("part")), order
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_size: int | None = None) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", part_size: int | None = None, threshold: float = LEAST) -> DataFrame:
     """One row for each row of df: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures.
 
     The edited text takes its end from the next row in the order of ids (after the last: the first).
     """
     sent, _ = with_next(df, id_col, text, part_size)
-    schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, copies long"
+    kind = df.schema[id_col].dataType
+    schema = f"`{id_col}` {dict(sent.dtypes)['id']}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, copies long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list[tuple]] = {}
+        likeness = Ranges(threshold).likeness
         for x in batches:
             for i, h, t, n, part, own in zip(*(c.to_pylist() for c in x.columns), strict=True):
                 rows.setdefault(part, []).append((not own, _key(i, h), i, t, n))
@@ -179,7 +216,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", part
                 for following, theirs, copies in [*steps, (held[k + 1][3], sigs, 1)]:
                     e = edited(t, following)
                     es = signatures(e)
-                    out.append((i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), digest(mine), digest(es), jaccard(mine, es), jaccard(mine, theirs), len(mine), copies))
+                    out.append((i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), digest(mine), digest(es), likeness(mine, es), likeness(mine, theirs), len(mine), copies))
                 if len(out) >= 2000:
                     yield _rows(out, id_col)
                     out = []
@@ -187,20 +224,24 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", part
                 yield _rows(out, id_col)
 
     done = sent.mapInArrow(run, schema)
-    return done.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    return done.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies").withColumn(id_col, F.col(id_col).cast(kind))
 
 
 def _rows(out: list[tuple], id_col: str) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+    kinds = (pa.string() if any(isinstance(r[0], str) for r in out) else pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
     names = (id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures", "copies")
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
 
 
+def _next_range(low: int, threshold: float) -> int:
+    return max(low + 1, int(np.ceil(low / threshold)) + 1)
+
+
 def size_ranges(longest: int, threshold: float) -> list[int]:
     """First sizes of the ranges: sets of sizes p and q with p/q >= threshold lie in one range or neighbours."""
     out, low = [0, 1], 1
     while low <= longest:
-        low = max(low + 1, int(np.ceil(low / threshold)) + 1)
+        low = _next_range(low, threshold)
         out.append(low)
     return out
 

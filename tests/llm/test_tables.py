@@ -397,21 +397,22 @@ def test_signatures_by_hand():
 
 
 def brute_spots(rows):
-    key = lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest((r[1] or "").encode(), 42) >> 63 else 64) * 0)
+    def near(a, b):
+        x = len(a & b) / len(a | b) if a | b else 1.0
+        return x if x >= spotsigs.LEAST else 0.0
 
     def signed(t):
         h = xxhash.xxh64_intdigest((t or "").encode(), 42)
         return h - (1 << 64) if h >> 63 else h
 
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, signed(r[1])))
     out = []
     for k, (i, t) in enumerate(ordered):
         t, following = t or "", ordered[(k + 1) % len(ordered)][1] or ""
         half = len(t) // 2
         e = t[: len(t) - half] + following[:half]
         a, b, c = map(spotsigs.signatures, (t, e, following))
-        out.append((i, len(t), sha256(e.encode()).hexdigest(), spotsigs.digest(a), spotsigs.digest(b), spotsigs.jaccard(a, b), spotsigs.jaccard(a, c), len(a)))
-    del key
+        out.append((i, len(t), sha256(e.encode()).hexdigest(), spotsigs.digest(a), spotsigs.digest(b), near(a, b), near(a, c), len(a)))
     return sorted(out, key=str)
 
 
@@ -423,6 +424,29 @@ def test_spot_fingerprints_equal_brute_force(messy, clashing, empty, part_size):
     assert spotsigs.fingerprints(empty).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "date", "decimal(10,2)"])
+def test_spot_ids_of_any_type(spark, kind):
+    rng = random.Random(13)
+    rows = [(f"200{k % 10}-01-{10 + k % 19}" if kind == "date" else str(k * 7 % 50), f"the {rng.choice('abcd')} of {rng.choice('efgh')} and some more words {k}") for k in range(300)]
+    df = spark.createDataFrame([*rows, (None, "x")], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(3)
+    out = spotsigs.fingerprints(df, part_size=3000)
+    assert out.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    if kind == "string":
+        assert sorted((tuple(r) for r in out.collect()), key=str) == brute_spots([*rows, (None, "x")])
+    want = Counter((r["doc_id"], spotsigs.digest(spotsigs.signatures(r["text"]))) for r in df.collect())
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in out.collect()) == want
+
+
+def test_ranges_prune_without_effect_on_likeness():
+    rng = random.Random(2)
+    for t in (0.05, 0.3, 0.6):
+        ranges = spotsigs.Ranges(t)
+        for _ in range(800):
+            a, b = (frozenset(rng.sample(range(120), rng.randint(0, rng.choice((3, 30, 120))))) for _ in range(2))
+            x = len(a & b) / len(a | b) if a | b else 1.0
+            assert ranges.likeness(a, b) == pytest.approx(x if x >= t else 0.0)
+
+
 def test_spot_parts_split_an_id_that_many_rows_have(spark):
     rows = [(5, f"the {k} stone river and tree {k} hill") for k in range(150)] + [(5, "the same and same again")] * 120 + [(k, f"of word{k} with bird{k}") for k in range(-5, 12)] + [(None, "the null one")] * 90
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

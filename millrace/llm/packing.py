@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.token_fst import class_of
+from millrace.llm.token_fst import bytes_of_chars, class_of
 from millrace.session import written
 
 Config = tuple[tuple[int, int], ...]  # (length, times) from the longest on
 SLACK = 0.005  # share of the greatest value that a configuration taken into the program may lack
 TIGHT = 0.0005  # and one that is used
-MOST_PIECES, LONG_PIECE = 300_000, 64  # of text, kept with their ids
+MOST_PIECES, LONG_PIECE = 500_000, 64  # of text, kept with their ids
 
 
 class Knapsack:
@@ -242,7 +242,7 @@ class Places:
 class Ids(dict):
     """Token ids as the tokenizers library gives them for the file at `path`: those of pieces of text, asked once and kept, put together.
 
-    A piece is what the tokenizer's own pattern splits off; its ids depend on nothing around it. Texts that hold special strings, or
+    A piece is what the tokenizer's own pattern splits off; its ids, by the library's model over the letters that stand for its bytes, depend on nothing around it. Texts that hold special strings, or
     characters that `regex` and the library class otherwise, go through the library whole.
     """
 
@@ -253,15 +253,19 @@ class Ids(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
+        self.tokenize, self.old = self.library.model.tokenize, {}
+        self.letters = {b: c for c, b in bytes_of_chars().items()}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.kinds = [regex.compile(p).fullmatch for p in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.plain, self.odd = set(map(chr, range(128))), set()
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if (out := self.old.get(piece)) is None:
+            out = np.array([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
         if len(piece) <= LONG_PIECE:
-            if len(self) >= MOST_PIECES:
+            if len(self) >= MOST_PIECES:  # those not met since the last time are forgotten
+                self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out

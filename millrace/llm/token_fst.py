@@ -205,7 +205,7 @@ class Counter:
         return n
 
 
-def _bytes_of_chars() -> dict[str, int]:
+def bytes_of_chars() -> dict[str, int]:
     """The byte for each character of a byte-level vocabulary: printable bytes as they are, others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out = {chr(b): b for b in plain}
@@ -230,7 +230,7 @@ class TokenCounter:
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["normalizer"] or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError(f"{path} is no plain byte-level BPE tokenizer")
-        back = _bytes_of_chars()
+        back = bytes_of_chars()
         raw = lambda s: bytes(back[c] for c in s)
         vocab = {raw(t): k for t, k in model["vocab"].items() if all(c in back for c in t)}
         ranks: dict[bytes, int] = {}

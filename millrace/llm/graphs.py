@@ -95,6 +95,17 @@ def reduced(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b").mapInArrow(run, REDUCED)
 
 
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n", share: int = 1_000, least: int = 10_000) -> DataFrame:
+    """rows joined with a table (keys, n: rows of each key, ...) of distinct keys, without n. Keys of more than a thousandth of all rows, of which there are less than a thousand, meet them by broadcast, wherever these are."""
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    limit = max(least, total // share)
+    hot = table.where(F.col(n) > limit).drop(n)
+    if hot.isEmpty():
+        return rows.join(table.drop(n), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(n) <= limit).drop(n), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def link_counts(rows: DataFrame) -> DataFrame:
     """(node, links) of a reduced() table."""
     return rows.where("node = other").groupBy("node").agg(F.sum("links").alias("links"))
@@ -113,10 +124,10 @@ def components(rows: DataFrame) -> DataFrame:
         return edges.coalesce(1).mapInArrow(_rooted, "node long, root long")
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(low, "u")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = joined(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        met = joined(large, low, ["u"])
         small = met.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
         after = written(small.where("u <> v").distinct(), "links")
         drop_written(edges)
@@ -140,11 +151,13 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
 
 
 def labels_of(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root, n_links, component_id) for classes (node, n, first: least id) and their reduced() links.
+    """(node, n, root, n_links, component_id) for classes (node, n, first: least id) and their reduced() links.
 
     n_links counts the other rows of the own class and all rows of linked classes; component_id is the least id reachable.
     """
     found = classes.join(link_counts(rows), "node", "left").join(components(rows), "node", "left")
-    found = found.select("node", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    least = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    return written(found.join(least, "root").select("node", "root", "n_links", "component_id"), "found")
+    found = written(found.select("node", "first", F.col("n").alias("rows"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "rooted")
+    least = found.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    out = written(joined(found, least, ["root"]).select("node", F.col("rows").alias("n"), "root", "n_links", "component_id"), "found")
+    drop_written(found)
+    return out

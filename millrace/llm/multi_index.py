@@ -10,10 +10,11 @@ rare for that, made partners at the threshold itself count too, so that the numb
 Searches go out from every vector. Cells are grouped by their first code; a vector is sent once to each group it
 visits. Groups with many residents or visitors are split into a grid of blocks. A pair that both sides find counts
 for one of them. Rows of equal vectors are one class before anything is compared. Found links are summed and reduced
-to forests inside the tasks that find them.
+to forests inside the tasks that find them. Vectors of different lengths have no cosine: the commonest
+length has an index, and so have up to FEW - 1 others of at least SMALL vectors. Of all further lengths, all vectors of a length are
+compared in blocks, so that any number of lengths costs one job.
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
-vectors of another length than most have (of equally frequent lengths, the greatest counts); they are their own
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; they are their own
 component. Repeated rows link with each other. A null id takes part; component ids are least non-null ids. An empty
 table gives an empty result.
 """
@@ -23,14 +24,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.graphs import REDUCED, Reducer, labels_of
-from millrace.session import written
+from millrace.llm.graphs import REDUCED, Reducer, joined, labels_of
+from millrace.session import drop_written, written
 
 SAMPLE = 65_536  # vectors that codebooks are fitted on, at most
 PROBES = 2_048  # vectors that calibration searches for at first
@@ -40,6 +42,8 @@ CELL = 32  # vectors a cell should hold on average
 RESIDENTS, VISITORS = 20_000, 200_000  # of a block, about
 BLOCK = 1_024
 MOST_SUMS = 4_000_000  # sums of two distances held at once
+FEW, SMALL = 8, 4_096  # lengths with an index at most, and vectors below which a length but the commonest has none
+CODES = 4_096  # centroids of a codebook, at most
 
 
 def usable(v: Column) -> Column:
@@ -82,6 +86,7 @@ class Grid:
     def __init__(self, first: np.ndarray, second: np.ndarray):
         self.first, self.second = first, second
         self.half = first.shape[1]
+        self.places: tuple = (None,)  # cells, and the places that visits() compares for so many
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if x.shape[1] == self.half:  # vectors of one component have no second half
@@ -100,8 +105,10 @@ class Grid:
         """
         a, b = self.halves(x)
         cells = min(cells, a.shape[1] * b.shape[1])
-        i, j = np.indices((min(cells, a.shape[1]), min(cells, b.shape[1]))).reshape(2, -1)
-        i, j = (k[(i + 1) * (j + 1) <= cells] for k in (i, j))
+        if self.places[0] != cells:
+            rows = [np.arange(min(cells // (k + 1), b.shape[1])) for k in range(min(cells, a.shape[1]))]
+            self.places = cells, np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+        _, i, j = self.places
         out = np.empty((len(x), cells), np.int64)
         step = max(1, MOST_SUMS // len(i))
         for s in range(0, len(x), step):
@@ -126,10 +133,10 @@ def _arrow(df: DataFrame, n: int) -> pa.Table:
 
 
 def fitted(classes: DataFrame, number: int, cell: int = CELL, sample: int = SAMPLE) -> Grid:
-    """The grid for so many classes (node, v): codebooks of about sqrt(number / cell) centroids, 1,024 at most."""
+    """The grid for so many classes (node, v): codebooks of about sqrt(number / cell) centroids, CODES at most."""
     x = unit(_arrow(classes.select("node", "v"), sample).column("v"))
     half = max(1, x.shape[1] // 2)
-    size = int(np.clip(np.ceil(np.sqrt(number / cell)), 2, 1024))
+    size = int(np.clip(np.ceil(np.sqrt(number / cell)), 2, CODES))
     second = x[:, half:] if x.shape[1] > 1 else np.zeros((len(x), 1))
     return Grid(codebook(x[:, :half], size), codebook(second, size, seed=1))
 
@@ -205,54 +212,54 @@ def calibrated(classes: DataFrame, grid: Grid, threshold: float, target: float,
         limit = min(MOST_PROBES, 8 * limit)
 
 
+def _copies(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, number of the copy) for each of so many copies of 0, 1, 2, ..."""
+    which = np.repeat(np.arange(len(times)), times)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _mixed(node: np.ndarray, factor: int, shift: int) -> np.ndarray:
+    return ((node.astype(np.uint64) * np.uint64(factor)) >> np.uint64(shift)).astype(np.int64)
+
+
 def _spread(batches: Iterator[pa.RecordBatch], grid: Grid, cells: int, splits: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-    """Each vector as a resident of its home cell's group and as a visitor of every group it visits."""
+    """Each vector as a resident of its home cell's group and as a visitor of every group it visits; without splits, the number of both by group."""
     width = len(grid.second)
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = unit(batch.column(2))
-        node = batch.column(0).to_numpy()
-        visits = grid.visits(x, cells)
-        first, second = np.divmod(visits, width)
+        visits = grid.visits(unit(batch.column(2)), cells)
         home = visits[:, 0]
-        at, group, kind, own, seconds = [], [], [], [], []
-        for k in range(len(x)):
-            h = int(home[k])
-            i = h // width
-            mine = np.unique(first[k])
-            if splits is None:
-                at += [k] * (1 + len(mine))
-                group += [i, *mine.tolist()]
-                kind += [0] + [1] * len(mine)
-                continue
-            base, rs, qs = splits
-            r, q = int(node[k]) * 0x9E3779B1 >> 7, int(node[k]) * 0x85EBCA77 >> 9
-            for z in range(int(qs[i])):
-                at.append(k)
-                group.append(int(base[i]) + r % int(rs[i]) * int(qs[i]) + z)
-                kind.append(0)
-                own.append(h)
-                seconds.append([h % width])
-            for g in mine.tolist():
-                js = second[k][first[k] == g].tolist()
-                for z in range(int(rs[g])):
-                    at.append(k)
-                    group.append(int(base[g]) + z * int(qs[g]) + q % int(qs[g]))
-                    kind.append(1)
-                    own.append(h)
-                    seconds.append(js)
+        first, second = np.divmod(visits, width)
+        order = first.argsort(axis=1, kind="stable")
+        first, second = (np.take_along_axis(x, order, 1) for x in (first, second))
+        new = np.ones(first.shape, bool)
+        new[:, 1:] = first[:, 1:] != first[:, :-1]
+        starts = np.flatnonzero(new.ravel())
+        row, group = starts // first.shape[1], first.ravel()[starts]  # of each pair of a vector and a group it visits
         if splits is None:
-            key, n = np.unique(np.array(group) * 2 + np.array(kind), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key // 2), pa.array(key % 2), pa.array(n)], names=["i", "kind", "n"])
+            for kind, groups in ((0, home // width), (1, group)):
+                n = np.bincount(groups)
+                i = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.full(len(i), kind)), pa.array(n[i])], names=["i", "kind", "n"])
             continue
-        for s in range(0, len(at), 8192):
-            e = slice(s, s + 8192)
-            take = batch.take(pa.array(at[e]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group[e], pa.int64()), pa.array(kind[e], pa.int32()), take.column(0), take.column(1), take.column(2), pa.array(own[e], pa.int64()), pa.array(seconds[e], pa.list_(pa.int32()))],
-                names=["grp", "kind", "node", "n", "v", "home", "js"],
-            )
+        base, rs, qs = splits
+        node = batch.column(0).to_numpy()
+        r, q = _mixed(node, 0x9E3779B1, 7), _mixed(node, 0x85EBCA77, 9)
+        mine = home // width
+        at, z = _copies(qs[mine])
+        residents = (at, (base[mine] + r % rs[mine] * qs[mine])[at] + z, pa.array(home % width, pa.int32()), np.arange(len(home) + 1), at)
+        pair, z = _copies(rs[group])
+        visitors = (row[pair], (base[group] + q[row] % qs[group])[pair] + z * qs[group][pair], pa.array(second.ravel(), pa.int32()), np.append(starts, second.size), pair)
+        for kind, (at, grp, values, offsets, lists) in enumerate((residents, visitors)):
+            codes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+            for s in range(0, len(at), 8192):
+                e = slice(s, s + 8192)
+                take = batch.take(pa.array(at[e]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grp[e], pa.int64()), pa.array(np.full(take.num_rows, kind, np.int32)), take.column(0), take.column(1), take.column(2), pa.array(home[at[e]], pa.int64()), codes.take(pa.array(lists[e]))],
+                    names=["grp", "kind", "node", "n", "v", "home", "js"],
+                )
 
 
 def _verified(batches: Iterator[pa.RecordBatch], grid: Grid, cells: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -331,17 +338,66 @@ def linked(classes: DataFrame, threshold: float = 0.9, target: float = 0.995, ce
     return blocks.mapInArrow(lambda b: _verified(b, shared.value, cells, threshold), REDUCED)
 
 
+def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between rows (grp, side, node, n, v) of a group: of its blocks 0 and 1, or within its block 2."""
+    reducer, group, held = Reducer(), None, {}
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        parts = {side: [np.concatenate(c) for c in zip(*x, strict=True)] for side, x in held.items()}
+        within = 2 in parts
+        if not within and len(parts) < 2:
+            return
+        (node, n, x), (other, m, y) = (parts[2],) * 2 if within else (parts[0], parts[1])
+        for p in range(0, len(node), BLOCK):
+            for r in range(p if within else 0, len(other), BLOCK):
+                u, v = np.nonzero(x[p : p + BLOCK] @ y[r : r + BLOCK].T >= threshold)
+                u, v = u + p, v + r
+                if within:
+                    u, v = u[u < v], v[u < v]
+                yield from reducer.add(node[u], other[v], m[v], n[u])
+
+    for batch in batches:
+        groups, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((np.diff(groups) != 0) | (np.diff(sides) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(groups)], strict=True):
+            if a == b:
+                continue
+            if groups[a] != group:
+                yield from pairs()
+                group, held = groups[a], {}
+            part = batch.slice(a, b - a)
+            held.setdefault(int(sides[a]), []).append((part.column(2).to_numpy(), part.column(3).to_numpy(), unit(part.column(4))))
+    yield from pairs()
+    yield from reducer.end()
+
+
+def compared(classes: DataFrame, threshold: float, block: int = SMALL) -> DataFrame:
+    """reduced() links between classes (node, n, v, k: length) of one length: all pairs, in blocks; a length of more vectors than a block has a grid of blocks."""
+    sizes = classes.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = classes.join(sizes, "k").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pair = F.transform(others, lambda o: F.struct(F.xxhash64("k", F.least("b", o), F.greatest("b", o)).alias("grp"), F.when(o == F.col("b"), 2).when(F.col("b") < o, 0).otherwise(1).alias("side")))
+    sent = rows.select("node", "n", "v", F.explode(pair).alias("p")).select("p.grp", "p.side", "node", "n", "v")
+    return sent.repartition("grp").sortWithinPartitions("grp", "side").mapInArrow(lambda b: _compared(b, threshold), REDUCED)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, target: float = 0.995) -> DataFrame:
     """One row for each row of df: id, n_links (other rows linked directly), component_id (smallest id reachable), kept (id = component_id)."""
     v = F.col(vector)
-    rows = df.select(F.col(id_col).alias("id"), F.when(usable(v), v).alias("v"))
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("k")).first()
-    width = sizes["k"] if sizes else 0
-    rows = written(rows.withColumn("v", F.when(F.size("v") == width, F.col("v"))), "vectors")
+    rows = written(df.select(F.col(id_col).alias("id"), F.when(usable(v), v).alias("v")), "vectors")
     good = rows.where("v is not null").withColumn("h", F.xxhash64("v"))
     classes = written(good.groupBy("h", "v").agg(F.count("*").alias("n"), F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    members = good.join(classes.select("h", "v", "node"), ["h", "v"]).select("id", "node")
-    links = written(linked(classes.select("node", "n", "v"), threshold, target), "links")
-    found = members.join(labels_of(classes.select("node", "n", "first"), links), "node").select("id", "n_links", "component_id")
+    members = joined(good, classes.select("h", "v", "node", "n"), ["h", "v"]).select("id", "node")
+    kinds = classes.select("node", "n", "v", F.size("v").alias("k"))
+    sizes = kinds.groupBy("k").agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("k")).limit(FEW).collect()
+    common = [r["k"] for i, r in enumerate(sizes) if i == 0 or r["c"] >= SMALL]
+    found = [linked(kinds.where(F.col("k") == k).select("node", "n", "v"), threshold, target) for k in common]
+    rest = kinds.where(~F.col("k").isin(common)) if common else kinds
+    if not common or not rest.isEmpty():
+        found.append(compared(rest, threshold))
+    links = written(reduce(DataFrame.unionByName, found), "links")
+    labels = labels_of(classes.select("node", "n", "first"), links)
+    drop_written(links)
+    found = joined(members, labels, ["node"]).select("id", "n_links", "component_id")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return found.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

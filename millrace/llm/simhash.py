@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.graphs import labels_of, reduced
-from millrace.session import fresh, written
+from millrace.llm.graphs import joined, labels_of, reduced
+from millrace.session import drop_written, fresh, written
 
 HOT = 4096  # rows of a table bucket before it is split
 MOST_SEGMENTS = 4
@@ -134,12 +134,15 @@ def near_pairs(classes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
 
 
 def _found(df: DataFrame, id_col: str, text: str, radius: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(rows (id, h: XXH64 of the text, node: fingerprint) of df, labels of the nodes)."""
+    """(rows (id, h: XXH64 of the text, node: fingerprint) of df, labels of the nodes and n: rows of each)."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), fingerprint_column(F.col(text), size).alias("node"))
     rows = written(rows, "fingerprints")
     classes = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("first")), "classes")
     links = written(reduced(near_pairs(classes.select(F.col("node").alias("fp"), "n"), radius)), "links")
-    return rows, labels_of(classes, links)
+    labels = labels_of(classes, links)
+    drop_written(links)
+    drop_written(classes)
+    return rows, labels
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 6, size: int = 2) -> DataFrame:
@@ -148,7 +151,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
     Columns of df other than the id are not carried; join on the id. Named as the first is in df.
     """
     rows, labels = _found(df, id_col, text, radius, size)
-    return rows.join(labels, "node").select(F.col("id").alias(id_col), F.col("node").alias("fp"), F.col("n_links").alias("n_near"), "component_id")
+    return joined(rows, labels, ["node"]).select(F.col("id").alias(id_col), F.col("node").alias("fp"), F.col("n_links").alias("n_near"), "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -164,7 +167,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     """
     rows, labels = _found(df, id_col, text, radius, 2)
     place = F.struct(F.col("id").isNull(), "id", "h")
-    first = rows.join(labels.select("node", "root"), "node").groupBy("root").agg(F.min(place).alias("first"))
+    first = joined(rows, labels.select("node", "root", "n"), ["node"]).groupBy("root").agg(F.min(place).alias("first"))
     id_, hash_, h_, row_ = fresh(df, "id", "hash", "h", "row")
     kept = written(first.select(F.col("first.id").alias(id_), F.col("first.h").alias(hash_)), "kept")
     repeated = rows.join(kept, rows["id"].eqNullSafe(kept[id_]) & (rows["h"] == kept[hash_]), "left_semi").groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1")

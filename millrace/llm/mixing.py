@@ -6,7 +6,9 @@ give at most `epochs` passes over its tokens; what it falls short of goes to its
 what all of them cannot give goes up to the siblings of their parent, and so on to the root.
 
 Within a leaf, epoch e is an order by a seeded hash of epoch and id; the epochs follow one another, and the leaf's
-selection is the longest prefix of whole documents within its budget. Prefixes are found without sorting leaves: a
+selection is the longest prefix of whole documents within its budget. What it falls short of then, less than its next
+document, goes the same way: to siblings whose next documents it pays for, the least filled first, then to those of the parent's
+siblings, until none is left that fits (of the next documents, those in the range of the hash in which the budget ended are seen, NEXT at most). Prefixes are found without sorting leaves: a
 histogram of tokens by ranges of the hash tells which ranges are in and which are out, and only the range in which
 the budget ends is put in order. Ranges are as many as the leaf needs for each to fit one task, so a leaf with a third of
 all rows is no different.
@@ -19,8 +21,9 @@ a budget of 0 gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +33,7 @@ from millrace.session import fresh, written
 
 PER_RANGE = 20_000  # rows of a range of the hash, about
 MOST_LEAVES = 50_000  # beyond, the leaves' plan is joined by shuffle instead of broadcast
+NEXT, ALL_NEXT = 64, 1_000_000  # next documents seen of a leaf, and of all
 Key = tuple[object, ...]
 
 
@@ -75,6 +79,40 @@ def split_budget(budget: float, capacity: Mapping[Key, float], weight: Mapping[K
     return out
 
 
+def extended(given: Mapping[Key, float], taken: Mapping[Key, float], following: Mapping[Key, Sequence[int]]) -> dict[Key, int]:
+    """How many of its following documents (by their tokens) each leaf takes besides, paid for by what leaves fall short of: given less taken. Siblings come before ancestors."""
+    depth = max((len(k) for k in given), default=0)
+    more = dict.fromkeys(given, 0)
+    held = {k: float(taken[k]) for k in given}
+    children: dict[Key, set[Key]] = defaultdict(set)
+    for k in given:
+        for d in range(depth, 0, -1):
+            children[k[: d - 1]].add(k[:d])
+
+    def settle(node: Key) -> tuple[float, list[Key]]:
+        if len(node) == depth:
+            return max(0.0, given[node] - taken[node]), [node] if given[node] > 0 else []
+        below = [settle(k) for k in sorted(children[node], key=str)]
+        pool, leaves = sum(p for p, _ in below), [k for _, x in below for k in x]
+        open_ = [(held[k] / given[k], str(k), k) for k in leaves if more[k] < len(following.get(k, ()))]
+        heapq.heapify(open_)
+        while open_:
+            _, name, k = heapq.heappop(open_)
+            n = following[k][more[k]]
+            if n > pool + 1e-6:
+                continue
+            pool -= n
+            held[k] += n
+            more[k] += 1
+            if more[k] < len(following[k]):
+                heapq.heappush(open_, (held[k] / given[k], name, k))
+        return pool, leaves
+
+    if depth:
+        settle(())
+    return more
+
+
 def seeded(seed: int, epoch: Column, id_col: Column) -> Column:
     """15 hexadecimal digits of MD5 over seed, epoch and id, as a number below 2^60; any SQL engine can compute it."""
     text = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_col.cast("string"), F.lit("null")))
@@ -127,16 +165,36 @@ def mixed(df: DataFrame, levels: list[Column], weight: Mapping[Key, float], budg
     for n in names:
         on = on & F.col(n).eqNullSafe(F.col("r_" + n))
     last = last.join(by, on)
-    whole = last.where(F.col("end") <= F.col("rest"))
+    whole = last.where((F.col("end") <= F.col("rest")) & (F.col("n_tokens") > 0))
     edge = last.where((F.col("end") > F.col("rest")) & (F.col("start") < F.col("rest")))
     order = Window.partitionBy(*names).orderBy("u", "id", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("at", F.col("start") + F.sum(F.col("n_tokens") * F.col("copies")).over(order)).where(F.col("at") <= F.col("rest"))
+    size = F.col("n_tokens") * F.col("copies")
+    edge = written(edge.where("n_tokens > 0").withColumn("at", F.col("start") + F.sum(size).over(order)), "edge")  # about per_range rows of a leaf
+    out_of = F.col("at") > F.col("rest")
+    seen = max(4, min(NEXT, ALL_NEXT // len(table)))
+    place = F.sum(out_of.cast("int")).over(Window.partitionBy(*names).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = edge.withColumn("place", place).where(F.col("place") <= seen).groupBy(*names).agg(F.coalesce(F.max(F.when(~out_of, F.col("at"))), F.min("start")).alias("taken"), F.array_sort(F.collect_list(F.when(out_of, F.col("at")))).alias("next"), F.first("full").alias("full"))
+    taken, following, stops = {k: float(int(given[k] + 1e-6)) for k in given}, {}, {}
+    for r in ends.collect():  # a row for each leaf
+        k = tuple(r[n] for n in names)
+        stops[k] = [r["taken"], *r["next"]]
+        taken[k] = r["full"] * leaves[k][0] + r["taken"]
+        following[k] = [b - a for a, b in zip(stops[k], stops[k][1:])]
+    more = extended(given, taken, following)
+    if stops:
+        upto = spark.createDataFrame([(*k, int(v[more[k]])) for k, v in stops.items()], ", ".join(f"s_{n} string" for n in names) + ", upto long")
+        if len(stops) <= MOST_LEAVES:
+            upto = F.broadcast(upto)
+        on = F.col("at") <= F.col("upto")
+        for n in names:
+            on = on & F.col(n).eqNullSafe(F.col("s_" + n))
+        edge = edge.join(upto, on)
     leaf = F.concat_ws("/", *(F.coalesce(F.col(n), F.lit("null")) for n in names)).alias("leaf")
     out = ["id", "h", leaf, "epoch", "n_tokens", "copies"]
     # Documents without tokens belong to no prefix of tokens' worth; they follow the epochs that are taken whole.
     passes = placed.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).select(*out)
     part = whole.withColumn("epoch", F.col("full")).select(*out).unionByName(edge.withColumn("epoch", F.col("full")).select(*out))
-    chosen = passes.unionByName(part.where("n_tokens > 0"))
+    chosen = passes.unionByName(part)
     return chosen.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
 
 

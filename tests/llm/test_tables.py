@@ -674,7 +674,16 @@ def test_closed_leaves_are_no_room():
     assert mixing.split_budget(100, capacity, open_, default=0.0) == pytest.approx({("a", "x"): 10, ("a", "y"): 0, ("b", "z"): 90})
 
 
-def brute_mix(rows, weight, budget, epochs, seed):
+def test_what_prefixes_leave_goes_to_siblings_first():
+    given = {("a", "x"): 10.0, ("a", "y"): 10.0, ("b", "z"): 10.0, ("b", "w"): 0.0}
+    taken = {("a", "x"): 7, ("a", "y"): 6, ("b", "z"): 5, ("b", "w"): 0}
+    following = {("a", "x"): [8, 1], ("a", "y"): [5, 1, 1], ("b", "z"): [6, 1], ("b", "w"): [1]}
+    assert mixing.extended(given, taken, following) == {("a", "x"): 0, ("a", "y"): 3, ("b", "z"): 0, ("b", "w"): 0}
+    assert mixing.extended(given, taken, following | {("a", "y"): [9]}) == {("a", "x"): 0, ("a", "y"): 0, ("b", "z"): 2, ("b", "w"): 0}
+    assert mixing.extended({}, {}, {}) == {}
+
+
+def brute_mix(rows, weight, budget, epochs, seed, per_range):
     from hashlib import md5
 
     leaves = defaultdict(list)
@@ -683,22 +692,37 @@ def brute_mix(rows, weight, budget, epochs, seed):
         h = 0 if t is None else h - (1 << 64) if h >> 63 else h
         leaves[tuple(None if k is None else str(k) for k in keys)].append((i, h, len((t or "").replace("\n", " ").replace("\t", " ").split(" ")) - (t or "").replace("\n", " ").replace("\t", " ").split(" ").count("")))
     given = mixing.split_budget(budget, {k: epochs * sum(n for *_, n in v) for k, v in leaves.items()}, weight)
-    out = Counter()
+    out, taken, following, after = Counter(), {}, {}, {}
+    name = lambda leaf: "/".join("null" if k is None else k for k in leaf)
     for leaf, docs in leaves.items():
         total = sum(n for *_, n in docs)
         full, rest = divmod(int(given[leaf] + 1e-6), total) if total else (0, 0)
         for e in range(full):
-            out.update((i, "/".join("null" if k is None else k for k in leaf), e, n) for i, _, n in docs)
-        order = lambda d: (int(md5(f"{seed}:{full}:{'null' if d[0] is None else d[0]}".encode()).hexdigest()[:15], 16), d[0] is not None, d[0] or 0, d[1])  # noqa: B023, E731
+            out.update((i, name(leaf), e, n) for i, _, n in docs)
+        number = lambda d: int(md5(f"{seed}:{full}:{'null' if d[0] is None else d[0]}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
         groups = defaultdict(list)
         for d in docs:
-            groups[order(d)].append(d)
-        at = 0
-        for _, same in sorted(groups.items()):
-            at += sum(n for *_, n in same)
-            if at > rest:
-                break
-            out.update((i, "/".join("null" if k is None else k for k in leaf), full, n) for i, _, n in same if n > 0)
+            groups[number(d), d[0] is not None, d[0] or 0, d[1]].append(d)
+        ranges = max(1, -(-len(docs) // per_range))
+        of = lambda key: int(key[0] / (2.0**60 / ranges))  # noqa: B023, E731
+        at, later = 0, []
+        for key, same in sorted(groups.items()):
+            n = sum(n for *_, n in same)
+            if n and not later and at + n <= rest:
+                at += n
+                out.update((i, name(leaf), full, n) for i, _, n in same)
+            elif n:
+                later.append((key, n, [(i, name(leaf), full, n) for i, _, n in same]))
+        taken[leaf] = full * total + at
+        if later:
+            edge = of(later[0][0])
+            start = sum(n for key, same in groups.items() if of(key) < edge for *_, n in same)
+            if start < rest:
+                following[leaf] = [n for key, n, _ in later if of(key) == edge][:64]
+                after[leaf] = [x for _, _, x in later]
+    for leaf, more in mixing.extended(given, taken, following).items():
+        for x in after.get(leaf, [])[:more]:
+            out.update(x)
     return out
 
 
@@ -708,7 +732,7 @@ def test_mix_equals_brute_force(messy, clashing, per_range, share):
     rows = [(r["doc_id"], r["text"], (r["lang"], r["source"])) for r in messy.collect()]
     total = sum(len((t or "").split()) for _, t, _ in rows)
     weight = {("en",): 2.0, ("es",): 0.3, ("en", "src0"): 1.0}
-    want = brute_mix(rows, weight, total * share, 3, 5)
+    want = brute_mix(rows, weight, total * share, 3, 5, per_range)
     for df in (messy, clashing):
         got = mixing.mixed(df, [F.col("lang"), F.col("source")], weight, share=share, epochs=3, seed=5, per_range=per_range)
         assert Counter((r["id"], r["leaf"], r["epoch"], r["n_tokens"]) for r in got.collect()) == want
@@ -733,4 +757,17 @@ def test_mixing_query(spark):
     assert max(per.values()) == 1 and all(r["n_tokens"] == len(docs[r["doc_id"]]["text"].split()) for r in rows)
     total = sum(len(d["text"].split()) for d in docs.values())
     web = sum(r["n_tokens"] for r in rows if r["leaf"].startswith("web/"))
-    assert sum(r["n_tokens"] for r in rows) <= 0.8 * total and abs(web / (0.8 * total) - 0.5) < 0.05
+    assert 0.999 * 0.8 * total < sum(r["n_tokens"] for r in rows) <= 0.8 * total and abs(web / (0.8 * total) - 0.5) < 0.05
+
+
+@pytest.mark.parametrize("per_range", [20_000, 40, 7])
+def test_mix_of_many_leaves_equals_brute_force(spark, per_range):
+    rng = random.Random(21)
+    rows = [(k, " ".join("w" * (1 + k % 3) for _ in range(rng.choice((1, 3, 20, 200)))), rng.choice("ab"), rng.choice("xyz")) for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    total = sum(len(t.split()) for _, t, *_ in rows)
+    weight = {("a",): 0.7, ("b",): 0.3, ("a", "x"): 0.5}
+    got = mixing.mixed(df, [F.col("lang"), F.col("source")], weight, share=0.55, epochs=2, seed=3, per_range=per_range).collect()
+    assert Counter((r["id"], r["leaf"], r["epoch"], r["n_tokens"]) for r in got) == brute_mix([(i, t, (a, b)) for i, t, a, b in rows], weight, total * 0.55, 2, 3, per_range)
+    if per_range == 20_000:
+        assert 0.99 * 0.55 * total < sum(r["n_tokens"] for r in got) <= 0.55 * total

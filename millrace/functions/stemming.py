@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 _WORD = re.compile(r"[^\W_]+")
@@ -85,14 +86,37 @@ def stem(w: str) -> str:
     return w
 
 
+@lru_cache(maxsize=1)
+def accents() -> tuple[str, str]:
+    """(letters with marks and what stands for each, then the marks themselves): arguments of a translation, for Spark's translate() too. Only letters that have one plain letter."""
+    letters, plain, marks = [], [], []
+    for c in map(chr, range(128, 0x10000)):
+        if 0xD800 <= ord(c) < 0xE000:
+            continue
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif len(base := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) == 1 and base != c:
+            letters.append(c)
+            plain.append(base)
+    return "".join(letters + marks), "".join(plain)
+
+
+@lru_cache(maxsize=1)
+def _table() -> dict[int, str | None]:
+    letters, plain = accents()
+    return {ord(c): plain[k] if k < len(plain) else None for k, c in enumerate(letters)}
+
+
 def unaccented(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else text.translate(_table())
+
+
+def stems(words: Iterable[str]) -> list[str]:
+    """Stems of lower-case words; other than ASCII letters count as the consonants of their bytes."""
+    return [stem(w) if w.isascii() else stem(w.encode().decode("latin-1")).encode("latin-1").decode("utf-8", "ignore") for w in words]
 
 
 def analyzed(text: str | None, stemmed: bool = True) -> list[str]:
     """Terms of a text in order."""
     words = _WORD.findall(unaccented((text or "").lower()))
-    if not stemmed:
-        return words
-    # Other than ASCII letters count as the consonants of their bytes.
-    return [stem(w) if w.isascii() else stem(w.encode().decode("latin-1")).encode("latin-1").decode("utf-8", "ignore") for w in words]
+    return stems(words) if stemmed else words

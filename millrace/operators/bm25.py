@@ -12,12 +12,14 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.stemming import analyzed
-from millrace.functions.text import K1, B, term_count, terms
+from millrace.functions.stemming import accents, analyzed, stems
+from millrace.functions.text import K1, WORDS, B, term_count, terms
 
 
 @dataclass(frozen=True)
@@ -66,30 +68,56 @@ def scanned(df: DataFrame, text: str, words: Sequence[str], mode: str = "or", wh
     return hits.withColumn("bm25", score).drop("__dl", *(f"__tf{k}" for k in range(len(words))))
 
 
+def index_terms(text: Column) -> Column:
+    """Words of a text as the index has them before they are stemmed: lower case, without accents."""
+    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    letters, plain = accents()
+    return F.regexp_extract_all(F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, letters, plain)).otherwise(low), F.lit(WORDS), 0)
+
+
 def postings(df: DataFrame, id_col: str, fields: Sequence[str], stemmed: bool = True, carry: Sequence[str] = ()) -> DataFrame:
-    """Rows (term, id, field, tf, positions, carry): the inverted index. Positions run over all fields of a row, with a gap between."""
-
-    @F.pandas_udf("array<struct<term:string,field:int,tf:int,positions:array<int>>>")
-    def indexed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for batch in parts:
-            out = []
-            for row in batch.itertuples(index=False):
-                at, found = 0, {}
-                for f, t in enumerate(row):
-                    for w in analyzed(t, stemmed):
-                        found.setdefault((w, f), []).append(at)
-                        at += 1
-                    at += 1
-                out.append([{"term": w, "field": f, "tf": len(p), "positions": p} for (w, f), p in found.items()])
-            yield pd.Series(out, dtype=object)
-
-    each = df.select(F.col(id_col).alias("id"), *carry, F.explode(indexed(F.struct(*(F.col(f).cast("string").alias(f) for f in fields)))).alias("p"))
-    return each.select("p.term", "id", "p.field", "p.tf", "p.positions", *carry)
+    """Rows (term, id, field, tf, positions, dl, carry): the inverted index. Positions run over all fields of a row, with a gap between; dl: terms of the row.
+
+    Words are found by Spark; distinct words of a batch are stemmed once, and occurrences grouped as arrays of numbers.
+    """
+    rows = df.select(F.col(id_col).alias("id"), *carry, *(index_terms(F.col(f)).alias(f"__{k}") for k, f in enumerate(fields)))
+    keys = [rows.schema[c] for c in ("id", *carry)]
+    schema = T.StructType([T.StructField("term", T.StringType()), keys[0], T.StructField("field", T.IntegerType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("dl", T.LongType()), *keys[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [batch.column(len(keys) + f) for f in range(len(fields))]
+            counts = np.array([p.value_lengths().to_numpy() for p in parts])  # by field and row
+            dl = counts.sum(axis=0)
+            if not dl.sum():
+                continue
+            words = pa.concat_arrays([p.flatten() for p in parts]).dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            terms_, code = np.unique(np.array(stems(distinct) if stemmed else distinct, object), return_inverse=True)
+            code = code[words.indices.to_numpy()]
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), c) for c in counts])
+            field = np.repeat(np.arange(len(fields)), counts.sum(axis=1))
+            before = np.cumsum(counts, axis=0) - counts + np.arange(len(fields))[:, None]  # terms of earlier fields and gaps
+            inside = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for c in counts])
+            position = before[field, row] + inside
+            order = np.lexsort((position, field, code, row))
+            row, field, code, position = row[order], field[order], code[order], position[order]
+            starts = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(code) != 0) | (np.diff(field) != 0))))
+            at, ends = pa.array(row[starts]), np.append(starts, len(row))
+            columns = [pa.array(terms_[code[starts]], pa.string()), batch.column(0).take(at), pa.array(field[starts], pa.int32()), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(position, pa.int32())), pa.array(dl[row[starts]], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(1 + k).take(at) for k in range(len(carry))], names=[f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
+
+
+def clustered(index: DataFrame) -> DataFrame:
+    """An index in the order that searches read: ranges of (term, id), so that a term of any number of rows is spread over tasks and files, and files are told apart by their terms."""
+    return index.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
 def lengths(index: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """(keys, dl): terms of each row over all fields."""
-    return index.groupBy(*keys).agg(F.sum("tf").cast("long").alias("dl"))
+    """(keys, dl): terms of each row that has any, over all fields."""
+    return index.groupBy(*keys).agg(F.first("dl").alias("dl"))
 
 
 def _back(shift: int) -> Callable[[Column], Column]:
@@ -97,14 +125,14 @@ def _back(shift: int) -> Callable[[Column], Column]:
 
 
 def phrase_hits(index: DataFrame, phrase: Sequence[str], number: int, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """(keys, field, tf, phrase) of the rows of an index that hold the terms of a phrase one after another."""
+    """(keys, field, dl, tf, phrase) of the rows of an index that hold the terms of a phrase one after another."""
     on = [*keys, "field"]
-    first = index.where(F.col("term") == phrase[0]).select(*on, "positions")
+    first = index.where(F.col("term") == phrase[0]).select(*on, "dl", "positions")
     for shift, term in enumerate(phrase[1:], 1):
         following = index.where(F.col("term") == term).select(*on, F.col("positions").alias("__next"))
         met = F.array_intersect("positions", F.transform("__next", _back(shift)))
-        first = first.join(following, on).select(*on, met.alias("positions")).where(F.size("positions") > 0)
-    return first.select(*on, F.size("positions").alias("tf"), F.lit(number).alias("phrase"))
+        first = first.join(following, on).select(*on, "dl", met.alias("positions")).where(F.size("positions") > 0)
+    return first.select(*on, "dl", F.size("positions").alias("tf"), F.lit(number).alias("phrase"))
 
 
 @dataclass(frozen=True)
@@ -126,11 +154,11 @@ class Hits:
         return out.drop("__n")
 
 
-def find(index: DataFrame, dl: DataFrame, rows: int, tokens: int, phrases: Sequence[str], weights: Sequence[float] | None = None, stemmed: bool = True, keys: Sequence[str] = ("id",)) -> Hits | None:
+def find(index: DataFrame, rows: int, tokens: int, phrases: Sequence[str], weights: Sequence[float] | None = None, stemmed: bool = True, keys: Sequence[str] = ("id",)) -> Hits | None:
     """Hits of the phrases in an index; None if they have no terms. Only the query's terms are read: the filter on term reaches the Parquet scan.
 
-    dl: (keys, dl) of the live rows; postings of others are dropped. weights: of the fields; a hit in a field of weight 0
-    matches but adds nothing.
+    rows, tokens: of the live rows, to which the index must be restricted. weights: of the fields; a hit in a field of weight 0
+    matches but adds nothing. Hits carry their rows' lengths, so that nothing is joined.
     """
     parsed = [tuple(p) for p in (analyzed(x, stemmed) for x in phrases) if p]
     if not parsed:
@@ -141,20 +169,20 @@ def find(index: DataFrame, dl: DataFrame, rows: int, tokens: int, phrases: Seque
     hits = None
     if single:  # one pass for all phrases of one term
         number = F.create_map(*(x for k, t in single for x in (F.lit(t), F.lit(k))))
-        hits = wanted.where(F.col("term").isin(*(t for _, t in single))).select(*keys, "field", "tf", number[F.col("term")].alias("phrase"))
+        hits = wanted.where(F.col("term").isin(*(t for _, t in single))).select(*keys, "field", "dl", "tf", number[F.col("term")].alias("phrase"))
     for k, p in enumerate(distinct):
         if len(p) > 1:
             more = phrase_hits(wanted, p, k, keys)
             hits = more if hits is None else hits.unionByName(more)
     weight = F.lit(1.0) if weights is None else F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.col("field") + 1)
-    per = hits.groupBy(*keys, "phrase").agg(F.sum(F.col("tf") * weight).alias("tf")).join(dl, list(keys))
+    per = hits.groupBy(*keys, "phrase").agg(F.sum(F.col("tf") * weight).alias("tf"), F.first("dl").alias("dl"))
     found = {str(r["phrase"]): r["n"] for r in per.groupBy("phrase").agg(F.count("*").alias("n")).collect()}  # a row for each phrase of the query
     return Hits(per, Corpus(rows, tokens, found), tuple(parsed.count(p) for p in distinct))
 
 
-def search(index: DataFrame, dl: DataFrame, rows: int, tokens: int, phrases: Sequence[str], mode: str = "or", weights: Sequence[float] | None = None, stemmed: bool = True) -> DataFrame:
+def search(index: DataFrame, rows: int, tokens: int, phrases: Sequence[str], mode: str = "or", weights: Sequence[float] | None = None, stemmed: bool = True) -> DataFrame:
     """(id, bm25) of the rows that match."""
-    hits = find(index, dl, rows, tokens, phrases, weights, stemmed)
+    hits = find(index, rows, tokens, phrases, weights, stemmed)
     if hits is None:
         return index.sparkSession.createDataFrame([], f"id {dict(index.dtypes)['id']}, bm25 double")
     return hits.scored(["id"], mode)

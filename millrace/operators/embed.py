@@ -38,6 +38,33 @@ def batch_sizes(lengths: Sequence[int]) -> list[int]:
     return out
 
 
+def batch_runs(lengths: Sequence[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(number of batches, texts of each, longest text) of batch_sizes() in order, for (length, number of texts) by rising length; as many as there are lengths, not texts."""
+    out: list[tuple[int, int, int]] = []
+    k, left, rest = 0, lengths[0][1] if lengths else 0, sum(n for _, n in lengths)
+
+    def ahead(n: int) -> int:
+        """Length of the n-th text from here."""
+        j, seen = k, left
+        while seen < n:
+            j += 1
+            seen += lengths[j][1]
+        return lengths[j][0]
+
+    while rest:
+        size = min(MOST_ITEMS, rest, max(1, BATCH_TOKENS // estimated_tokens(ahead(min(MOST_ITEMS, rest)))))
+        times = (left - MOST_ITEMS) // size + 1 if left >= MOST_ITEMS else 1  # alike as long as the next texts are of one length
+        out.append((times, size, ahead(size)))
+        gone = times * size
+        rest -= gone
+        while gone and gone >= left:
+            gone -= left
+            k += 1
+            left = lengths[k][1] if k < len(lengths) else 0
+        left -= gone
+    return out
+
+
 def embed_all(embedder: Embedder, texts: Sequence[str], progress: Callable[[int, int], None] | None = None) -> list[list[float]]:
     """Embeddings in the order of the texts, made in batches in order of length."""
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))

@@ -21,7 +21,8 @@ from millrace.sources.store import REMOVED, Store
 MODES = ("hybrid", "composed", "keyword", "vector")
 #: Fields of the index and their weights. A hit of weight 0 matches and takes a rank but adds nothing.
 WEIGHTS = {"hybrid": {"id": 0.0, "headers": 2.0, "content": 1.0, "metadata": 0.0}, "keyword": {"id": 1.0, "content": 1.0}}
-SORT = {"postings": ("term", "id"), "chunks": ("id",), "lengths": ("id",)}
+SORT = {"postings": ("term", "id"), "chunks": ("id",), "vectors": ("cell", "id")}
+CELLS = "CELLS"
 TABLES = ("chunks", "postings", "lengths", "vectors")
 SCORES = {"l2": V.l2_score, "cosine": V.cosine_score, "ip": V.ip_score}
 KEYS = ("seg", "id")
@@ -34,10 +35,11 @@ class SearchEngine:
     fuses the vectors' list with the keyword list, itself fused of AND and OR; "keyword" and "vector" search one way.
     categorize: an expression for a document's category; with more than one category, each is searched for itself and
     the lists are interleaved. fields: metadata keys kept as typed columns {name: type}, on which filters reach the
-    Parquet scan; all others are read from the JSON.
+    Parquet scan; all others are read from the JSON. Metadata that is no JSON object counts as none where a category is put in. cells: inverted cells of vectors, fitted on the first batch; searches without
+    filter then read the cells nearest to the query, as many as found `recall` of the neighbours of that batch's sample. None: all vectors are compared.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, mode: str = "hybrid", embeddings: Provider | None = None, metric: str = "l2", chunker: Callable[[str, str], list[Chunk]] | None = None, categorize: Column | None = None, reranker: Reranker | None = None, fields: Mapping[str, str] | None = None, embedding_cache: str | None = None, progress: Callable[[str, int, int], None] | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, mode: str = "hybrid", embeddings: Provider | None = None, metric: str = "l2", chunker: Callable[[str, str], list[Chunk]] | None = None, categorize: Column | None = None, reranker: Reranker | None = None, fields: Mapping[str, str] | None = None, embedding_cache: str | None = None, progress: Callable[[str, int, int], None] | None = None, cells: int | None = None, recall: float = 0.95):
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         if mode != "keyword" and embeddings is None:
@@ -46,6 +48,8 @@ class SearchEngine:
         self.embeddings, self.chunker, self.categorize, self.reranker = embeddings, chunker, categorize, reranker
         self.fields, self.cache, self.progress = dict(fields or {}), embedding_cache, progress
         self.weights = WEIGHTS["hybrid" if mode == "hybrid" else "keyword"]
+        self.cells, self.recall = cells, recall
+        self._known: tuple[int, int, int] | None = None  # manifest, rows and terms
 
     # -- writing
 
@@ -58,11 +62,11 @@ class SearchEngine:
         df = docs.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col("content"), F.lit("")).alias("content"), *(rest or [F.lit(None).cast("string").alias("metadata")]))
         if self.categorize is not None:
             df = df.withColumn("category", self.categorize.cast("string"))
-            value = F.regexp_replace(F.to_json(F.array("category")), r"^\[|\]$", "")
-            none = F.col("metadata").isNull() | F.col("metadata").rlike(r"^\s*\{\s*\}\s*$")
-            # Put last, so that it counts where the metadata has the key already.
-            joined = F.concat(F.regexp_replace("metadata", r"\}\s*$", ',"category":'), value, F.lit("}"))
-            df = df.withColumn("metadata", F.when(none, F.concat(F.lit('{"category":'), value, F.lit("}"))).otherwise(joined))
+            held = F.expr("try_variant_get(try_parse_json(metadata), '$', 'map<string,variant>')")
+            value = F.expr("variant_get(parse_json(to_json(array(category))), '$[0]', 'variant')")
+            none = F.expr("cast(map() as map<string,variant>)")
+            rest_ = F.map_filter(F.coalesce(held, none), lambda k, _: k != "category")  # the category replaces a key of that name
+            df = df.withColumn("metadata", F.to_json(F.map_concat(rest_, F.create_map(F.lit("category"), value))))
         else:
             df = df.withColumn("category", F.lit(None).cast("string"))
         for name, kind in self.fields.items():
@@ -85,7 +89,8 @@ class SearchEngine:
             self._tell("embedding", 0, 1)
             make = (lambda d: embedded_cached(d, "content", self.embeddings, self.cache)) if self.cache else (lambda d: embedded(d, "content", self.embeddings))
             vectors = make(rows.select("id", "doc", "content"))
-            tables["vectors"] = vectors.select("id", "doc", V.same_width(F.col("embedding"), self.embeddings.width()).alias("embedding"))
+            vectors = vectors.select("id", "doc", V.same_width(F.col("embedding"), self.embeddings.width()).alias("embedding"))
+            tables["vectors"] = self._in_cells(vectors)
             self._tell("embedding", 1, 1)
         if self.mode != "vector":
             posts = written(bm25.postings(rows.withColumn("headers", X.headings(F.col("content"))), "id", list(self.weights), carry=["doc"]), "postings")
@@ -98,16 +103,29 @@ class SearchEngine:
         self._tell("storing", count, count)
         return count
 
-    def remove(self, ids: Iterable[str]) -> int:
-        """Remove documents by id, with all their chunks, or single chunks' documents by a chunk's id. Returns the number of ids given."""
-        ids = list(ids)
-        given = self.spark.createDataFrame([(i,) for i in ids], "id string")
+    def _in_cells(self, vectors: DataFrame) -> DataFrame:
+        if self.cells is None:
+            return vectors.withColumn("cell", F.lit(0))
+        if (known := self.store.get(CELLS)) is None:
+            vectors = written(vectors, "vectors")  # embedded once, read by fitting, calibration and the index
+            known = knn.Cells.fit(vectors, "id", "embedding", self.cells, self.metric, self.recall).to_json()
+            self.store.put(CELLS, known)
+        return knn.Cells.from_json(known).assigned(vectors, "embedding")
+
+    def remove(self, ids: Iterable[str] | DataFrame) -> int:
+        """Remove documents by id (a list, or a table's column `id`), with all their chunks, or single chunks' documents by a chunk's id. Returns the number of ids given."""
+        if isinstance(ids, DataFrame):
+            given = written(ids.select(F.col("id").cast("string").alias("id")), "ids")
+            number = given.count()
+        else:
+            listed = [(i,) for i in ids]
+            given, number = self.spark.createDataFrame(listed, "id string"), len(listed)
         chunks = self.store.read("chunks")
         if chunks is None:
-            return len(ids)
+            return number
         docs = given.select(F.col("id").alias("doc")).unionByName(chunks.join(given, "id", "left_semi").select("doc")).distinct()
         self.store.append({REMOVED: docs})
-        return len(ids)
+        return number
 
     def list_ids(self) -> DataFrame:
         """(id) of the documents, chunks under their document."""
@@ -120,6 +138,7 @@ class SearchEngine:
 
     def clear(self) -> None:
         self.store.clear()
+        self.store.delete(CELLS)
 
     def close(self) -> None:
         """Nothing is held between calls; there for symmetry."""
@@ -190,13 +209,21 @@ class SearchEngine:
             keyword = fusion.ranked(fusion.fused(words, carry=["seg"], by=by), fusion.order(), 1, limit=fetch, by=by).withColumn("own", F.col("score"))
         return [near.withColumn("list", F.lit(0)), keyword.withColumn("list", F.lit(1)).withColumn("weight", F.lit(1.0)).where(F.col("rank") <= fetch)]
 
+    def _counts(self) -> tuple[int, int]:
+        """Live rows and their terms; counted once for each state of the store."""
+        version = self.store.version()
+        if self._known is None or self._known[0] != version:
+            row = self.store.read("lengths").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+            self._known = (version, row[0], row[1])
+        return self._known[1:]
+
     def _word_lists(self, query: str, fetch: int, allowed: DataFrame, restricted: bool, by: Sequence[str]) -> list[DataFrame]:
         match = I.match(query, "or")
-        index, dl = self.store.read("postings"), self.store.read("lengths")
+        index = self.store.read("postings")
         if match is None or index is None:
             return []
-        rows, tokens = dl.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        hits = bm25.find(index.drop("doc"), dl.select(*KEYS, "dl"), rows, tokens, match.phrases, list(self.weights.values()), keys=KEYS)
+        rows, tokens = self._counts()
+        hits = bm25.find(index.drop("doc"), rows, tokens, match.phrases, list(self.weights.values()), keys=KEYS)
         if hits is None:
             return []
         out = []
@@ -215,6 +242,8 @@ class SearchEngine:
         rows = self.store.read("vectors")
         if restricted:
             rows = rows.join(allowed, list(KEYS))
+        elif self.cells is not None and (known := self.store.get(CELLS)) is not None:
+            rows = knn.Cells.from_json(known).probed(rows, asked[0])
         away = knn.with_distance(rows, "embedding", asked[0], self.metric).select(*KEYS, *by, "distance")
         order = [F.round("distance", 9).asc_nulls_last(), F.col("id")]
         return fusion.ranked(away, order, 0, 1.0, fetch, by).withColumn("own", SCORES[self.metric](F.col("distance")))

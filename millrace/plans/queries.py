@@ -5,8 +5,10 @@ Scores are rounded to six digits on both sides. Lists of fixed length are the fe
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from millrace.functions import text as X
 from millrace.functions import vectors as V
 from millrace.operators import bm25, embed, filters, fusion, knn, metrics, rerank
 from millrace.operators.chunking import chunked, code_chunker, markdown_chunker
+from millrace.plans.engine import SearchEngine
 from millrace.session import written
 from millrace.sources.store import upserted, without
 
@@ -239,16 +242,25 @@ def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit.select("vec_id", F.round(F.element_at("u", 1), 6).alias("first"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + F.abs(x)), 5).alias("abs_sum"))
 
 
+QUERY_BLOCK = 4_096
+
+
 @query("vec_ann_recall")
 def vec_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding", V.doubles(F.col("embedding")).alias("v"))
-    q = _asked(spark, sf_dir)
-    centroids = knn.cells(rows, "v")
-    listed = knn.with_cell(rows, "embedding", centroids)
-    found = _near(knn.probed(listed, q, centroids, 20), q, "cosine").select("vec_id")
-    exact = _near(rows, q, "cosine").select("vec_id")
-    both = exact.join(found.withColumn("hit", F.lit(1.0)), "vec_id", "left")
-    return both.agg(F.count("*").alias("k"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
+    """Recall of a search of inverted cells: every row whose id is divisible by 50 asks for its ten nearest, in blocks of queries."""
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    cells = knn.Cells.fit(rows, "vec_id", "embedding", metric="cosine")
+    listed = written(cells.assigned(rows, "embedding"), "cells")
+    asked = iter(rows.where("vec_id % 50 = 0 and embedding is not null").toLocalIterator())
+    exact = found = None
+    while block := list(islice(asked, QUERY_BLOCK)):
+        ids, q = np.array([r["vec_id"] for r in block]), np.array([r["embedding"] for r in block], float)
+        one, two = (knn.nearest_to_each(listed, "vec_id", "embedding", ids, q, 10, "cosine", c).select("query", "id") for c in (None, cells))
+        exact, found = (one, two) if exact is None else (exact.unionByName(one), found.unionByName(two))
+    if exact is None:
+        return spark.createDataFrame([], "queries long, neighbours long, recall double")
+    both = exact.join(found.withColumn("hit", F.lit(1.0)), ["query", "id"], "left")
+    return both.agg(F.count_distinct("query").alias("queries"), F.count("*").alias("neighbours"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
 
 
 # -- fusion
@@ -436,25 +448,34 @@ def embedding_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.cache_misses(_t(spark, sf_dir, "documents"), cache, "text").select("hash")
 
 
-@query("embed_batch_plan")
+_SIZE = "least(64, n - {at}, greatest(1, 8192 // greatest(1, (l.chars + 3) // 4)))"
+
+
+@query(
+    "embed_batch_plan",
+    f"""WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY chars) - 1 AS i, chars FROM (SELECT coalesce(length(text), 0) AS chars FROM documents)), c AS (SELECT count(*) AS n FROM l),
+    b AS (SELECT 0::BIGINT AS batch, 0::BIGINT AS at, {_SIZE.format(at="0")}::BIGINT AS size FROM c JOIN l ON l.i = least(64, n) - 1
+    UNION ALL SELECT batch + 1, b.at + size, {_SIZE.format(at="(b.at + b.size)")}::BIGINT FROM b CROSS JOIN c JOIN l ON l.i = least(b.at + b.size + 64, n) - 1 WHERE b.at + b.size < n)
+    SELECT batch, size AS texts, l.chars::BIGINT AS longest FROM b JOIN l ON l.i = b.at + b.size - 1""",
+)
 def embed_batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = _t(spark, sf_dir, "documents").groupBy(F.coalesce(F.length("text"), F.lit(0)).alias("chars")).agg(F.count("*").alias("n")).orderBy("chars").collect()  # one row for each length
-    at, rows = [r["chars"] for r in lengths for _ in range(r["n"])], []
-    done = 0
-    for k, size in enumerate(embed.batch_sizes(at)):
-        rows.append((k, size, at[done + size - 1]))
-        done += size
-    return spark.createDataFrame(rows, "batch int, texts int, longest int")
+    rows, first = [], 0
+    for times, size, longest in embed.batch_runs([(r["chars"], r["n"]) for r in lengths]):
+        rows.append((first, times, size, longest))
+        first += times
+    runs = spark.createDataFrame(rows, "first long, times long, texts long, longest long")
+    return runs.select(F.explode(F.sequence("first", F.col("first") + F.col("times") - 1)).alias("batch"), "texts", "longest")
 
 
-# -- evaluation: in each language the 100 longest labelled documents are a ranked list, quality its relevance
+# -- evaluation: in each language the labelled documents by length are a ranked list, quality its relevance
 
-_LIST = "(SELECT lang, rank, relevant FROM (SELECT d.lang, l.quality AS relevant, row_number() OVER (PARTITION BY d.lang ORDER BY d.n_chars DESC, d.doc_id) AS rank FROM documents d JOIN labels l ON d.doc_id = l.doc_id) WHERE rank <= 100)"
+_LIST = "(SELECT lang, rank, relevant FROM (SELECT d.lang, l.quality AS relevant, row_number() OVER (PARTITION BY d.lang ORDER BY d.n_chars DESC, d.doc_id) AS rank FROM documents d JOIN labels l ON d.doc_id = l.doc_id))"
 
 
 def _list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(_t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("relevant")), "doc_id")
-    return fusion.ranked(docs, [F.col("n_chars").desc(), F.col("doc_id")], 0, limit=100, by=["lang"]).select("lang", "rank", "relevant")
+    return fusion.ranked(docs, [F.col("n_chars").desc(), F.col("doc_id")], 0, by=["lang"]).select("lang", "rank", "relevant")
 
 
 @query("eval_ndcg", f"""SELECT lang, round(CASE WHEN most > 0 THEN got / most ELSE 0.0 END, 6) AS ndcg FROM (
@@ -491,11 +512,122 @@ def eval_keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bm25_porter")
 def bm25_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    index = written(bm25.postings(docs, "doc_id", ["text"]).repartition("term").sortWithinPartitions("term", "id"), "index")
-    dl = written(bm25.lengths(index), "lengths")
-    rows, tokens = docs.count(), dl.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
-    best = bm25.search(index, dl, rows, tokens, ["that", "with", "of the"])
+    index = written(bm25.clustered(written(bm25.postings(docs, "doc_id", ["text"]), "postings")), "index")
+    rows, tokens = docs.count(), index.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    best = bm25.search(index, rows, tokens, ["that", "with", "of the"])
     return knn.nearest(best, 10, [F.round("bm25", 6).desc(), "id"]).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
+# -- the engine as a whole: documents indexed, replaced, removed and searched. Their words are keys that no stemmer changes.
+
+_CONTENT = "concat_ws(' ', lang, source, 'k' || (n_chars % 89), 'z' || quality)"
+_INDEXED = f"(SELECT 'd' || d.doc_id AS id, d.doc_id, d.lang, d.source, d.n_chars, l.quality, {_CONTENT} AS content FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+_ASKED = "src1 k7"
+
+
+def _features(texts: Sequence[str]) -> list[list[float]]:
+    """A model that SQL can follow: characters, and occurrences of some."""
+    return [[float(len(t)), *(2.0 * t.count(c) for c in "1es")] for t in texts]
+
+
+_FEATURES = lambda x: f"[length({x})::DOUBLE, " + ", ".join(f"2.0 * (length({x}) - length(replace({x}, '{c}', '')))" for c in "1es") + "]"
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    content = F.concat_ws(" ", "lang", "source", F.concat(F.lit("k"), (F.col("n_chars") % 89).cast("string")), F.concat(F.lit("z"), F.col("quality").cast("string")))
+    return docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), content.alias("content"), F.to_json(F.struct("lang", "n_chars", F.lit("old").alias("category"))).alias("metadata"), "lang", "quality")
+
+
+def _engine(spark: SparkSession, sf_dir: str, **options: object) -> SearchEngine:
+    engine = SearchEngine(spark, **{"mode": "keyword", **options})
+    engine.index(_indexed(spark, sf_dir))
+    return engine
+
+
+def _found(engine: SearchEngine, asked: str = _ASKED, **options: object) -> DataFrame:
+    return engine.search(asked, **options).select("rank", "id", F.round("score", 6).alias("score"))
+
+
+def _engine_words(table: str, text: str, where: str = "TRUE") -> str:
+    """CTEs e_and and e_or (id, rank) of the words' lists for _ASKED; text holds the words of all fields, table has id and content."""
+    words = _ASKED.split()
+    return f"""t AS (SELECT *, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS tok FROM {table}), c AS (SELECT count(*) AS n, sum(len(tok)) / count(*) AS mean FROM t),
+    f AS (SELECT t.id, q.term, len(t.tok) AS dl, len(list_filter(t.tok, lambda x: x = q.term)) AS tf FROM t CROSS JOIN (SELECT unnest({words!r}) AS term) q),
+    h AS (SELECT * FROM f WHERE tf > 0), d AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+    i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM d CROSS JOIN c),
+    s AS (SELECT h.id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS bm25, count(*) AS hits FROM h JOIN i USING (term) CROSS JOIN c GROUP BY h.id),
+    w AS (SELECT s.* FROM s JOIN t USING (id) WHERE {where}),
+    e_and AS (SELECT id, row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS rank FROM w WHERE hits = {len(words)}),
+    e_or AS (SELECT id, row_number() OVER (ORDER BY round(bm25, 9) DESC, id) AS rank FROM w)"""
+
+
+def _engine_sql(lists: Sequence[tuple[str, float]], first: str, most: int = 20, limit: int = 10) -> str:
+    """The fused lists (CTE, weight) after the CTEs `first`."""
+    rows = " UNION ALL ".join(f"SELECT id, {k} AS list, rank, {w} AS weight FROM {name} WHERE rank <= {most}" for k, (name, w) in enumerate(lists))
+    return f"""WITH {first}, r AS ({rows}), g AS (SELECT id, sum(weight / (60.0 + rank)) AS score, min(list * 1000000 + rank) AS place FROM r GROUP BY id)
+    SELECT (row_number() OVER (ORDER BY round(score, 12) DESC, place, id))::INTEGER AS rank, id, round(score, 6) AS score FROM g ORDER BY rank LIMIT {limit}"""
+
+
+_KEYWORD = [("e_and", 1.0), ("e_or", 0.5)]
+_WHERE = {"lang": {"$in": ["en", "fr"]}, "n_chars": {"$gte": 400}}
+
+
+@query("engine_keyword", _engine_sql(_KEYWORD, _engine_words(_INDEXED, "id || ' ' || content")))
+def engine_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(_engine(spark, sf_dir))
+
+
+@query("engine_filtered", _engine_sql(_KEYWORD, _engine_words(_INDEXED, "id || ' ' || content", "t.lang IN ('en', 'fr') AND t.n_chars >= 400")))
+def engine_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(_engine(spark, sf_dir, fields={"n_chars": "long"}), where=_WHERE)
+
+
+_KEPT = "(SELECT id, CASE WHEN quality = 1 THEN 'src1 anew k7' ELSE content END AS content FROM {} WHERE quality IS DISTINCT FROM 0)".format(_INDEXED)
+
+
+def _changed(spark: SparkSession, sf_dir: str, **options: object) -> SearchEngine:
+    """Documents of quality 1 indexed anew with other words, those of quality 0 removed."""
+    engine = _engine(spark, sf_dir, **options)
+    docs = _indexed(spark, sf_dir)
+    engine.index(docs.where("quality = 1").withColumn("content", F.lit("src1 anew k7")))
+    engine.remove(docs.where("quality = 0").select("id"))
+    return engine
+
+
+@query("engine_upsert_remove", _engine_sql(_KEYWORD, _engine_words(_KEPT, "id || ' ' || content")))
+def engine_upsert_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(_changed(spark, sf_dir))
+
+
+@query("engine_compacted_ids", f"SELECT id, content = 'src1 anew k7' AS anew FROM {_KEPT}")
+def engine_compacted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _changed(spark, sf_dir)
+    engine.compact()
+    return engine.list_ids().join(engine.store.read("chunks").select("id", (F.col("content") == "src1 anew k7").alias("anew")), "id")
+
+
+@query("engine_category", f"SELECT id, lang AS category, n_chars::BIGINT AS n_chars FROM {_INDEXED} WHERE lang = 'fr' AND n_chars < 300")
+def engine_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = _engine(spark, sf_dir, categorize=F.substring_index("content", " ", 1))
+    kept = filters.filtered(engine.store.read("chunks").select("id", "metadata"), {"category": "fr", "n_chars": {"$lt": 300}}, filters.json("metadata"))
+    of = lambda key, kind: F.expr(f"try_variant_get(try_parse_json(metadata), '$.{key}', '{kind}')")
+    return kept.select("id", of("category", "string").alias("category"), of("n_chars", "bigint").alias("n_chars"))
+
+
+_ENGINE_NEAR = f"near AS (SELECT id, list_distance({_FEATURES('content')}, {_FEATURES(repr(_ASKED))}) AS distance FROM {_INDEXED}), e_vec AS (SELECT id, distance, row_number() OVER (ORDER BY round(distance, 9), id) AS rank FROM near)"
+
+
+@query("engine_vector", f"WITH {_ENGINE_NEAR} SELECT rank::INTEGER AS rank, id, round(1 / (1 + distance), 6) AS score FROM e_vec WHERE rank <= 10")
+def engine_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(_engine(spark, sf_dir, mode="vector", embeddings=embed.Provider(lambda: _features, 4)))
+
+
+@query("engine_hybrid", _engine_sql([*_KEYWORD, ("e_vec", 1.0)], _engine_words(_INDEXED, "id || ' ' || content") + ", " + _ENGINE_NEAR))
+def engine_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = SearchEngine(spark, embeddings=embed.Provider(lambda: _features, 4))
+    engine.index(_indexed(spark, sf_dir).drop("metadata"))
+    return _found(engine)
+
+
 FLAGSHIP = "hybrid_search"

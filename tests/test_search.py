@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import identifiers as I
 from millrace.operators import bm25, fusion, knn
 from millrace.operators.chunking import auto_chunker, markdown_chunker
-from millrace.operators.embed import Provider, hashing
+from millrace.operators.embed import Provider, batch_runs, batch_sizes, hashing
 from millrace.operators.rerank import lexical
 from millrace.plans.engine import SearchEngine
 from millrace.streaming.ingest import ingest
@@ -41,7 +41,7 @@ def test_index_equals_a_full_text_engine(corpus, query, mode):
     dl = bm25.lengths(index)
     n, tokens = dl.agg(F.count("*"), F.sum("dl")).first()
     match = I.match(query, mode)
-    got = {r["id"]: r["bm25"] for r in bm25.search(index, dl, n, tokens, match.phrases, match.mode, [0.0, 2.0, 1.0]).collect()}
+    got = {r["id"]: r["bm25"] for r in bm25.search(index, n, tokens, match.phrases, match.mode, [0.0, 2.0, 1.0]).collect()}
     want = fts(rows, match.fts())
     assert got.keys() == want.keys()
     assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in got)
@@ -52,7 +52,7 @@ def test_scan_equals_index_without_stems(corpus):
     index = bm25.postings(df, "id", ["content"], stemmed=False).cache()
     dl = bm25.lengths(index)
     n, tokens = dl.agg(F.count("*"), F.sum("dl")).first()
-    one = {r["id"]: r["bm25"] for r in bm25.search(index, dl, n, tokens, ["user", "token"], "or", stemmed=False).collect()}
+    one = {r["id"]: r["bm25"] for r in bm25.search(index, n, tokens, ["user", "token"], "or", stemmed=False).collect()}
     two = {r["id"]: r["bm25"] for r in bm25.scanned(df, "content", ["user", "token"]).collect()}
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
     part = bm25.scanned(df, "content", ["user", "token"], where=F.col("id") < "d3")
@@ -63,7 +63,7 @@ def test_only_the_query_terms_are_read(corpus, spark, tmp_path, capsys):
     _, df = corpus
     bm25.postings(df, "id", ["content"]).write.parquet(str(tmp_path / "p"))
     index = spark.read.parquet(str(tmp_path / "p"))
-    bm25.search(index, bm25.lengths(index), 120, 1000, ["user", "token"]).explain("formatted")
+    bm25.search(index, 120, 1000, ["user", "token"]).explain("formatted")
     assert "In(term, [token,user])" in capsys.readouterr().out
 
 
@@ -79,15 +79,31 @@ def test_vector_kernels_agree(spark):
         assert (a[50] is None) == (metric == "cosine")
 
 
-def test_cells_hold_the_nearest(spark):
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_cells_hold_the_nearest(spark, metric):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 8))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
-    c = knn.cells(df, "v", 16)
-    near = {r["id"] for r in knn.nearest(knn.with_distance(knn.probed(knn.with_cell(df, "v", c), x[3], c, 8), "v", x[3]), 10, ["distance"]).collect()}
-    exact = set(np.argsort(((x - x[3]) ** 2).sum(axis=1))[:10].tolist())
-    assert len(near & exact) >= 8
-    assert [r["id"] for r in knn.probed(knn.with_cell(df, "v", c), x[3], c, 16).collect()].__len__() == 400
+    x = rng.normal(size=(600, 8)) + 3 * rng.normal(size=(20, 8))[rng.integers(0, 20, 600)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(600, None)], "id long, v array<double>").repartition(3)
+    cells = knn.Cells.fit(df, "id", "v", 24, metric)
+    listed = knn.Cells.from_json(cells.to_json()).assigned(df, "v").cache()
+    ids = np.arange(0, 600, 20)
+    exact, found = ({(r["query"], r["id"]) for r in knn.nearest_to_each(listed, "id", "v", ids, x[ids], 10, metric, c).collect()} for c in (None, cells))
+    d = knn.distances(x[ids], x, metric)
+    d[np.arange(len(ids)), ids] = np.inf
+    assert exact == {(int(i), int(j)) for i, row in zip(ids, d) for j in np.argsort(row)[:10]}
+    assert cells.probes < 24 and len(found & exact) >= 0.9 * len(exact)
+    assert {r["id"] for r in cells.probed(listed, x[3]).collect()} >= {j for i, j in found if i == 3}
+
+
+def test_batch_runs_are_the_batches():
+    rng = random.Random(3)
+    for _ in range(200):
+        lengths = sorted({rng.choice((rng.randint(0, 40), rng.randint(0, 90_000))): rng.choice((1, 3, 70, 500)) for _ in range(rng.randint(0, 9))}.items())
+        every, at, want = [k for k, n in lengths for _ in range(n)], 0, []
+        for size in batch_sizes(every):
+            at += size
+            want.append((size, every[at - 1]))
+        assert [(size, longest) for times, size, longest in batch_runs(lengths) for _ in range(times)] == want
 
 
 def lists(spark, *ranked, carry=False):
@@ -245,6 +261,59 @@ def test_categories_are_balanced(spark, tmp_path):
     assert ids(again.search("parser token", limit=1)) == ["code.ts"]
 
 
+def test_a_category_replaces_the_metadata_key(spark, tmp_path):
+    docs = [("1", "hello", {"a": 1, "category": "old", "deep": {"x": [1, "b"]}}), ("2", "hello", {"a": 1}), ("3", "hello", None)]
+    e = SearchEngine(spark, str(tmp_path / "k"), mode="keyword", categorize=F.lit('ne"w'))
+    e.index(frame(spark, docs))
+    assert set(ids(e.search("hello", where={"a": 1}))) == {"1", "2"}
+    assert {r["id"]: json.loads(r["metadata"]) for r in e.search("hello").collect()} == {"1": {"a": 1, "category": 'ne"w', "deep": {"x": [1, "b"]}}, "2": {"a": 1, "category": 'ne"w'}, "3": {"category": 'ne"w'}}
+
+
+def test_a_write_that_is_cut_off_changes_nothing(spark, tmp_path, monkeypatch):
+    e = SearchEngine(spark, str(tmp_path / "m"), mode="keyword")
+    e.index(frame(spark, DOCS))
+    held = e.search("parser")  # planned before what follows
+    real = e.store._write_manifest
+
+    def cut(number, manifest):
+        (tmp_path / "m" / "_new-cut").write_text("half a mani")
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(e.store, "_write_manifest", cut)
+    with pytest.raises(KeyboardInterrupt):
+        e.remove(["notes.md"])
+    monkeypatch.setattr(e.store, "_write_manifest", real)
+    again = SearchEngine(spark, str(tmp_path / "m"), mode="keyword")
+    assert ids(again.search("parser")) == ["notes.md"]
+    again.index(frame(spark, [("new.md", "parser", None)]))
+    again.compact()
+    assert ids(held) == ["notes.md"] and set(ids(again.search("parser"))) == {"notes.md", "new.md"}  # its segment is still there
+    again.store.keep = 0.0
+    again.remove(["new.md"])
+    again.remove(["unknown"])
+    assert len([p for p in (tmp_path / "m").iterdir() if p.name.startswith("s-")]) == len(again.store.segments()) == 3
+    assert len([p for p in (tmp_path / "m").iterdir() if p.name.startswith("MANIFEST")]) == 1
+
+
+def test_a_search_reads_few_cells(spark, tmp_path, capsys):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 6)) * 4
+    vectors = {f"v{i}": (centers[i % 40] + rng.normal(size=6)).tolist() for i in range(800)}
+    model = Provider(lambda: lambda texts: [vectors[t] for t in texts], 6)
+    exact, near = (SearchEngine(spark, str(tmp_path / f"c{k}"), mode="vector", embeddings=model, cells=k) for k in (None, 40))
+    for e in (exact, near):
+        e.index(frame(spark, [(i, i, {"n": int(i[1:])}) for i in vectors]))
+    asked = list(vectors)[::50]
+    both = sum(len(set(ids(near.search(q))) & set(ids(exact.search(q)))) for q in asked)
+    assert both >= 0.9 * 10 * len(asked) and near.store.get("CELLS")
+    assert ids(near.search("v3", where={"n": {"$lt": 9}})) == ids(exact.search("v3", where={"n": {"$lt": 9}}))
+    capsys.readouterr()
+    near.search("v3").explain("formatted")
+    assert "cell" in capsys.readouterr().out.split("PushedFilters")[1]
+    near.clear()
+    assert near.store.get("CELLS") is None and near.search("v3").count() == 0
+
+
 def test_reranking_fetches_more_and_hides_content(spark, tmp_path):
     seen = []
 

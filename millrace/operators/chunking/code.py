@@ -336,6 +336,17 @@ def imports(source: str) -> tuple[list[dict], int]:
     return out, end
 
 
+def scope_chain(target: Declaration, decls: list[Declaration]) -> list[dict]:
+    """Declarations (name and type) that a declaration stands in, the innermost first."""
+    of = lambda d: {"name": d.name, "type": d.type, "signature": None, "is_partial": None}
+    for d in decls:
+        if any(c is target for c in d.children):
+            return [of(d)]
+        if inner := scope_chain(target, d.children):
+            return [*inner, of(d)]
+    return []
+
+
 def _siblings(decls: list[Declaration], at: int, reach: int = 3) -> list[dict]:
     order = [*range(at - 1, max(-1, at - reach - 1), -1), *range(at + 1, min(len(decls), at + reach + 1))]
     return [{"name": decls[k].name, "type": decls[k].type, "position": "before" if k < at else "after", "distance": abs(k - at)} for k in order]
@@ -364,7 +375,9 @@ def code_chunker(max_chunk_size: int | None = None, max_tokens: int | None = Non
             end = decls[mine[-1]].end if g < len(groups) - 1 else len(content)
             text = content[begin:end]
             first = line_of(content, begin + len(text) - len(text.lstrip()))
-            chunk = Chunk(text.strip(), None, (first, line_of(content, begin + len(text.rstrip()))), None, [decls[k].entity() for k in mine], [], imported, _siblings(decls, mine[0]) if mine else [])
+            scope = scope_chain(decls[mine[0]], decls) if mine else []
+            context = " > ".join(f"{d['type']} {d['name']}" for d in scope) or None
+            chunk = Chunk(text.strip(), None, (first, line_of(content, begin + len(text.rstrip()))), context, [decls[k].entity() for k in mine], scope, imported, _siblings(decls, mine[0]) if mine else [])
             if overlap_lines > 0 and first > 1:
                 above = "\n".join(content.split("\n")[max(0, first - 1 - overlap_lines) : first - 1])
                 if above.strip():

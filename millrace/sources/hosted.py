@@ -7,6 +7,7 @@ fetched, matched in memory and cut, so a search may return fewer rows than asked
 from __future__ import annotations
 
 import json
+import urllib.request
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
@@ -21,6 +22,59 @@ Transport = Callable[[str, dict], dict]  # action ("upsert", "query", "range", "
 RESULT = "rank int, id string, score double, content string, metadata string"
 
 
+Send = Callable[[str, str, dict, object], dict]  # method, url, headers, body (lines of JSON if a list of texts) -> response
+
+
+def send_json(method: str, url: str, headers: dict, body: object) -> dict:
+    """One request; an error status raises."""
+    lines = isinstance(body, str)
+    data = body.encode() if lines else json.dumps(body).encode()
+    request = urllib.request.Request(url, data, {"Content-Type": "application/x-ndjson" if lines else "application/json", **headers}, method=method)
+    with urllib.request.urlopen(request, timeout=60) as r:  # noqa: S310
+        return json.load(r)
+
+
+def upstash(url: str, token: str, send: Send = send_json) -> Callable[[], Transport]:
+    """A transport to Upstash Vector's REST interface; texts are embedded there unless vectors come with them."""
+    head = {"Authorization": f"Bearer {token}"}
+
+    def call(action: str, body: dict) -> dict:
+        space = body["namespace"]
+        if action == "upsert":
+            kind = "upsert" if body["items"] and "vector" in body["items"][0] else "upsert-data"
+            return send("POST", f"{url}/{kind}/{space}", head, body["items"])
+        if action == "query":
+            kind, key = ("query", "vector") if "vector" in body else ("query-data", "data")
+            found = send("POST", f"{url}/{kind}/{space}", head, {key: body[key], "topK": body["top_k"], "includeMetadata": body["include_metadata"]})["result"]
+            return {"matches": [{"id": m["id"], "score": m["score"], "metadata": m.get("metadata")} for m in found]}
+        if action == "range":
+            page = send("POST", f"{url}/range/{space}", head, {"cursor": body["cursor"], "limit": body["limit"]})["result"]
+            return {"ids": [v["id"] for v in page["vectors"]], "next": page["nextCursor"]}
+        if action == "delete":
+            return send("DELETE", f"{url}/delete/{space}", head, {"ids": body["ids"]})
+        return send("DELETE", f"{url}/reset/{space}", head, {})
+
+    return lambda: call
+
+
+def vectorize(account: str, index: str, token: str, send: Send = send_json) -> Callable[[], Transport]:
+    """A transport to Cloudflare Vectorize's REST interface, which takes vectors and cannot list ids."""
+    head, at = {"Authorization": f"Bearer {token}"}, f"https://api.cloudflare.com/client/v4/accounts/{account}/vectorize/v2/indexes/{index}"
+
+    def call(action: str, body: dict) -> dict:
+        if action == "upsert":
+            lines = [json.dumps({"id": x["id"], "values": x["vector"], "metadata": x["metadata"], "namespace": body["namespace"]}) for x in body["items"]]
+            return send("POST", f"{at}/upsert", head, "\n".join(lines))
+        if action == "query":
+            asked = {"vector": body["vector"], "topK": body["top_k"], "returnMetadata": "all" if body["include_metadata"] else "none", "namespace": body["namespace"]}
+            return {"matches": send("POST", f"{at}/query", head, asked)["result"]["matches"]}
+        if action == "delete":
+            return send("POST", f"{at}/delete_by_ids", head, {"ids": body["ids"]})
+        raise NotImplementedError(f"this store has no {action}")
+
+    return lambda: call
+
+
 @dataclass(frozen=True)
 class HostedStore:
     """transport: makes, in each task, the function that sends; namespace: a part of the store; listable: whether it can page through ids and be cleared."""
@@ -34,6 +88,8 @@ class HostedStore:
     def index(self, docs: DataFrame) -> int:
         """Upsert (id, content, metadata) in batches from every task, whose repetition does no harm; returns the number of rows."""
         store = self
+        docs = docs.select("id", "content", "metadata")
+        sent = docs.sparkSession.sparkContext.accumulator(0)  # a task that is done again after a loss may count twice
 
         def send(rows: Iterator[Row]) -> None:
             call, held = store.transport(), []
@@ -47,6 +103,7 @@ class HostedStore:
                     item = {"id": r["id"], "metadata": {**json.loads(r["metadata"] or "{}"), CONTENT: t}}
                     items.append(item | ({"vector": v} if embedder else {"data": t}))
                 call("upsert", {"namespace": store.namespace, "items": items})
+                sent.add(len(held))
                 held.clear()
 
             for r in rows:
@@ -56,12 +113,8 @@ class HostedStore:
             if held:
                 flush()
 
-        docs = docs.select("id", "content", "metadata").persist()
-        try:
-            docs.foreachPartition(send)
-            return docs.count()
-        finally:
-            docs.unpersist()
+        docs.foreachPartition(send)
+        return sent.value
 
     def search(self, spark: SparkSession, query: str, limit: int = 10, return_content: bool = False, return_metadata: bool = True, where: Mapping[str, object] | None = None) -> DataFrame:
         """(rank, id, score, content, metadata), the service's scores kept between 0 and 1."""

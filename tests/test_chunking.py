@@ -122,3 +122,12 @@ def test_routing_and_ids(spark):
     assert by["a.ts#chunk-1"]["parent_id"] == "a.ts" and by["a.ts#chunk-1"]["chunk_index"] == 1 and by["a.ts#chunk-1"]["chunk"]["entities"][0]["name"] == "Foo"
     assert all(r["extra"] == 7 for r in out)
     assert chunked(df.limit(0), markdown_chunker()).collect() == []
+
+
+def test_scope_chains_run_outwards():
+    from millrace.operators.chunking.code import declarations, scope_chain
+
+    decls = declarations("namespace A {\n  class B {\n    run() { return 1 }\n  }\n}\nfunction f() {}\n")
+    inner = decls[0].children[0].children[0]
+    assert [(d["type"], d["name"]) for d in scope_chain(inner, decls)] == [(decls[0].children[0].type, "B"), (decls[0].type, "A")]
+    assert scope_chain(decls[1], decls) == []

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from millrace.operators.embed import hashing
-from millrace.sources.hosted import PAGE, HostedStore
+from millrace.sources.hosted import PAGE, HostedStore, upstash, vectorize
 
 
 def service(path):
@@ -71,3 +71,32 @@ def test_stores_that_cannot_list(tmp_path):
         with pytest.raises(NotImplementedError):
             act()
     assert not os.path.exists(tmp_path / "log")
+
+
+def test_requests_to_services():
+    log = []
+
+    def send(method, url, headers, body):
+        log.append((method, url.split("example", 1)[-1].split("v4", 1)[-1], body))
+        assert headers == {"Authorization": "Bearer key"}
+        if "range" in url:
+            return {"result": {"nextCursor": "7", "vectors": [{"id": "a"}]}}
+        if "vectorize" in url:
+            return {"result": {"matches": [{"id": "a", "score": 0.5, "metadata": {"x": 1}}]}}
+        return {"result": [{"id": "a", "score": 0.5, "metadata": {"x": 1}}]}
+
+    up, cf = upstash("https://example", "key", send)(), vectorize("acc", "ix", "key", send)()
+    ask = {"namespace": "ns", "top_k": 3, "include_metadata": True}
+    match = {"matches": [{"id": "a", "score": 0.5, "metadata": {"x": 1}}]}
+    up("upsert", {"namespace": "ns", "items": [{"id": "a", "data": "t", "metadata": {}}]})
+    up("upsert", {"namespace": "ns", "items": [{"id": "a", "vector": [1.0], "metadata": {}}]})
+    assert up("query", {**ask, "data": "q"}) == match == up("query", {**ask, "vector": [1.0]}) == cf("query", {**ask, "vector": [1.0]})
+    assert up("range", {"namespace": "ns", "cursor": "0", "limit": 5}) == {"ids": ["a"], "next": "7"}
+    up("delete", {"namespace": "ns", "ids": ["a"]})
+    up("reset", {"namespace": "ns"})
+    cf("upsert", {"namespace": "ns", "items": [{"id": "a", "vector": [1.0], "metadata": {"k": 2}}, {"id": "b", "vector": [2.0], "metadata": {}}]})
+    cf("delete", {"namespace": "ns", "ids": ["a"]})
+    assert [u for _, u, _ in log] == ["/upsert-data/ns", "/upsert/ns", "/query-data/ns", "/query/ns", *["/accounts/acc/vectorize/v2/indexes/ix/query"], "/range/ns", "/delete/ns", "/reset/ns", "/accounts/acc/vectorize/v2/indexes/ix/upsert", "/accounts/acc/vectorize/v2/indexes/ix/delete_by_ids"]
+    assert [json.loads(x)["id"] for x in log[-2][2].split("\n")] == ["a", "b"] and log[2][2] == {"data": "q", "topK": 3, "includeMetadata": True}
+    with pytest.raises(NotImplementedError):
+        cf("range", {"namespace": "ns"})

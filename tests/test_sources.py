@@ -1,5 +1,7 @@
 """Readers and the store."""
 
+import sqlite3
+
 import pytest
 
 from millrace.session import drop_written, fresh, shared_dir, written
@@ -20,6 +22,32 @@ def test_sections(spark):
     assert [tuple(r) for r in readers.sections(df).collect()] == [("f#0", "One", "# One\nbody"), ("f#1", "Two", "# Two\nmore\n\n# not\n\ntext")]
 
 
+def test_long_sections_are_cut_again(spark):
+    long = "# Two\n" + "words and more words\n" * 200
+    df = spark.createDataFrame([(7, f"# One\nbody\n\n{long}")], "id int, text string")
+    rows = readers.sections(df).orderBy("id").collect()
+    assert [r["id"] for r in rows][:2] == ["7#0", "7#1.0"] and {r["title"] for r in rows[1:]} == {"Two"} and len(rows) > 3
+    assert all(len(r["content"]) <= 1500 + 200 for r in rows) and rows[1]["content"].startswith("# Two")
+    assert readers.sections(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("dialect", ["postgres", "libsql"])
+def test_upsert_statements_replace_by_key(dialect):
+    db = sqlite3.connect(":memory:")
+    db.execute("create table t (id text primary key, content text, n int)")
+    db.execute("create table t_staged (id text, content text, n int)")
+    db.executemany("insert into t values (?, ?, ?)", [("a", "old", 1), ("b", "old", 2)])
+    db.executemany("insert into t_staged values (?, ?, ?)", [("b", "new", 3), ("c", "new", 4)])
+    db.execute(readers.upsert_sql("t", "t_staged", ["id", "content", "n"], dialect=dialect))
+    assert db.execute("select * from t order by id").fetchall() == [("a", "old", 1), ("b", "new", 3), ("c", "new", 4)]
+    assert readers.upsert_sql("t", "s", ["id"]).endswith("DO NOTHING")
+
+
+def test_nearest_statement():
+    want = "SELECT id, embedding <-> '[1.0,-0.5]' AS distance FROM t WHERE n > 1 ORDER BY embedding <-> '[1.0,-0.5]' LIMIT 4"
+    assert readers.nearest_sql("t", ["id"], [1, -0.5], 4, metric="l2", where="n > 1") == want
+
+
 def test_front_matter(spark):
     df = spark.createDataFrame([('---\nid: a1\ntitle: "T: x"\nsource: docs\n---\n\nBody\n---\nend',), ("no matter",), (None,)], "text string")
     rows = readers.front_matter(df).collect()

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.stemming import accents, analyzed, stems
 from millrace.functions.text import K1, WORDS, B, term_count, terms
+from millrace.session import written
 
 
 @dataclass(frozen=True)
@@ -51,21 +52,27 @@ def counted(df: DataFrame, text: str, words: Sequence[str]) -> DataFrame:
     return tokens.withColumns({"__dl": F.size("__tokens"), **{f"__tf{k}": term_count(F.col("__tokens"), w) for k, w in enumerate(words)}}).drop("__tokens")
 
 
-def corpus_of(df: DataFrame, text: str, words: Sequence[str]) -> Corpus:
-    """One aggregation over the corpus; one row comes back."""
+def measured(df: DataFrame, text: str, words: Sequence[str]) -> DataFrame:
+    """df without its text, with __dl and the counts of the distinct words, as a written table: texts are read once, whatever is asked of the counts."""
+    return written(counted(df, text, list(dict.fromkeys(words))).drop(text), "counts")
+
+
+def corpus_of(counts: DataFrame, words: Sequence[str]) -> Corpus:
+    """One aggregation over measured() rows; one row comes back."""
     distinct = list(dict.fromkeys(words))
-    row = counted(df.select(text), text, distinct).agg(F.count("*"), F.sum("__dl"), *(F.count_if(F.col(f"__tf{k}") > 0) for k in range(len(distinct)))).first()
+    row = counts.agg(F.count("*"), F.sum("__dl"), *(F.count_if(F.col(f"__tf{k}") > 0) for k in range(len(distinct)))).first()
     return Corpus(row[0], row[1] or 0, dict(zip(distinct, row[2:], strict=True)))
 
 
-def scanned(df: DataFrame, text: str, words: Sequence[str], mode: str = "or", where: Column | None = None, corpus: Corpus | None = None) -> DataFrame:
-    """Rows of df that hold one ("or") or all ("and") of the words, with a column bm25. `where` restricts the hits, not the corpus."""
-    corpus = corpus or corpus_of(df, text, words)
-    hits = counted(df if where is None else df.where(where), text, words)
-    tests = [F.col(f"__tf{k}") > 0 for k in range(len(words))]
+def scanned(df: DataFrame, text: str, words: Sequence[str], mode: str = "or", where: Column | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Rows of df, without the text, that hold one ("or") or all ("and") of the words, with a column bm25. `where` restricts the hits, not the corpus. counts: measured() of df and words, to be shared by several lists."""
+    counts = measured(df, text, words) if counts is None else counts
+    corpus, number = corpus_of(counts, words), {w: k for k, w in enumerate(dict.fromkeys(words))}
+    hits = counts if where is None else counts.where(where)
+    tests = [F.col(f"__tf{k}") > 0 for k in number.values()]
     hits = hits.where(reduce((lambda a, b: a & b) if mode == "and" else (lambda a, b: a | b), tests))
-    score = reduce(lambda a, b: a + b, (weighed(F.col(f"__tf{k}"), F.col("__dl"), corpus.idf(w), corpus.mean) for k, w in enumerate(words)))
-    return hits.withColumn("bm25", score).drop("__dl", *(f"__tf{k}" for k in range(len(words))))
+    score = reduce(lambda a, b: a + b, (weighed(F.col(f"__tf{number[w]}"), F.col("__dl"), corpus.idf(w), corpus.mean) for w in words))
+    return hits.withColumn("bm25", score).drop("__dl", *(f"__tf{k}" for k in number.values()))
 
 
 def index_terms(text: Column) -> Column:

@@ -94,9 +94,12 @@ def _bm25_sql(words: tuple[str, ...], mode: str = "or", where: str = "TRUE", tai
     SELECT {pick} FROM s WHERE {where}{f' AND hits = {len(words)}' if mode == 'and' else ''} {tail}"""
 
 
-def _ranked_words(spark: SparkSession, sf_dir: str, words: tuple[str, ...], mode: str = "or", where: Column | None = None) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return bm25.scanned(docs, "text", words, mode, where).select("doc_id", "lang", "bm25")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+
+
+def _ranked_words(spark: SparkSession, sf_dir: str, words: tuple[str, ...], mode: str = "or", where: Column | None = None, counts: DataFrame | None = None) -> DataFrame:
+    return bm25.scanned(_texts(spark, sf_dir), "text", words, mode, where, counts).select("doc_id", "lang", "bm25")
 
 
 def _best(df: DataFrame, k: int = 10) -> DataFrame:
@@ -274,8 +277,8 @@ def _fused_sql(lists: list[str], k: int) -> str:
     return f"SELECT id, round(sum(weight / (60.0 + rank)), 9) AS score FROM ({rows}) GROUP BY id ORDER BY round(sum(weight / (60.0 + rank)), 12) DESC, min(list * 1000000 + rank), id LIMIT {k}"
 
 
-def _words_list(spark: SparkSession, sf_dir: str, words: tuple[str, ...], mode: str, k: int, number: int, weight: float = 1.0) -> DataFrame:
-    rows = _ranked_words(spark, sf_dir, words, mode).withColumnRenamed("doc_id", "id")
+def _words_list(spark: SparkSession, sf_dir: str, words: tuple[str, ...], mode: str, k: int, number: int, weight: float = 1.0, counts: DataFrame | None = None) -> DataFrame:
+    rows = _ranked_words(spark, sf_dir, words, mode, counts=counts).withColumnRenamed("doc_id", "id")
     return fusion.ranked(rows, [F.round("bm25", 6).desc(), F.col("id")], number, weight, k)
 
 
@@ -295,12 +298,14 @@ def rrf_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rrf_weighted_and_or", _fused_sql([_WORD_LIST(AND_TERMS, "and", 20, 1, 1.0), _WORD_LIST(AND_TERMS, "or", 20, 2, 0.5)], 20))
 def rrf_weighted_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused([_words_list(spark, sf_dir, AND_TERMS, "and", 20, 1), _words_list(spark, sf_dir, AND_TERMS, "or", 20, 2, 0.5)], 20)
+    counts = bm25.measured(_texts(spark, sf_dir), "text", AND_TERMS)
+    return _fused([_words_list(spark, sf_dir, AND_TERMS, "and", 20, 1, counts=counts), _words_list(spark, sf_dir, AND_TERMS, "or", 20, 2, 0.5, counts)], 20)
 
 
 @query("hybrid_search", _fused_sql([_WORD_LIST(AND_TERMS, "and", 20, 1, 1.0), _WORD_LIST(AND_TERMS, "or", 20, 2, 0.5), _VEC_LIST(20, 3, 1.0)], 10))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = [_words_list(spark, sf_dir, AND_TERMS, "and", 20, 1), _words_list(spark, sf_dir, AND_TERMS, "or", 20, 2, 0.5), _vectors_list(spark, sf_dir, 20, 3)]
+    counts = bm25.measured(_texts(spark, sf_dir), "text", AND_TERMS)
+    lists = [_words_list(spark, sf_dir, AND_TERMS, "and", 20, 1, counts=counts), _words_list(spark, sf_dir, AND_TERMS, "or", 20, 2, 0.5, counts), _vectors_list(spark, sf_dir, 20, 3)]
     return _fused(lists, 10)
 
 

@@ -55,7 +55,8 @@ def test_scan_equals_index_without_stems(corpus):
     one = {r["id"]: r["bm25"] for r in bm25.search(index, n, tokens, ["user", "token"], "or", stemmed=False).collect()}
     two = {r["id"]: r["bm25"] for r in bm25.scanned(df, "content", ["user", "token"]).collect()}
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
-    part = bm25.scanned(df, "content", ["user", "token"], where=F.col("id") < "d3")
+    counts = bm25.measured(df, "content", ["user", "token"])
+    part = bm25.scanned(df, "content", ["user", "token"], where=F.col("id") < "d3", counts=counts)
     assert all(two[r["id"]] == pytest.approx(r["bm25"]) for r in part.collect())  # the corpus stays whole
 
 

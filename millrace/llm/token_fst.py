@@ -11,7 +11,9 @@ they add, so that no token is ever built.
 2. The counter reads the bytes of a piece. Its state holds, for each start of a token that may still grow, the
    last token before that start and the number of tokens so far against now; that is all that later bytes can
    depend on. A transition's weight is the change in the number of tokens, so a piece's count is the sum along its
-   path. States and transitions are compiled when first met, and hash-consed.
+   path. A piece always starts in one state, so that the chunks which the splitter finds, the pieces, have their entry states at
+   once and are read side by side, a byte of each at a time, by look-ups in arrays. States and transitions are compiled when
+   first met, hash-consed, and dropped beyond a bound of memory.
 
 Classes of code points are asked of the tokenizer itself, so they follow its Unicode tables.
 
@@ -37,8 +39,10 @@ N_STATES, N_CLASSES = 12, 12
 LETTERS = (LETTER, STMD, R, V, L, E)
 CHUNK = 512
 HEAD = 24
-MAX_STATES = 400_000
-MAX_PIECES = 300_000
+MAX_STATES = 400_000  # beyond, states and transitions are dropped before the next GROUP
+GROUP = 1 << 18  # bytes of pieces read side by side, about; each adds a transition and a state at most
+SLOTS = 22  # bits of the table of transitions
+WIDE = 256  # bytes of a piece beyond which it is read by itself
 
 
 def _splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -141,13 +145,14 @@ class Counter:
         self.vocab, self.ranks = vocab, ranks
         self.prefixes = {t[:k] for t in vocab for k in range(1, len(t))}
         self.pairs: dict[tuple[bytes | None, bytes], bool] = {}
-        self.pieces: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.slots = np.full(1 << SLOTS, -1, np.int64)  # state * 256 + byte, by open addressing
+        self.next = np.zeros(1 << SLOTS, np.int32)
+        self.change = np.zeros(1 << SLOTS, np.int16)
         self.start = self.state((b"", ((0, None, 0),)))
 
     def state(self, key: tuple) -> int:
@@ -187,22 +192,72 @@ class Counter:
         change = before + 1
         kept = [(since + 1, x, n - change) for since, x, n in opened if tail[len(tail) - since - 1 :] in self.prefixes]
         kept.append((0, token, 0))
-        move = self.moves[state << 8 | byte] = self.state((tail[len(tail) - kept[0][0] :], tuple(kept))), change
-        return move
-
-    def count(self, piece: str) -> int:
-        n = self.pieces.get(piece)
-        if n is None:
-            if len(self.pieces) >= MAX_PIECES:
-                self.pieces.clear()
+        return self.state((tail[len(tail) - kept[0][0] :], tuple(kept))), change
+
+    def moved(self, states: np.ndarray, octets: np.ndarray) -> np.ndarray:
+        """Slots of the transitions from the states by the bytes, compiled where they are new."""
+        key = states.astype(np.int64) << 8 | octets
+        at = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        held = self.slots[at]
+        todo = np.flatnonzero(held != key)
+        while len(todo):
+            k, a = key[todo], at[todo]
+            new = self.slots[a] < 0
+            if new.any():
+                for one, slot in zip(*(x.tolist() for x in _distinct(k[new], a[new])), strict=True):
+                    while self.slots[slot] >= 0:
+                        slot = slot + 1 & (1 << SLOTS) - 1
+                    self.slots[slot] = one
+                    self.next[slot], self.change[slot] = self.compiled(one >> 8, one & 255)
+            wrong = self.slots[a] != k
+            at[todo[wrong]] = a[wrong] + 1 & (1 << SLOTS) - 1
+            todo = todo[wrong]
+        return at
+
+    def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each piece of data (bytes), pieces side by side."""
+        out = np.zeros(len(starts), np.int64)
+        sizes = ends - starts
+        for k in np.flatnonzero(sizes > WIDE).tolist():
+            out[k] = self.alone(data, int(starts[k]), int(ends[k]))
+        order = np.flatnonzero(sizes <= WIDE)
+        cuts = np.searchsorted(np.cumsum(sizes[order]), np.arange(GROUP, sizes[order].sum() + GROUP, GROUP), side="right").tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True):
+            if a >= b:
+                continue
             if len(self.keys) >= MAX_STATES:
                 self.clear()
-            n, state, moves = 0, self.start, self.moves
-            for b in piece.encode():
-                state, change = moves.get(state << 8 | b) or self.compiled(state, b)
-                n += change
-            self.pieces[piece] = n
-        return n
+            mine = order[a:b]
+            mine = mine[np.argsort(-sizes[mine], kind="stable")]
+            size, at, states, counts = sizes[mine], starts[mine], np.full(len(mine), self.start, np.int64), np.zeros(len(mine), np.int64)
+            alive = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")  # pieces of more than 0, 1, 2, ... bytes
+            for j, n in enumerate(alive.tolist()):
+                slots = self.moved(states[:n], data[at[:n] + j])
+                states[:n] = self.next[slots]
+                counts[:n] += self.change[slots]
+            out[mine] = counts
+        return out
+
+    def alone(self, data: np.ndarray, start: int, end: int) -> int:
+        """Tokens of one long piece."""
+        total, state = 0, self.start
+        moves: dict[int, tuple[int, int]] = {}
+        for byte in data[start:end].tolist():
+            if len(self.keys) >= 2 * MAX_STATES:
+                key = self.keys[state]
+                self.clear()
+                moves.clear()
+                state = self.state(key)
+            if (move := moves.get(state << 8 | byte)) is None:
+                move = moves[state << 8 | byte] = self.compiled(state, byte)
+            state = move[0]
+            total += move[1]
+        return total
+
+
+def _distinct(keys: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, first = np.unique(keys, return_index=True)
+    return keys, slots[first]
 
 
 def bytes_of_chars() -> dict[str, int]:
@@ -287,17 +342,12 @@ class TokenCounter:
         ends = np.cumsum(lengths + 1) - 1
         classes[ends] = END
         starts = piece_starts(classes)
-        bounds = starts.tolist()
-        bounds.append(len(stream))
-        known, count = self.counter.pieces.get, self.counter.count
-        values = np.empty(len(starts), np.int64)
-        k = 0
-        for a, b in zip(bounds, bounds[1:]):
-            p = stream[a:b]
-            n = known(p)
-            values[k] = count(p) if n is None else n
-            k += 1
-        values[classes[starts] == END] = 0
+        data = np.frombuffer(stream.encode("utf-8", "surrogatepass"), np.uint8)
+        offsets = np.flatnonzero((data & 0xC0) != 0x80)  # of the code points
+        begin = offsets[starts]
+        values = np.zeros(len(starts), np.int64)
+        own = classes[starts] != END
+        values[own] = self.counter.count(data, begin[own], np.append(begin[1:], len(data))[own])
         sums = np.add.reduceat(values, np.searchsorted(starts, np.concatenate(([0], ends[:-1] + 1))))
         np.add.at(out, np.array(owner), sums)
         return out

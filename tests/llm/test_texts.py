@@ -67,9 +67,11 @@ def test_prefix_scan_composes_as_a_fold():
 
 def test_states_are_dropped_and_made_again(library, monkeypatch):
     monkeypatch.setattr(token_fst, "MAX_STATES", 50)
-    monkeypatch.setattr(token_fst, "MAX_PIECES", 20)
+    monkeypatch.setattr(token_fst, "GROUP", 64)
+    monkeypatch.setattr(token_fst, "WIDE", 9)
+    monkeypatch.setattr(token_fst, "SLOTS", 12)
     counter = token_fst.TokenCounter(PATH)
-    texts = [" ".join(f"word{i} reading{i}ish" for i in range(200))]
+    texts = [" ".join(f"word{i} reading{i}ish" for i in range(200)), "é" * 40 + "a" * 300, "x"]
     assert counter.counts(texts).tolist() == wanted(library, texts)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +22,26 @@ SCHEMA = (
 )
 
 
-def chunk_column(chunker: Callable[[str, str], list[Chunk]], content: Column, id_col: Column) -> Column:
-    """All chunks of a content column, as an array of structs."""
+def chunk_column(chunker: Callable[[str, str], list[Chunk]], content: Column, id_col: Column, done: Accumulator | None = None) -> Column:
+    """All chunks of a content column, as an array of structs; `done` counts documents."""
 
     @F.pandas_udf(SCHEMA)
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for contents, ids in batches:
             yield pd.Series([[c.row() for c in chunker(t or "", i or "")] for t, i in zip(contents, ids, strict=True)], dtype=object)
+            if done is not None:
+                done.add(len(ids))
 
     return cut(content, id_col)
 
 
-def chunked(df: DataFrame, chunker: Callable[[str, str], list[Chunk]], id_col: str = "id", content: str = "content") -> DataFrame:
+def chunked(df: DataFrame, chunker: Callable[[str, str], list[Chunk]], id_col: str = "id", content: str = "content", done: Accumulator | None = None) -> DataFrame:
     """A row for each chunk: df's columns with id, content and parent_id, chunk_index, chunk of it. A document of one chunk stays as it is, these null.
 
     One map over the rows; whole documents go through a task one at a time.
     """
     rest = [c for c in df.columns if c not in (id_col, content, "parent_id", "chunk_index", "chunk")]
-    each = df.withColumn("__chunks", chunk_column(chunker, F.col(content), F.col(id_col).cast("string")))
+    each = df.withColumn("__chunks", chunk_column(chunker, F.col(content), F.col(id_col).cast("string"), done))
     many = F.size("__chunks") > 1
     each = each.withColumn("__chunks", F.when(many, F.col("__chunks")).otherwise(F.array(F.lit(None).cast(SCHEMA.removeprefix("array<")[:-1]))))
     each = each.select(F.col(id_col), F.col(content), *rest, F.posexplode("__chunks").alias("__at", "chunk"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,14 +219,20 @@ def local(load: Callable[[str], Embedder], model: str = "bge-small-en-v1.5", cle
     return Provider(make, width_of(model), window_of(model))
 
 
-def embedded(df: DataFrame, text: str, provider: Provider, into: str = "embedding") -> DataFrame:
-    """df with embeddings of a text column, as float arrays. Each task makes the embedder once; a null text counts as empty."""
+def embedded(df: DataFrame, text: str, provider: Provider, into: str = "embedding", done: Accumulator | None = None) -> DataFrame:
+    """df with embeddings of a text column, as float arrays. Each task makes the embedder once; a null text counts as empty. `done` counts texts, batch by batch."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = provider.make()
         for texts in batches:
-            yield pd.Series(embed_all(embedder, [t or "" for t in texts]), dtype=object)
+            before = [0]
+
+            def tell(now: int, _: int) -> None:
+                done.add(now - before[0])
+                before[0] = now
+
+            yield pd.Series(embed_all(embedder, [t or "" for t in texts], tell if done is not None else None), dtype=object)
 
     return df.withColumn(into, run(F.col(text)))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +60,32 @@ class SearchEngine:
         if self.progress:
             self.progress(phase, current, total)
 
-    def _prepared(self, docs: DataFrame) -> DataFrame:
+    @contextmanager
+    def _told(self, phase: str, total: int) -> Iterator[Accumulator | None]:
+        """Tells a phase's start and end, and between them what tasks that end add to the accumulator it gives."""
+        if not self.progress:
+            yield None
+            return
+        done, over = self.spark.sparkContext.accumulator(0), threading.Event()
+
+        def watch() -> None:
+            last = 0
+            while not over.wait(0.2):
+                if last < (now := min(done.value, total - 1)):
+                    last = now
+                    self._tell(phase, now, total)
+
+        self._tell(phase, 0, total)
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
+        try:
+            yield done
+        finally:
+            over.set()
+            watcher.join()
+        self._tell(phase, total, total)
+
+    def _prepared(self, docs: DataFrame, done: Accumulator | None = None) -> DataFrame:
         rest = [c for c in ("metadata",) if c in docs.columns]
         df = docs.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col("content"), F.lit("")).alias("content"), *(rest or [F.lit(None).cast("string").alias("metadata")]))
         if self.categorize is not None:
@@ -73,41 +101,38 @@ class SearchEngine:
             df = df.withColumn(f"m_{name}", F.try_variant_get(F.try_parse_json("metadata"), "$." + name, kind))
         if self.chunker is None:
             return df.withColumns({"parent_id": F.lit(None).cast("string"), "chunk_index": F.lit(None).cast("int")})
-        return chunked(df, self.chunker)
+        return chunked(df, self.chunker, done=done)
 
     def index(self, docs: DataFrame) -> int:
         """Add documents or replace those of the same ids, with all their chunks. Returns the number of rows (chunks) written.
 
         Of several documents of one id in a batch one is kept. Work and writes follow the batch, not what is stored.
         """
-        df = self._prepared(docs.dropDuplicates(["id"])).withColumn("doc", F.coalesce("parent_id", "id"))
-        self._tell("chunking", 0, 1)
-        rows = written(df, "prepared")  # chunks are cut once, and read by each index
-        self._tell("chunking", 1, 1)
+        docs = docs.dropDuplicates(["id"])
+        with self._told("chunking", docs.count() if self.progress else 0) as done:
+            df = self._prepared(docs, done).withColumn("doc", F.coalesce("parent_id", "id"))
+            rows = written(df, "prepared")  # chunks are cut once, and read by each index
         tables = {"chunks": rows}
+        count = rows.count()
         if self.mode != "keyword":
-            self._tell("embedding", 0, 1)
-            make = (lambda d: embedded_cached(d, "content", self.embeddings, self.cache)) if self.cache else (lambda d: embedded(d, "content", self.embeddings))
-            vectors = make(rows.select("id", "doc", "content"))
-            vectors = vectors.select("id", "doc", V.same_width(F.col("embedding"), self.embeddings.width()).alias("embedding"))
+            with self._told("embedding", count) as done:
+                make = (lambda d: embedded_cached(d, "content", self.embeddings, self.cache)) if self.cache else (lambda d: embedded(d, "content", self.embeddings, done=done))
+                vectors = make(rows.select("id", "doc", "content"))
+                vectors = written(vectors.select("id", "doc", V.same_width(F.col("embedding"), self.embeddings.width()).alias("embedding")), "vectors")  # embedded once
             tables["vectors"] = self._in_cells(vectors)
-            self._tell("embedding", 1, 1)
         if self.mode != "vector":
             posts = written(bm25.postings(rows.withColumn("headers", X.headings(F.col("content"))), "id", list(self.weights), carry=["doc"]), "postings")
             tables["postings"] = posts
             tables["lengths"] = rows.select("id", "doc").join(bm25.lengths(posts), "id", "left").select("id", "doc", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
         tables[REMOVED] = rows.select("doc").distinct()
-        count = rows.count()
-        self._tell("storing", 0, count)
-        self.store.append(tables, SORT)
-        self._tell("storing", count, count)
+        with self._told("storing", count):
+            self.store.append(tables, SORT)
         return count
 
     def _in_cells(self, vectors: DataFrame) -> DataFrame:
         if self.cells is None:
             return vectors.withColumn("cell", F.lit(0))
         if (known := self.store.get(CELLS)) is None:
-            vectors = written(vectors, "vectors")  # embedded once, read by fitting, calibration and the index
             known = knn.Cells.fit(vectors, "id", "embedding", self.cells, self.metric, self.recall).to_json()
             self.store.put(CELLS, known)
         return knn.Cells.from_json(known).assigned(vectors, "embedding")

@@ -27,8 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: its lineage ends there, and losing an executor costs nothing."""
+    """Write df to the shared folder and read it again: its lineage ends there, and losing an executor costs nothing. It stays until drop_written() or clean()."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    sc = df.sparkSession.sparkContext
+    sc._millrace_written = [*getattr(sc, "_millrace_written", []), path]
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,6 +46,16 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete all tables that this session's written() made and that are still there; for when no plan over them is left. Returns their number."""
+    sc, jvm, gone = spark.sparkContext, spark._jvm, 0
+    for name in getattr(sc, "_millrace_written", []):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    sc._millrace_written = []
+    return gone
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable on the Python workers, wherever they run: as an archive in the shared folder."""
     sc = spark.sparkContext

@@ -3,6 +3,7 @@
 import json
 import random
 import sqlite3
+import time
 
 import numpy as np
 import pytest
@@ -349,5 +350,20 @@ def test_streams_are_indexed(spark, tmp_path):
 
 def test_progress_is_told(spark):
     told = []
-    SearchEngine(spark, embeddings=hashing(8), progress=lambda *a: told.append(a)).index(frame(spark, DOCS))
-    assert [t[0] for t in told] == ["chunking", "chunking", "embedding", "embedding", "storing", "storing"] and told[-1] == ("storing", 4, 4)
+    docs = frame(spark, DOCS * 1).repartition(4)
+    SearchEngine(spark, embeddings=hashing(8), chunker=auto_chunker(), progress=lambda *a: told.append(a)).index(docs)
+    phases = list(dict.fromkeys(t[0] for t in told))
+    assert phases == ["chunking", "embedding", "storing"]
+    for phase in phases:
+        steps = [t[1:] for t in told if t[0] == phase]
+        assert steps[0] == (0, 4) and steps[-1] == (4, 4) and steps == sorted(steps) and len(set(steps)) == len(steps)
+
+
+def test_tasks_that_end_are_told(spark):
+    told = []
+    e = SearchEngine(spark, mode="keyword", progress=lambda *a: told.append(a))
+    with e._told("chunking", 10) as done:
+        for _ in range(2):
+            spark.sparkContext.parallelize(range(3), 1).foreach(lambda _: done.add(1))
+            time.sleep(0.6)
+    assert told == [("chunking", 0, 10), ("chunking", 3, 10), ("chunking", 6, 10), ("chunking", 10, 10)]

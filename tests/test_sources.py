@@ -1,10 +1,11 @@
 """Readers and the store."""
 
 import sqlite3
+from types import SimpleNamespace
 
 import pytest
 
-from millrace.session import drop_written, fresh, shared_dir, written
+from millrace.session import clean, drop_written, fresh, shared_dir, written
 from millrace.sources import readers
 from millrace.sources.store import REMOVED, Store, upserted, without
 
@@ -98,3 +99,12 @@ def test_written_tables(spark):
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0]).count()
     assert fresh(spark.range(1).toDF("H"), "h", "x", "x") == ["_h", "x", "_x"]
+
+
+def test_tables_of_a_session_are_cleaned():
+    """With a stand-in for a session: that of the other tests has tables in use."""
+    gone = []
+    path = lambda name: SimpleNamespace(getFileSystem=lambda _: SimpleNamespace(delete=lambda p, _: gone.append(name) or True))
+    jvm = SimpleNamespace(org=SimpleNamespace(apache=SimpleNamespace(hadoop=SimpleNamespace(fs=SimpleNamespace(Path=path)))))
+    session = SimpleNamespace(sparkContext=SimpleNamespace(_millrace_written=["a", "b"]), _jvm=jvm, _jsc=SimpleNamespace(hadoopConfiguration=lambda: None))
+    assert clean(session) == 2 and gone == ["a", "b"] and clean(session) == 0

@@ -42,7 +42,7 @@ from millrace.session import written
 Config = tuple[tuple[int, int], ...]  # (length, times) from the longest on
 SLACK = 0.005  # share of the greatest value that a configuration taken into the program may lack
 TIGHT = 0.0005  # and one that is used
-MOST_PIECES, LONG_PIECE = 500_000, 64  # of text, kept with their ids
+MOST_PIECES, LONG_PIECE = 150_000, 64  # of text, kept with their ids
 
 
 class Knapsack:
@@ -253,8 +253,10 @@ class Ids(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-        self.tokenize, self.old = self.library.model.tokenize, {}
+        self.tokenize, self.old, self.met = self.library.model.tokenize, {}, bytearray(1 << 22)
         self.letters = {b: c for c, b in bytes_of_chars().items()}
+        self.space = self.letters[32]
+        self.numbers = [k.to_bytes(4, "little") for k in range(self.library.get_vocab_size())]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.kinds = [regex.compile(p).fullmatch for p in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -262,12 +264,20 @@ class Ids(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if (out := self.old.get(piece)) is None:
-            out = np.array([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
-        if len(piece) <= LONG_PIECE:
+            word = piece.removeprefix(" ")
+            if word.isascii() and word.isalnum():  # bytes that stand for themselves
+                letters = self.space + word if len(word) < len(piece) else piece
+            else:
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+            out = b"".join([self.numbers[t.id] for t in self.tokenize(letters)])
+        at = hash(piece) & len(self.met) - 1
+        if len(piece) <= LONG_PIECE and self.met[at]:  # kept from the second time on
             if len(self) >= MOST_PIECES:  # those not met since the last time are forgotten
                 self.old = dict(self)
                 self.clear()
+                self.met = bytearray(len(self.met))
             self[piece] = out
+        self.met[at] = 1
         return out
 
     def of(self, text: str) -> np.ndarray:

@@ -14,7 +14,7 @@ sequences of each make-up cover all pieces with the fewest sequences) is solved
 Uses are rounded down, and after that up by the largest until half of the bound is placed; what remains is a histogram like the
 first and is solved again, until the program places next to nothing. The rest is packed best-fit, longest first. Of
 the numbers of solutions after which the rest could have been packed so, the one with the fewest sequences counts
-(none, that is best-fit alone, included). The plan is ranges of ranks by length; pieces find their place by their
+(none, that is best-fit alone, and parts of the first solution included). The plan is ranges of ranks by length; pieces find their place by their
 rank among pieces of their length, a sum of counts by task, so no group of pieces is ever brought together.
 
 Defined results: a null text counts as empty; an empty document is its end token alone; a document longer than the
@@ -42,6 +42,7 @@ from millrace.session import written
 Config = tuple[tuple[int, int], ...]  # (length, times) from the longest on
 SLACK = 0.005  # share of the greatest value that a configuration taken into the program may lack
 TIGHT = 0.0005  # and one that is used
+SHARES = (0.25, 0.5, 0.75, 1.0)  # of a first solution's uses
 MOST_PIECES, LONG_PIECE = 150_000, 64  # of text, kept with their ids
 
 
@@ -203,13 +204,17 @@ def planned(histogram: dict[int, int], capacity: int, rounds: int = 40) -> tuple
     while left.any():
         have = np.flatnonzero(left)
         configs, x, bound = fractional(lengths[have], left[have], capacity, rounds if not placed else rounds // 2)
-        part = left[have]
-        got = rounded(configs, x, part, bound / 2)
-        left[have] = part
-        placed = placed + [({int(have[i]): n for i, n in c.items()}, copies) for c, copies in got]
-        rest = best_fit(left, lengths, capacity)
-        if number(placed) + number(rest) <= number(best[0]) + number(best[1]):
-            best = (placed, rest)
+        before, whole = left, placed
+        for share in SHARES if not placed else (1.0,):  # less than all leaves short pieces for those that fit no full configuration
+            part = before[have]
+            got = rounded(configs, share * x, part, share * bound / 2)
+            rest_left = np.zeros_like(before)
+            rest_left[have] = part
+            some = whole + [({int(have[i]): n for i, n in c.items()}, copies) for c, copies in got]
+            rest = best_fit(rest_left, lengths, capacity)
+            if number(some) + number(rest) < number(best[0]) + number(best[1]) or share == 1.0 and number(some) + number(rest) == number(best[0]) + number(best[1]):
+                best = (some, rest)
+            left, placed = rest_left, some
         if number(got) < max(1, 0.02 * bound):
             break
     for config, copies in (*best[0], *best[1]):

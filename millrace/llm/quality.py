@@ -175,7 +175,7 @@ class RuleEnsemble:
         return RuleEnsemble(tuple((tuple((k, a, c) for k, a, c in r), w) for r, w in d["rules"]), d["intercept"])
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, penalty: float = 5e-5, seed: int = 0) -> RuleEnsemble:
+def fit_arrays(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, seed: int = 0) -> RuleEnsemble:
     """The ensemble for statistics x and labels y (0 or 1)."""
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
@@ -188,7 +188,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, penalty: float = 5e-5, seed: int =
     return RuleEnsemble(tuple((r, float(v)) for r, v in zip(rules, w, strict=True) if v), float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, penalty: float = 5e-5) -> RuleEnsemble:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, penalty: float = 1e-3) -> RuleEnsemble:
     """Learn from at most `sample` labelled rows that are not held out, chosen by a hash of the id.
 
     The ids of the sample go to all tasks (their number is the bound); only their statistics come to the driver.

@@ -6,7 +6,7 @@ Fisher-Yates with a generator seeded by seed and bucket, and hands out positions
 random permutation of all records; shards are cut from it so that their numbers of rows are at most one apart.
 The result depends on the records, seed, shards and bucket size only, so a lost task is redone to the same rows.
 
-Records that repeat in full hash alike. Those that would swell a bucket are counted first, travel as one record with
+Records that repeat in full hash alike. Those that would swell a bucket, by their number or their bytes, are counted first, travel as one record with
 a number of copies for each bucket, spread evenly, and are written out again inside the bucket.
 
 Defined results: nulls are values like others; an empty table gives an empty result; if there are fewer records than
@@ -55,11 +55,12 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, text: str = "text", buck
     sizes = written(df.select(mark.alias("h"), record_size(text).alias("size")).groupBy("h").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "records")
     total, size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, -(-size // (bucket_bytes or part_bytes(size))), min(total, LEAST_BUCKETS))
-    limit = max(64, total // (8 * buckets))
-    hot = sizes.where(F.col("n") > limit).select("h", "n")
+    limit, much = max(64, total // (8 * buckets)), max(1, size // (8 * buckets))  # rows and bytes of an eighth of a bucket
+    is_hot = (F.col("n") > limit) | (F.col("n") > 1) & (F.col("size") > much)
+    hot = sizes.where(is_hot).select("h", "n")
     bucket = lambda h: F.pmod(F.xxhash64(h), F.lit(buckets)).cast("int")
     counts = np.zeros(buckets, np.int64)
-    for r in sizes.where(F.col("n") <= limit).groupBy(bucket(F.col("h")).alias("b")).agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in sizes.where(~is_hot).groupBy(bucket(F.col("h")).alias("b")).agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["b"]] = r["n"]
     scattered = df.withColumn(hash_, mark)
     number = hot.count()

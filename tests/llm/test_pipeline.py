@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import secret_scan
+from millrace.llm.mixing import PER_RANGE
+from millrace.llm.queries import MIX
+from test_tables import alone, brute_mix, check_packing
 
 STAGES = dict(corpus_pipeline.STAGES)
 SF = "/root/testdata/sf0.01"
@@ -44,6 +47,17 @@ def test_classifier_drops_junk_and_keeps_clean_documents(spark, documents):
     assert len(spoilt) > 50 and sum(i in kept for i in spoilt) <= 0.1 * len(spoilt)
 
 
+def test_classifier_equals_scores_by_hand(spark, documents):
+    from millrace.llm import quality
+    from millrace.llm.queries import THRESHOLD
+
+    model = quality.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = quality.with_statistics(documents, "text").select("doc_id", *("s_" + s for s in quality.STATS)).toPandas()
+    scores = model.scores(rows[["s_" + s for s in quality.STATS]].to_numpy(float))
+    kept = {r["doc_id"] for r in STAGES["quality_classifier"](spark, documents, SF).collect()}
+    assert kept == set(rows["doc_id"][scores >= THRESHOLD].tolist()) and 0 < len(model.rules) < 120
+
+
 def test_dedup_keeps_one_of_each_group(spark, documents):
     from millrace.llm.simhash import near_duplicates
 
@@ -70,6 +84,16 @@ def test_mix_has_the_weights(spark, documents):
     share = {r["d"]: r["n"] / total for r in out.groupBy(domain().alias("d")).agg(F.sum(words("text")).alias("n")).collect()}
     assert share["web"] == pytest.approx(0.5, abs=0.03) and share["books"] == pytest.approx(0.3, abs=0.03)
     assert max(Counter(r["doc_id"] for r in out.collect()).values()) <= 4
+    rows = [(r["doc_id"], r["text"], (r["d"], r["lang"], r["source"])) for r in documents.withColumn("d", domain()).collect()]
+    want = brute_mix(rows, MIX, total, 4, 7, PER_RANGE)
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter(i for (i, *_), n in want.items() for _ in range(n))
+
+
+def test_packing_stage_holds_all_documents(spark, documents):
+    rows = STAGES["best_fit_packing"](spark, documents, SF).collect()
+    number = check_packing(rows, [(r["doc_id"], r["text"]) for r in documents.collect()])
+    lengths = Counter(r["length"] for r in rows)
+    assert -(-sum(k * n for k, n in lengths.items()) // 1024) <= number <= alone(lengths, 1024)
 
 
 def test_run_packs_what_the_stages_keep(spark, tmp_path):

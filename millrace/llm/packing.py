@@ -36,14 +36,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.token_fst import bytes_of_chars, class_of
+from millrace.llm.token_fst import Splitter, bytes_of_chars
 from millrace.session import written
 
 Config = tuple[tuple[int, int], ...]  # (length, times) from the longest on
 SLACK = 0.005  # share of the greatest value that a configuration taken into the program may lack
 TIGHT = 0.0005  # and one that is used
 SHARES = (0.25, 0.5, 0.75, 1.0)  # of a first solution's uses
-MOST_PIECES, LONG_PIECE = 150_000, 64  # of text, kept with their ids
+MOST_PIECES, LONG_PIECE = 300_000, 64  # of text, kept with their ids
+STREAM = 1_000_000  # characters split at once, about
 
 
 class Knapsack:
@@ -102,10 +103,12 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
         covered += share / share.max()
         weights = weights * np.exp(-epsilon * share / share.max())
         weights /= weights.max()
-    configs = np.array([np.frombuffer(k, np.int16) for k in used], np.int64).reshape(-1, len(lengths))
+    configs = np.frombuffer(b"".join(used), np.int16).reshape(-1, len(lengths))
     x = np.array(list(used.values())) / max(covered.mean(), 1e-12)
-    tight = configs @ dual >= 1 - TIGHT
-    return configs[tight], scaled(configs[tight], x[tight], counts, scalings, power), bound
+    row, col = np.nonzero(configs)
+    tight = np.bincount(row, configs[row, col] * dual[col], len(configs)) >= 1 - TIGHT
+    configs = configs[tight]
+    return configs, scaled(configs, x[tight], counts, scalings, power), bound
 
 
 def scaled(configs: np.ndarray, x: np.ndarray, counts: np.ndarray, rounds: int, power: float) -> np.ndarray:
@@ -114,7 +117,7 @@ def scaled(configs: np.ndarray, x: np.ndarray, counts: np.ndarray, rounds: int,
         return x
     row, col = np.nonzero(configs)
     times = configs[row, col].astype(np.float64)
-    first, pieces = np.searchsorted(row, np.arange(len(x))), configs.sum(axis=1)
+    first, pieces = np.searchsorted(row, np.arange(len(x))), np.bincount(row, times)
     for _ in range(rounds):
         lack = counts / np.maximum(np.bincount(col, times * x[row], len(counts)), 1e-12)
         x = x * (np.add.reduceat(times * lack[col], first) / pieces) ** power
@@ -174,7 +177,7 @@ def rounded(configs: np.ndarray, x: np.ndarray, left: np.ndarray, goal: float) -
             if x[k] < 1 if whole else placed >= goal:
                 break
             at = np.flatnonzero(configs[k])
-            times = configs[k][at]
+            times = configs[k][at].astype(np.int64)
             copies = min(int(x[k]) if whole else 1, int((left[at] // times).min()))
             if copies > 0:
                 left[at] -= times * copies
@@ -247,25 +250,18 @@ class Places:
 class Ids(dict):
     """Token ids as the tokenizers library gives them for the file at `path`: those of pieces of text, asked once and kept, put together.
 
-    A piece is what the tokenizer's own pattern splits off; its ids, by the library's model over the letters that stand for its bytes, depend on nothing around it. Texts that hold special strings, or
-    characters that `regex` and the library class otherwise, go through the library whole.
+    A piece is what the tokenizer's own pattern splits off; its ids, by the library's model over the letters that stand for its bytes, depend on nothing around it. Texts that hold special strings
+    go through the library whole.
     """
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
         super().__init__()
-        self.library = Tokenizer.from_file(path)
+        self.splitter = Splitter(path)
+        self.library = self.splitter.library
         self.tokenize, self.old, self.met = self.library.model.tokenize, {}, bytearray(1 << 22)
         self.letters = {b: c for c, b in bytes_of_chars().items()}
         self.space = self.letters[32]
         self.numbers = [k.to_bytes(4, "little") for k in range(self.library.get_vocab_size())]
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.kinds = [regex.compile(p).fullmatch for p in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")]
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.plain, self.odd = set(map(chr, range(128))), set()
 
     def __missing__(self, piece: str) -> bytes:
         if (out := self.old.get(piece)) is None:
@@ -285,15 +281,26 @@ class Ids(dict):
         self.met[at] = 1
         return out
 
-    def of(self, text: str) -> np.ndarray:
-        """Ids of a text as little-endian unsigned 32-bit numbers."""
-        for c in set(text) - self.plain:
-            if c not in self.odd:
-                mine = next((k for k, is_ in enumerate(self.kinds) if is_(c)), 3)
-                (self.plain if mine == class_of(self.library.pre_tokenizer, c) else self.odd).add(c)
-        if any(s in text for s in self.special) or self.odd and not self.odd.isdisjoint(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), "<u4")
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        done, size = 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= STREAM or k == len(texts) - 1:
+                yield from self._of_stream(texts[done : k + 1])
+                done, size = k + 1, 0
+
+    def _of_stream(self, texts: list[str]) -> Iterator[np.ndarray]:
+        special = [any(s in t for s in self.splitter.special) for t in texts]
+        stream, starts, marks = self.splitter.cut(["" if x else t for t, x in zip(texts, special, strict=True)])
+        bounds, first, get = [*starts.tolist(), len(stream)], 0, self.__getitem__
+        pieces = [stream[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for t, x, mark in zip(texts, special, marks.tolist(), strict=True):
+            if x:
+                yield np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4")
+            else:
+                yield np.frombuffer(b"".join(map(get, pieces[first:mark])), "<u4")
+            first = mark + 1
 
 
 _loaded: dict[str, Ids] = {}
@@ -319,8 +326,8 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
         of, task, seen = _loaded[tokenizer].of, TaskContext.get().partitionId(), defaultdict(int)
         for x in batches:
             at, out = [], {n: [] for n in ("piece", "start", "length", "ids_crc32", "place", "ids")}
-            for row, t in enumerate(x.column(1)):
-                ids = np.append(of(t.as_py() or ""), np.array([end_id], "<u4"))
+            for row, ids in enumerate(of([t or "" for t in x.column(1).to_pylist()])):
+                ids = np.append(ids, np.array([end_id], "<u4"))
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     at.append(row)

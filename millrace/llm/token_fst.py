@@ -275,45 +275,60 @@ def class_of(pre_tokenizer: object, c: str) -> int:
     return next((k for k, x in enumerate("a1!") if len(pre_tokenizer.pre_tokenize_str(x + c + x)) == 1), 3)
 
 
-class TokenCounter:
-    """Counts for whole texts; compiled from a tokenizer file."""
+class Splitter:
+    """Cuts texts into the pieces of a byte-level tokenizer's file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
+        self.spec = spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["normalizer"] or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError(f"{path} is no plain byte-level BPE tokenizer")
-        back = bytes_of_chars()
-        raw = lambda s: bytes(back[c] for c in s)
-        vocab = {raw(t): k for t, k in model["vocab"].items() if all(c in back for c in t)}
-        ranks: dict[bytes, int] = {}
-        for k, m in enumerate(model["merges"]):
-            a, b = m.split(" ") if isinstance(m, str) else m
-            ranks.setdefault(raw(a) + raw(b), k)
         self.special = [t["content"] for t in spec["added_tokens"]]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that strip or match whole words are not compiled")
-        self.pre = Tokenizer.from_file(path).pre_tokenizer
-        self.counter = Counter(vocab, ranks)
+        self.library = Tokenizer.from_file(path)
         self.classes = np.full(0x110000, 255, np.uint8)
         for c, k in ((" ", SPACE), ("'", APOS), *((x, STMD) for x in "stmd"), ("r", R), ("v", V), ("l", L), ("e", E)):
             self.classes[ord(c)] = k
 
-    def asked(self, c: str) -> int:
-        """The class of a code point, as the tokenizer has it."""
-        return (LETTER, DIGIT, OTHER, WHITE)[class_of(self.pre, c)]
-
     def classified(self, text: str) -> np.ndarray:
+        """Classes of the code points, as the tokenizer has them."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         out = self.classes[points]
         if (out == 255).any():
             for p in np.unique(points[out == 255]):
-                self.classes[p] = self.asked(chr(p))
+                self.classes[p] = (LETTER, DIGIT, OTHER, WHITE)[class_of(self.library.pre_tokenizer, chr(p))]
             out = self.classes[points]
         return out
 
+    def cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+        """(texts as one stream, an end mark after each; starts of the pieces, of which each mark is one; the marks' places among the pieces). Texts hold no special strings."""
+        stream = "\x00".join(texts) + "\x00"
+        classes = self.classified(stream)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        classes[ends] = END
+        starts = piece_starts(classes)
+        return stream, starts, np.searchsorted(starts, ends)
+
+
+class TokenCounter:
+    """Counts for whole texts; compiled from a tokenizer file."""
+
+    def __init__(self, path: str):
+        self.splitter = Splitter(path)
+        back = bytes_of_chars()
+        raw = lambda s: bytes(back[c] for c in s)
+        model = self.splitter.spec["model"]
+        vocab = {raw(t): k for t, k in model["vocab"].items() if all(c in back for c in t)}
+        ranks: dict[bytes, int] = {}
+        for k, m in enumerate(model["merges"]):
+            a, b = m.split(" ") if isinstance(m, str) else m
+            ranks.setdefault(raw(a) + raw(b), k)
+        self.special = self.splitter.special
+        self.counter = Counter(vocab, ranks)
+
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text."""
         out = np.zeros(len(texts), np.int64)
@@ -336,19 +351,14 @@ class TokenCounter:
                     owner.append(i)
         if not parts:
             return out
-        stream = "\x00".join(parts) + "\x00"
-        classes = self.classified(stream)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(lengths + 1) - 1
-        classes[ends] = END
-        starts = piece_starts(classes)
+        stream, starts, marks = self.splitter.cut(parts)
         data = np.frombuffer(stream.encode("utf-8", "surrogatepass"), np.uint8)
         offsets = np.flatnonzero((data & 0xC0) != 0x80)  # of the code points
         begin = offsets[starts]
-        values = np.zeros(len(starts), np.int64)
-        own = classes[starts] != END
+        values, own = np.zeros(len(starts), np.int64), np.ones(len(starts), bool)
+        own[marks] = False
         values[own] = self.counter.count(data, begin[own], np.append(begin[1:], len(data))[own])
-        sums = np.add.reduceat(values, np.searchsorted(starts, np.concatenate(([0], ends[:-1] + 1))))
+        sums = np.add.reduceat(values, np.concatenate(([0], marks[:-1] + 1)))
         np.add.at(out, np.array(owner), sums)
         return out
 

@@ -123,6 +123,15 @@ def test_repeated_records_spread_over_buckets(spark):
     assert Counter(r["doc_id"] for r in out if r["doc_id"] != -1) == Counter(range(300, 600))
 
 
+def test_repeated_long_records_spread_over_buckets(spark):
+    rows = [(7, "x" * 50_000)] * 40 + [(k, f"text {k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cut = sharding.shuffled(df, 5, seed=1, bucket_bytes=400_000)
+    assert Counter((r["doc_id"], r["text"]) for r in cut.collect()) == Counter(rows)
+    held = [n for n in cut.groupBy(F.spark_partition_id()).agg(F.sum(F.length("text")).alias("n")).toPandas()["n"]]
+    assert len(held) >= 5 and max(held) <= 3 * sum(held) / len(held)
+
+
 def test_fisher_yates_is_a_fair_permutation():
     seen = Counter(tuple(sharding.fisher_yates(3, seed, 0).tolist()) for seed in range(6000))
     assert len(seen) == 6 and min(seen.values()) > 850
@@ -643,7 +652,7 @@ def test_sequences_hold_the_ids(messy):
     packed = packing.pack_documents(messy, TOKENIZER, keep_ids=True)
     whole = packing.sequences(packed).collect()
     of = packing.Ids(TOKENIZER).of
-    assert sum(len(r["ids"]) for r in whole) == sum(len(of(r["text"] or "")) + 1 for r in messy.collect())
+    assert sum(len(r["ids"]) for r in whole) == sum(len(x) + 1 for x in of([r["text"] or "" for r in messy.collect()]))
     assert all(len(r["ids"]) == r["length"] <= 1024 for r in whole)
 
 

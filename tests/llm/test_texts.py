@@ -82,15 +82,21 @@ def test_token_counts_of_a_table(messy, clashing, empty, library):
     assert token_fst.count_tokens(empty, PATH).collect() == []
 
 
-def test_ids_equal_the_library(library):
+def test_ids_equal_the_library(library, monkeypatch):
     ids = packing.Ids(PATH)
     rng = random.Random(4)
     for _ in range(1500):
         t = "".join(rng.choices(PIECES, k=rng.randint(0, 40)))
-        assert ids.of(t).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert next(ids.of([t])).tolist() == library.encode(t, add_special_tokens=False).ids
     for c in range(0x3000):
         t = f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}? {chr(c)} {chr(c)}{chr(c)}"
-        assert ids.of(t).tolist() == library.encode(t, add_special_tokens=False).ids, c
+        assert next(ids.of([t])).tolist() == library.encode(t, add_special_tokens=False).ids, c
+    for stream in (1, 300, 10**6):
+        monkeypatch.setattr(packing, "STREAM", stream)
+        monkeypatch.setattr(packing, "MOST_PIECES", 40)
+        texts = ["".join(rng.choices(PIECES, k=rng.randint(0, 40))) for _ in range(400)]
+        assert [x.tolist() for x in packing.Ids(PATH).of(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(ids.of([])) == []
 
 
 # -- secrets

@@ -3,7 +3,8 @@
 Statistics of whole texts are Spark column expressions. On a bounded sample of labelled rows, small trees are boosted;
 every path from a root is a rule, a conjunction of comparisons of statistics with thresholds. A logistic model over
 all rules, fitted under a lasso penalty, keeps few of them. These compile into one column expression, so that scoring
-a corpus is a projection inside the scan, without Python, shuffle or join.
+a corpus is a projection inside the scan, without Python, shuffle or join. The expression holds each statistic that a
+rule asks for once, also where the optimizer moves it into a filter.
 
 Defined results: a null text counts as empty; an empty text has zeros for statistics and a score like any other;
 rows without label, or with a null one, are not learned from; if an id has several labels, the least counts; if the
@@ -14,6 +15,7 @@ of statistics in the scored table are left alone.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,6 +66,14 @@ def with_statistics(df: DataFrame, text: str, prefix: str = "s_") -> DataFrame:
     return df.withColumns({words: w, lines: li}).withColumns({prefix + k: v for k, v in stats.items()}).drop(words, lines)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value in it once, however often use() names it.
+
+    A filter over a projection gets a copy of the expression for every mention, and Spark computes all of them where it compiles the filter.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def held_out(id_col: Column) -> Column:
     """Whether a row is set aside: crc32 of its id as text is divisible by 5."""
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
@@ -156,12 +166,16 @@ class RuleEnsemble:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.intercept + sum((w * holds(r, x) for r, w in self.rules), np.zeros(len(x))))))
 
-    def score(self, prefix: str = "s_") -> Column:
+    def used(self) -> list[str]:
+        """Names of the statistics that rules ask for."""
+        return [STATS[k] for k in sorted({k for rule, _ in self.rules for k, _, _ in rule})]
+
+    def score(self, stat: Callable[[str], Column] = lambda name: F.col("s_" + name)) -> Column:
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
             test = F.lit(True)
             for k, above, cut in rule:
-                s = F.col(prefix + STATS[k])
+                s = stat(STATS[k])
                 test = test & ((s > cut) if above else (s <= cut))
             total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -203,7 +217,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 def scored(df: DataFrame, model: RuleEnsemble, text: str = "text", into: str = "score") -> DataFrame:
     """df with the score of each whole text. Other columns stay; one named `into` is replaced."""
-    prefix = next(p for p in ("_" * k + "s_" for k in range(len(df.columns) + 1)) if not any(c.lower().startswith(p) for c in df.columns))
     [rated] = fresh(df, "rated")
-    out = with_statistics(df, text, prefix).withColumn(rated, model.score(prefix))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()), F.col(rated).alias(into))
+    used = model.used()
+
+    def rate(pieces: Column) -> Column:
+        stats = statistics(pieces["text"], pieces["words"], pieces["lines"])
+        return once(F.struct(*(stats[k].alias(k) for k in used)), lambda s: model.score(lambda k: s[k]))
+
+    w, li = words_and_lines(F.col(text))
+    score = once(F.struct(F.col(text).alias("text"), w.alias("words"), li.alias("lines")), rate) if used else model.score()
+    return df.withColumn(rated, score).select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()), F.col(rated).alias(into))

@@ -58,6 +58,23 @@ def test_classifier_equals_scores_by_hand(spark, documents):
     assert kept == set(rows["doc_id"][scores >= THRESHOLD].tolist()) and 0 < len(model.rules) < 120
 
 
+@pytest.mark.parametrize("names", [("log_words", "symbols", "upper", "distinct", "same_lines"), ("symbols",), ("symbols", "repeats")])
+def test_classifier_computes_statistics_once_for_any_rules(spark, documents, monkeypatch, names):
+    from millrace.llm import quality
+    from millrace.llm.queries import THRESHOLD
+
+    rows = quality.with_statistics(documents, "text").select("doc_id", *("s_" + s for s in quality.STATS)).toPandas()
+    x = rows[["s_" + s for s in quality.STATS]].to_numpy(float)
+    rules = [(((k, above, float(np.quantile(x[:, k], q))),), w if above else -w) for k in map(quality.STATS.index, names) for above in (False, True) for q, w in ((0.2, 0.7), (0.5, -0.4), (0.9, -0.9))]
+    margin = sum(w * quality.holds(r, x) for r, w in rules)
+    model = quality.RuleEnsemble(tuple(rules), float(np.log(THRESHOLD / (1 - THRESHOLD)) - margin.mean()))
+    monkeypatch.setattr(quality, "fit", lambda *_: model)
+    out = STAGES["quality_classifier"](spark, documents, SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("regexp_replace(") <= 4
+    want = set(rows["doc_id"][model.scores(x) >= THRESHOLD].tolist())
+    assert {r["doc_id"] for r in out.collect()} == want and 0 < len(want) < len(rows)
+
+
 def test_dedup_keeps_one_of_each_group(spark, documents):
     from millrace.llm.simhash import near_duplicates
 

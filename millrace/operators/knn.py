@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vectors as V
 
+#: Distances that a task of nearest_to_each() holds at once.
+TILE = 1 << 20
+
 
 def with_distance(df: DataFrame, vector: str, query: Sequence[float], metric: str = "l2", into: str = "distance") -> DataFrame:
     """df with the distance of each vector from the query: "l2", "cosine" or "ip" (negative inner product)."""
@@ -61,34 +64,54 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _keep(best: tuple[np.ndarray, np.ndarray, np.ndarray], d: np.ndarray, ids: np.ndarray, cell: np.ndarray) -> None:
+    """Put what is nearer than the last of best (distance, id, cell by row of d, in order) into it; distances count with nine digits, ties by id."""
+    k = best[0].shape[1]
+    last = best[0][:, -1]
+    if d.shape[1] > k and np.isinf(last).any():
+        last = np.fmin(last, np.partition(d, k - 1, axis=1)[:, k - 1])
+    at, col = np.nonzero((d <= last[:, None] + 1e-9) & np.isfinite(d))  # more than what counts after rounding
+    if not len(at):
+        return
+    rows, which = np.unique(at, return_inverse=True)
+    group = np.concatenate((np.repeat(np.arange(len(rows)), k), which))
+    parts = [np.concatenate((b[rows].ravel(), new)) for b, new in zip(best, (np.round(d[at, col], 9), ids[col], cell[col]), strict=True)]
+    order = np.lexsort((parts[1], parts[0], group))
+    first = np.searchsorted(group[order], np.arange(len(rows)))
+    taken = order[first[:, None] + np.arange(k)]
+    for b, p in zip(best, parts, strict=True):
+        b[rows] = p[taken]
+
+
+def _nearest_in(batches: Iterator[pa.RecordBatch], own: np.ndarray, queries: np.ndarray, cells: Cells | None, k: int, metric: str) -> Iterator[pa.RecordBatch]:
+    """(query, id, cell, distance): the k nearest to each query among batches of (id, vector, and cell if there is one)."""
+    best = np.full((len(own), k), np.inf), np.zeros((len(own), k), np.int64), np.zeros((len(own), k), np.int32)  # distance, id, cell
+    reads = None if cells is None else cells.read_by(queries)
+    step = max(1, TILE // max(1, len(own)))
+    for part in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+        i, x = part.column(0).to_numpy(), _matrix(part.column(1))
+        cell = part.column(2).to_numpy() if part.num_columns > 2 else np.zeros(len(i), np.int32)
+        d = distances(queries, x, metric)
+        d[own[:, None] == i] = np.inf
+        if reads is not None:
+            d[~reads[:, cell]] = np.inf
+        _keep(best, d, i, cell)
+    query = np.repeat(own, k)
+    d, i, c = (b.ravel() for b in best)
+    ok = np.isfinite(d)
+    yield pa.RecordBatch.from_arrays([pa.array(query[ok], pa.int64()), pa.array(i[ok]), pa.array(c[ok]), pa.array(d[ok])], names=["query", "id", "cell", "distance"])
+
+
 def nearest_to_each(df: DataFrame, id_col: str, vector: str, ids: np.ndarray, q: np.ndarray, k: int, metric: str, cells: Cells | None = None) -> DataFrame:
     """(query, id, cell, distance, rank): the k rows of df nearest to each of a block of queries but the row of its own id; ties by id. cells: only in those that a search of them reads.
 
-    The block goes to all tasks; each keeps k rows of a query. Rows without a vector are left out.
+    The block goes to all tasks; each keeps k rows of a query, and holds TILE distances at once. Rows without a vector are left out.
     """
     shared = df.sparkSession.sparkContext.broadcast((ids, q, cells))
     name = "cell" if "cell" in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, queries, cells_ = shared.value
-        best = [np.zeros((len(own), 0)) for _ in range(3)]  # distance, id, cell
-        reads = None if cells_ is None else cells_.read_by(queries)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            i, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            cell = batch.column(2).to_numpy() if name else np.zeros(len(i), np.int64)
-            d = np.round(distances(queries, x, metric), 9)
-            d[own[:, None] == i] = np.inf
-            if reads is not None:
-                d[~reads[:, cell]] = np.inf
-            parts = [np.hstack((a, np.broadcast_to(b, d.shape))) for a, b in zip(best, (d, i, cell), strict=True)]
-            order = np.lexsort((parts[1], parts[0]), axis=1)[:, :k]
-            best = [np.take_along_axis(p, order, 1) for p in parts]
-        query = np.repeat(own, best[0].shape[1])
-        d, i, c = (b.ravel() for b in best)
-        ok = np.isfinite(d)
-        yield pa.RecordBatch.from_arrays([pa.array(query[ok], pa.int64()), pa.array(i[ok].astype(np.int64)), pa.array(c[ok].astype(np.int32)), pa.array(d[ok])], names=["query", "id", "cell", "distance"])
+        return _nearest_in(batches, *shared.value, k, metric)
 
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), vector, *([name] if name else []))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))

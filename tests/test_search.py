@@ -4,8 +4,10 @@ import json
 import random
 import sqlite3
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,25 @@ def test_cells_hold_the_nearest(spark, metric):
     assert {r["id"] for r in cells.probed(listed, x[3]).collect()} >= {j for i, j in found if i == 3}
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_nearest_of_a_block_in_little_memory(metric):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.normal(size=(2000, 8)), rng.integers(0, 2, (2000, 8)) + 0.5)).astype(np.float32)  # many ties in the second half
+    ids, own = rng.permutation(4000), np.arange(2000)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * 4000 + 1, 8), pa.int32()), pa.array(x.ravel()))], names=["id", "v"])
+    q = x[np.argsort(ids)][own].astype(float)
+    tracemalloc.start()
+    found = pa.Table.from_batches(knn._nearest_in(iter([batch.slice(0, 1500), batch.slice(1500), batch.slice(0, 0)]), own, q, None, 10, metric))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * 8 * knn.TILE < 4000 * 2000 * 8 * 2
+    d = np.round(knn.distances(q, x.astype(float), metric), 9)
+    d[own[:, None] == ids] = np.inf
+    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :10]
+    assert found["query"].to_pylist() == np.repeat(own, 10).tolist()
+    assert (found["id"].to_numpy() == ids[order].ravel()).all() and np.allclose(found["distance"].to_numpy(), np.take_along_axis(d, order, 1).ravel(), atol=2e-9)
+
+
 def test_batch_runs_are_the_batches():
     rng = random.Random(3)
     for _ in range(200):

@@ -1,11 +1,15 @@
 """Chunkers."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.operators.chunking import auto_chunker, chunked, code_chunker, markdown_chunker, split_text
+from millrace.operators.chunking import SCHEMA, auto_chunker, chunked, code_chunker, cut, markdown_chunker, parts_of, split_text
 from millrace.operators.chunking.base import line_of
 from millrace.operators.chunking.code import declarations, imports
 
@@ -131,3 +135,22 @@ def test_scope_chains_run_outwards():
     inner = decls[0].children[0].children[0]
     assert [(d["type"], d["name"]) for d in scope_chain(inner, decls)] == [(decls[0].children[0].type, "B"), (decls[0].type, "A")]
     assert scope_chain(decls[1], decls) == []
+
+
+def test_batches_are_cut_in_parts():
+    assert list(parts_of(pa.array(["aaa", None, "b", "x" * 9, "", "cc", "dd"]), 4)) == [(0, 3), (3, 1), (4, 3)]
+    assert list(parts_of(pa.array([], pa.string()))) == []
+    texts = [f"# {k}\n" + "word " * 1200 for k in range(3000)]  # 18 MB
+    batch = pa.array(texts + [None]), pa.array([*map(str, range(3000)), None])
+    kind, chunker = to_arrow_type(T.DataType.fromDDL(SCHEMA)), markdown_chunker()
+    tracemalloc.start()
+    sizes, seen = [], 0
+    for part in cut(iter([batch]), chunker, kind):
+        sizes.append(len(part))
+        for row in part.slice(0, 3).to_pylist() if seen < 3000 else []:
+            assert [c["text"] for c in row] == [c.text for c in chunker(texts[seen], "")]
+            break
+        seen += len(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 3001 and max(sizes) < 200 and peak < 16 << 20

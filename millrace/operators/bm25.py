@@ -23,6 +23,10 @@ from millrace.functions.text import K1, WORDS, B, term_count, terms
 from millrace.session import written
 
 
+#: Words of which a task makes postings at once.
+TOKENS = 1 << 18
+
+
 @dataclass(frozen=True)
 class Corpus:
     """Numbers of a corpus: rows, tokens, and rows with each phrase."""
@@ -92,31 +96,46 @@ def postings(df: DataFrame, id_col: str, fields: Sequence[str], stemmed: bool =
     schema = T.StructType([T.StructField("term", T.StringType()), keys[0], T.StructField("field", T.IntegerType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("dl", T.LongType()), *keys[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [batch.column(len(keys) + f) for f in range(len(fields))]
-            counts = np.array([p.value_lengths().to_numpy() for p in parts])  # by field and row
-            dl = counts.sum(axis=0)
-            if not dl.sum():
-                continue
-            words = pa.concat_arrays([p.flatten() for p in parts]).dictionary_encode()
-            distinct = words.dictionary.to_pylist()
-            terms_, code = np.unique(np.array(stems(distinct) if stemmed else distinct, object), return_inverse=True)
-            code = code[words.indices.to_numpy()]
-            row = np.concatenate([np.repeat(np.arange(batch.num_rows), c) for c in counts])
-            field = np.repeat(np.arange(len(fields)), counts.sum(axis=1))
-            before = np.cumsum(counts, axis=0) - counts + np.arange(len(fields))[:, None]  # terms of earlier fields and gaps
-            inside = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for c in counts])
-            position = before[field, row] + inside
-            order = np.lexsort((position, field, code, row))
-            row, field, code, position = row[order], field[order], code[order], position[order]
-            starts = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(code) != 0) | (np.diff(field) != 0))))
-            at, ends = pa.array(row[starts]), np.append(starts, len(row))
-            columns = [pa.array(terms_[code[starts]], pa.string()), batch.column(0).take(at), pa.array(field[starts], pa.int32()), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(position, pa.int32())), pa.array(dl[row[starts]], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [batch.column(1 + k).take(at) for k in range(len(carry))], names=[f.name for f in schema])
+        return posted(batches, len(fields), stemmed, schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def posted(batches: Iterator[pa.RecordBatch], fields: int, stemmed: bool, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Postings, with columns of the names, of batches (id, carry, an array of words for each field), in parts of whole rows that have TOKENS words together; a longer row is a part by itself."""
+    for whole in batches:
+        keys = whole.num_columns - fields
+        n = np.array([whole.column(keys + f).value_lengths().to_numpy() for f in range(fields)]).sum(axis=0)
+        ends, at, before = np.cumsum(n), 0, 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, before + TOKENS, "right")))
+            if ends[stop - 1] > before:
+                yield _posted(whole.slice(at, stop - at), fields, stemmed, names)
+            at, before = stop, int(ends[stop - 1])
+
+
+def _posted(batch: pa.RecordBatch, fields: int, stemmed: bool, names: Sequence[str]) -> pa.RecordBatch:
+    keys = batch.num_columns - fields
+    parts = [batch.column(keys + f) for f in range(fields)]
+    counts = np.array([p.value_lengths().to_numpy() for p in parts])  # by field and row
+    dl = counts.sum(axis=0)
+    words = pa.concat_arrays([p.flatten() for p in parts]).dictionary_encode()
+    distinct = words.dictionary.to_pylist()
+    terms_, code = np.unique(np.array(stems(distinct) if stemmed else distinct, object), return_inverse=True)
+    code = code[words.indices.to_numpy()]
+    row = np.concatenate([np.repeat(np.arange(batch.num_rows), c) for c in counts])
+    field = np.repeat(np.arange(fields), counts.sum(axis=1))
+    before = np.cumsum(counts, axis=0) - counts + np.arange(fields)[:, None]  # terms of earlier fields and gaps
+    inside = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for c in counts])
+    position = before[field, row] + inside
+    order = np.lexsort((position, field, code, row))
+    row, field, code, position = row[order], field[order], code[order], position[order]
+    starts = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(code) != 0) | (np.diff(field) != 0))))
+    at, ends = pa.array(row[starts]), np.append(starts, len(row))
+    columns = [pa.array(terms_, pa.string()).take(pa.array(code[starts])), batch.column(0).take(at), pa.array(field[starts], pa.int32()), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(position, pa.int32())), pa.array(dl[row[starts]], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns + [batch.column(k).take(at) for k in range(1, keys)], names=names)
+
+
 def clustered(index: DataFrame) -> DataFrame:
     """An index in the order that searches read: ranges of (term, id), so that a term of any number of rows is spread over tasks and files, and files are told apart by their terms."""
     return index.repartitionByRange("term", "id").sortWithinPartitions("term", "id")

@@ -118,6 +118,23 @@ def test_nearest_of_a_block_in_little_memory(metric):
     assert (found["id"].to_numpy() == ids[order].ravel()).all() and np.allclose(found["distance"].to_numpy(), np.take_along_axis(d, order, 1).ravel(), atol=2e-9)
 
 
+def test_postings_are_made_in_parts():
+    rng, words = np.random.default_rng(6), np.array([f"w{k}" for k in range(5000)])
+    lists = [words[rng.integers(0, 5000, n)].tolist() for n in [*rng.integers(0, 600, 4000), 2 * bm25.TOKENS, 0, 5]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["id", "__0"])
+    names = ["term", "id", "field", "tf", "positions", "dl"]
+    tracemalloc.start()
+    parts, tokens, ids = 0, 0, set()
+    for part in bm25.posted(iter([batch, batch.slice(0, 0)]), 1, True, names):
+        parts, tokens, ids = parts + 1, tokens + sum(part["tf"].to_pylist()), ids | set(part["id"].to_pylist())
+        for r in part.slice(7, 40).to_pylist():
+            assert all(bm25.stems([lists[r["id"]][p]]) == [r["term"]] for p in r["positions"]) and (r["tf"], r["dl"]) == (len(r["positions"]), len(lists[r["id"]]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts > 5 and tokens == sum(map(len, lists)) and ids == {k for k, x in enumerate(lists) if x}
+    assert peak < 2 * bm25.TOKENS * 8 * 25
+
+
 def test_batch_runs_are_the_batches():
     rng = random.Random(3)
     for _ in range(200):

@@ -25,6 +25,8 @@ from millrace.session import written
 
 #: Words of which a task makes postings at once.
 TOKENS = 1 << 18
+#: Repeated ids that go to all tasks; more are joined by a shuffle.
+MOST_REPEATED = 100_000
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,29 @@ def scanned(df: DataFrame, text: str, words: Sequence[str], mode: str = "or", wh
     return hits.withColumn("bm25", score).drop("__dl", *(f"__tf{k}" for k in number.values()))
 
 
+def frequencies(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(term, df, tf) of all terms: documents that hold it, occurrences. Rows of one id, null too, are one document.
+
+    A row's distinct terms and its terms are counted by term alone, so that what is shuffled follows the vocabulary; only rows whose id is repeated are grouped by term and id.
+    """
+    ids = df.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    repeated = ids.count()
+    rows = df.select(F.col(id_col).alias("__doc"), terms(F.col(text)).alias("__words"))
+    single, many = rows, None
+    if repeated:
+        ids = F.broadcast(ids) if repeated <= MOST_REPEATED else ids
+        same = F.col("__doc").eqNullSafe(F.col("__id"))
+        many = rows.join(ids, same, "left_semi").select("__doc", F.explode("__words").alias("term")).groupBy("term", "__doc").agg(F.count("*").alias("__n"))
+        single = rows.join(ids, same, "left_anti")
+    both = single.select("__words", F.array_distinct("__words").alias("__distinct"))
+    each = both.select(F.size("__distinct").alias("__d"), F.posexplode(F.concat("__distinct", "__words")).alias("__at", "term"))
+    first = F.col("__at") < F.col("__d")  # distinct terms come first
+    each = each.select("term", first.cast("long").alias("df"), (~first).cast("long").alias("tf"))
+    if many is not None:
+        each = each.unionByName(many.groupBy("term").agg(F.count("*").alias("df"), F.sum("__n").alias("tf")))
+    return each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
 def index_terms(text: Column) -> Column:
     """Words of a text as the index has them before they are stemmed: lower case, without accents."""
     low = F.lower(F.coalesce(text.cast("string"), F.lit("")))

@@ -139,9 +139,7 @@ def term_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("term_df", f"SELECT term, count(*) AS df, sum(tf) AS tf FROM (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL) GROUP BY term".replace("sum(tf)", "sum(tf)::BIGINT"))
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _t(spark, sf_dir, "documents").select("doc_id", F.explode(X.terms(F.col("text"))).alias("term"))
-    counts = each.groupBy("term", "doc_id").agg(F.count("*").alias("n"))  # within a document mostly before the shuffle
-    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    return bm25.frequencies(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("corpus_stats", f"SELECT count(*) AS n_docs, sum(len({_TOK}))::BIGINT AS n_tokens, round(avg(len({_TOK})), 6) AS mean_tokens FROM documents")

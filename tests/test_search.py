@@ -17,6 +17,7 @@ from millrace.operators.chunking import auto_chunker, markdown_chunker
 from millrace.operators.embed import Provider, batch_runs, batch_sizes, hashing
 from millrace.operators.rerank import lexical
 from millrace.plans.engine import SearchEngine
+from millrace.plans.queries import QUERIES
 from millrace.streaming.ingest import ingest
 
 WORDS = "user name get login auth token error config parser running runs ponies straße café the of a search index vector".split()
@@ -118,6 +119,28 @@ def test_nearest_of_a_block_in_little_memory(metric):
     assert (found["id"].to_numpy() == ids[order].ravel()).all() and np.allclose(found["distance"].to_numpy(), np.take_along_axis(d, order, 1).ravel(), atol=2e-9)
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_frequencies_of_terms(spark, monkeypatch, most):
+    monkeypatch.setattr(bm25, "MOST_REPEATED", most)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, k, k, k, 7, 8]), rng.choice([None, "", " ".join(rng.choices(WORDS, k=rng.randint(1, 9)))])) for k in range(60)]
+    for some in (rows, [(k, t) for k, (_, t) in enumerate(rows)], []):
+        texts = {}
+        for k, t in some:
+            texts.setdefault(k, []).extend((t or "").split())
+        want = {(w, sum(w in x for x in texts.values()), sum(x.count(w) for x in texts.values())) for w in WORDS} - {(w, 0, 0) for w in WORDS}
+        out = bm25.frequencies(spark.createDataFrame(some, "k long, t string"), "k", "t")
+        assert {tuple(r) for r in out.collect()} == want and out.dtypes == [("term", "string"), ("df", "bigint"), ("tf", "bigint")]
+
+
+def test_what_term_df_shuffles_follows_its_words(spark, tmp_path):
+    spark.range(0, 3000, 1, 2).selectExpr("id doc_id", "repeat('some words of few kinds ', 20) text").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["term_df"](spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {(w, 3000, 60_000) for w in "some words of few kinds".split()}
+    exchanges = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+    assert exchanges and all("hashpartitioning(term#" in x and "doc" not in x for x in exchanges)
+
+
 def test_postings_are_made_in_parts():
     rng, words = np.random.default_rng(6), np.array([f"w{k}" for k in range(5000)])
     lists = [words[rng.integers(0, 5000, n)].tolist() for n in [*rng.integers(0, 600, 4000), 2 * bm25.TOKENS, 0, 5]]
